@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.merging import Merger, token_rows
+
 #: The pre-tokeniser's pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text worked on at a time, and words remembered at most, in one Python worker.
-CHUNK_CHARS, MAX_WORDS = 1_500_000, 700_000
+#: Characters of text worked on at a time, and words remembered at most, in one Python worker; bytes of a word up to which it is merged on arrays.
+CHUNK_CHARS, MAX_WORDS, WIDE = 1_500_000, 700_000, 32
 
 
 def byte_symbols() -> list[str]:
@@ -30,6 +32,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+class Numbered(dict):
+    """Word to number; a word not met before gets the next one and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class ByteBPE:
     """Encoder and decoder for a byte-level BPE vocabulary in the tokenizers library's JSON form."""
 
@@ -55,8 +70,9 @@ class ByteBPE:
             self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 0))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
-        self.merge_of = {a * size + b: r * size + t for (a, b), (r, t) in self.rank.items()}
+        self.merger = Merger([(a, b, t) for (a, b), (_, t) in self.rank.items()])
         self.byte_id = [self.id[bytes([b])] for b in range(256)]
+        self.byte_tokens = np.array(self.byte_id, np.int32)
         # by token: rank of the merge that makes it (-1: a byte), and its two halves
         self.made, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         for (a, b), (r, t) in self.rank.items():
@@ -71,7 +87,7 @@ class ByteBPE:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
         self.word_ids = np.zeros(0, np.uint32)
         self.word_at, self.word_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -122,18 +138,6 @@ class ByteBPE:
     def merged(self, word: bytes) -> list[int]:
         """Exact merging by rank, leftmost first."""
         ids = [self.byte_id[b] for b in word]
-        if len(ids) <= 64:
-            size, get, none = self.size, self.merge_of.get, 1 << 60
-            next_rank = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
-            while next_rank and (m := min(next_rank)) != none:
-                i = next_rank.index(m)
-                ids[i : i + 2] = [m % size]
-                del next_rank[i]
-                if i:
-                    next_rank[i - 1] = get(ids[i - 1] * size + ids[i], none)
-                if i < len(next_rank):
-                    next_rank[i] = get(ids[i] * size + ids[i + 1], none)
-            return ids
         while len(ids) > 1:
             found = [self.rank.get(p) for p in zip(ids, ids[1:])]
             best = min((f for f in found if f), default=None)
@@ -159,15 +163,25 @@ class ByteBPE:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         code, which = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         fine = self.compatible(code // self.size, code % self.size)[which] if len(code) else np.zeros(0, bool)
-        for i in np.unique(owner[inner[~fine]]):
+        failed = np.unique(owner[inner[~fine]])
+        size = np.array([len(raw[i]) for i in failed], np.int64)
+        for lo, width in ((0, 12), (12, WIDE)):
+            own = failed[(size > lo) & (size <= width)]
+            rows, _ = token_rows([raw[i] for i in own], width, self.byte_tokens)
+            rows = self.merger.merge(rows)
+            for i, row, n in zip(own.tolist(), rows.tolist(), (rows >= 0).sum(1).tolist()):
+                guess[i] = row[:n]
+        for i in failed[size > WIDE]:
             guess[i] = self.merged(raw[i])
         return guess
 
     def learn(self, words: list[str]) -> None:
-        ids = self.encode_words(words)
+        ids = self.encode_words([w for w in words if w not in self.special])
+        if len(ids) < len(words):
+            rest = iter(ids)
+            ids = [[self.special[w]] if w in self.special else next(rest) for w in words]
         lens = np.array([len(x) for x in ids], np.int64)
         at = len(self.word_ids) + np.cumsum(lens) - lens
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.word_ids = np.concatenate([self.word_ids, np.array([t for x in ids for t in x], np.uint32)])
         self.word_at, self.word_len = np.concatenate([self.word_at, at]), np.concatenate([self.word_len, lens])
 
@@ -185,24 +199,17 @@ class ByteBPE:
         return [p for part in cut.split(text) if part for p in ([part] if part in self.special else self.find(part))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = [self.pieces(t) for t in texts]
         if len(self.words) > MAX_WORDS:
             self.forget()
-        new = list({w for f in found for w in f}.difference(self.words))
-        plain = [w for w in new if w not in self.special]
-        if plain:
-            self.learn(plain)
-        for s in new:
-            if s in self.special:
-                self.words[s] = len(self.words)
-                self.word_at, self.word_len = np.append(self.word_at, len(self.word_ids)), np.append(self.word_len, 1)
-                self.word_ids = np.append(self.word_ids, np.uint32(self.special[s]))
         get = self.words.__getitem__
-        out = []
-        for f in found:
-            k = np.fromiter(map(get, f), np.int64, len(f))
-            out.append(self.word_ids[spread(self.word_at[k], self.word_len[k])])
-        return out
+        places = []
+        for t in texts:
+            f = self.pieces(t)
+            places.append(np.fromiter(map(get, f), np.int64, len(f)))
+        if self.words.new:
+            self.learn(self.words.new)
+            self.words.new = []
+        return [self.word_ids[spread(self.word_at[k], self.word_len[k])] for k in places]
 
     def decode(self, ids: np.ndarray) -> str:
         k = ids.astype(np.int64)
