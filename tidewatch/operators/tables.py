@@ -36,18 +36,25 @@ def distribution(df: DataFrame, value: str, key: str | None = None) -> DataFrame
     return counts.select(*keys, "value", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("at_most"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
 
 
-def ecdf_rank(probes: DataFrame, probe: str, fitted: DataFrame, value: str, name: str, key: str | None = None) -> DataFrame:
-    """Adds the share of fitted values at most the probe's, per key: null where the key has none.
+def ecdf_table(probes: DataFrame, probe: str, fitted: DataFrame, value: str, key: str | None = None) -> DataFrame:
+    """``[key,] _v, _rank``: for each different probe value the share of fitted values at most it, per key.
 
-    Fitted and probe values are counted by value and run through one window together, so there is no range join.
+    Fitted and probe values are counted by value and run through one window together, so there is no range
+    join; the rank is null where the key has no fitted values.
     """
     keys = [key] if key else []
     a = fitted.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     b = probes.select(*keys, F.col(probe).alias("_v")).distinct().withColumn("_c", F.lit(0).cast("long"))
     both = a.unionByName(b).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = both.select(*keys, "_v", (F.sum("_c").over(w) / F.nullif(F.sum("_c").over(Window.partitionBy(*keys)), F.lit(0))).alias(name))
-    return probes.withColumn("_v", F.col(probe)).join(ranks, [*keys, "_v"], "left").drop("_v")
+    return both.select(*keys, "_v", (F.sum("_c").over(w) / F.nullif(F.sum("_c").over(Window.partitionBy(*keys)), F.lit(0))).alias("_rank"))
+
+
+def ecdf_rank(probes: DataFrame, probe: str, fitted: DataFrame, value: str, name: str, key: str | None = None, onto: DataFrame | None = None) -> DataFrame:
+    """Adds ``name``, the rank of ``ecdf_table``, to the probes (or to ``onto``, the same rows with more columns)."""
+    keys = [key] if key else []
+    ranks = ecdf_table(probes, probe, fitted, value, key).withColumnRenamed("_rank", name)
+    return (probes if onto is None else onto).withColumn("_v", F.col(probe)).join(ranks, [*keys, "_v"], "left").drop("_v")
 
 
 def hour_histogram(ev: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
@@ -106,18 +113,21 @@ def top_resources(ev: DataFrame, k: int = 10, recent_us: int = 7 * 86_400_000_00
 
 
 def similar_alerts(alerts: DataFrame, k: int = 5, mode: str = "and") -> DataFrame:
-    """``event_id, similar_id, distance``: the k alerts nearest in risk of the same type and (or) entity.
+    """``event_id, similar_id, distance``: the k alerts nearest in risk of the same type and (or) entity, ties by id.
 
-    With "and", neighbours in the order of (risk, event_id) within (type, entity) hold the k nearest on either
-    side, so two windows suffice and no pairs of a group are made. With "or" the type's and the entity's
-    neighbours are united.
+    Alerts of a group with equal risk are one point, of which the k smallest ids can be chosen (k + 1 are
+    kept, as one may be the alert itself). In the order of risk the k nearest are among k points on either
+    side, so windows suffice and no pairs of a group are made. With "or" the neighbours by type and by entity
+    are united.
     """
 
     def near(*keys: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("risk_score", "event_id")
-        other = F.struct("risk_score", "event_id")
-        around = F.array_union(F.collect_list(other).over(w.rowsBetween(-k, -1)), F.collect_list(other).over(w.rowsBetween(1, k)))
-        return alerts.withColumn("_around", around).select("event_id", "risk_score", F.explode("_around").alias("o")).select("event_id", F.col("o.event_id").alias("similar_id"), F.abs(F.col("o.risk_score") - F.col("risk_score")).alias("distance"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "risk_score").orderBy("event_id"))
+        points = alerts.select(*keys, "risk_score", "event_id").withColumn("r", rank).where(F.col("r") <= k + 1)
+        points = points.groupBy(*keys, "risk_score").agg(F.collect_list("event_id").alias("ids"))
+        around = F.collect_list(F.struct("risk_score", "ids")).over(Window.partitionBy(*keys).orderBy("risk_score").rowsBetween(-k, k))
+        points = points.withColumn("around", around).select(*keys, "risk_score", F.explode("around").alias("o")).select(*keys, "risk_score", F.abs(F.col("o.risk_score") - F.col("risk_score")).alias("distance"), F.explode("o.ids").alias("similar_id"))
+        return alerts.select(*keys, "risk_score", "event_id").join(points, [*keys, "risk_score"]).where("event_id <> similar_id").select("event_id", "similar_id", "distance")
 
     found = near("predicted_attack_type", "entity_id") if mode == "and" else near("predicted_attack_type").unionByName(near("entity_id")).distinct()
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("distance", "similar_id"))
