@@ -8,64 +8,114 @@ slots by their rank among the pieces of their length, which Spark computes in tw
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bpe import chunks, spread
+from tidewatch.llm.bpe import Numbered, byte_symbols, chunks, spread
+from tidewatch.llm.merging import Merger, token_rows
 from tidewatch.llm.shared import cut, parts
 
-#: Words remembered at most in one Python worker.
-MAX_WORDS = 500_000
+#: Words remembered at most in one Python worker; bytes of a word up to which it is merged on arrays.
+MAX_WORDS, WIDE = 900_000, 32
 
 
 class WordTokenizer:
-    """A tokenizers model that drops white space, applied to each distinct word once.
+    """A tokenizers model that lower-cases and drops white space, applied to each distinct word once.
 
     Its pre-tokeniser never matches across white space, so a text's ids are those of its words,
-    one after another.
+    one after another. A word of letters is one pre-token, and with a full stop or comma after it two, so
+    new words of this kind are merged together on arrays, by the model's own merges.
     """
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would take those of other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        vocab, end = spec["vocab"], spec["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"]]
+        self.merger = Merger([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        symbols = byte_symbols()
+        self.first = np.array([vocab[s] for s in symbols], np.int32)
+        self.last = np.zeros(len(vocab), np.int32)  # by a byte's token: that of the byte at a word's end
+        self.last[self.first] = [vocab[s + end] for s in symbols]
+        self.marks = {m: vocab[m + end] for m in ".,"}
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
         self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _learn(self) -> None:
+        """Ids of the new words: those of letters alone (but for a mark) merged together on arrays, the rest by the library."""
+        new, marks = self.words.new, self.marks
+        self.words.new = []
+        bare, marked, simple = [], [], []
+        for w in new:
+            x, m = (w[:-1], marks[w[-1]]) if w[-1] in marks else (w, -1)
+            low = x.lower()
+            letters = low.isalpha() and (low.isascii() or "\u03c3" not in low and "\u03c2" not in low and is_normalized("NFC", x))
+            raw = low.encode() if letters else b""
+            simple.append(letters and len(raw) <= WIDE)
+            bare.append(raw)
+            marked.append(m)
+        ok = np.array(simple, bool)
+        marked_, size = np.array(marked, np.int64), np.fromiter(map(len, bare), np.int64, len(bare))
+        lens = np.zeros(len(new), np.int64)
+        order, flat = [], []
+        for lo, width in ((0, 12), (12, WIDE)):
+            own = np.flatnonzero(ok & (size > lo) & (size <= width))
+            rows, n = token_rows([bare[i] for i in own], width + 1, self.first)
+            k = np.arange(len(own))
+            rows[k, n - 1] = self.last[rows[k, n - 1]]
+            rows = self.merger.merge(rows)
+            n = (rows >= 0).sum(1)
+            rows[k, np.minimum(n, width)] = np.where(marked_[own] >= 0, marked_[own], rows[k, np.minimum(n, width)])
+            lens[own] = (rows >= 0).sum(1)
+            order.append(own)
+            flat.append(rows[rows >= 0])
+        rest = np.flatnonzero(~ok)
+        for b in range(0, len(rest), 20_000):
+            part = rest[b : b + 20_000]
+            got = [e.ids for e in self.model.encode_batch_fast([new[i] for i in part], add_special_tokens=False)]
+            lens[part] = [len(x) for x in got]
+            flat.append(np.array([t for x in got for t in x], np.int64))
+            order.append(part)
+        order_ = np.concatenate(order)
+        at = np.zeros(len(new), np.int64)
+        at[order_] = np.cumsum(lens[order_]) - lens[order_]
+        self.at = np.concatenate([self.at, len(self.ids) + at])
+        self.len = np.concatenate([self.len, lens])
+        self.ids = np.concatenate([self.ids, *[x.astype(np.uint32) for x in flat]])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # str.split also splits at the separators 0x1C-0x1F, which aren't white space to the model
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        found = [[] if o else t.split() for t, o in zip(texts, odd)]
         if len(self.words) > MAX_WORDS:
             self.forget()
-        new = list({w for f in found for w in f}.difference(self.words))
-        for b in range(0, len(new), 20_000):
-            part = new[b : b + 20_000]
-            ids = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.array([len(x) for x in ids], np.int64)
-            self.words.update(zip(part, range(len(self.words), len(self.words) + len(part))))
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lens) - lens])
-            self.len = np.concatenate([self.len, lens])
-            self.ids = np.concatenate([self.ids, np.array([t for x in ids for t in x], np.uint32)])
         get = self.words.__getitem__
-        out = []
-        for t, o, f in zip(texts, odd, found):
-            if o:
-                out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32))
+        places: list[np.ndarray | None] = []
+        for t in texts:
+            # str.split also splits at the separators 0x1C-0x1F, which aren't white space to the model
+            if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
+                places.append(None)
             else:
-                k = np.fromiter(map(get, f), np.int64, len(f))
-                out.append(self.ids[spread(self.at[k], self.len[k])])
-        return out
+                f = t.split()
+                places.append(np.fromiter(map(get, f), np.int64, len(f)))
+        if self.words.new:
+            self._learn()
+        return [np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32) if k is None else self.ids[spread(self.at[k], self.len[k])] for t, k in zip(texts, places)]
 
 
 _loaded: dict[str, WordTokenizer] = {}
