@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import cut
+
 #: Lines the rolling hash covers; a chunk ends where it is 0 modulo DIVISOR; its base and modulus.
 WINDOW, DIVISOR, BASE, MODULUS = 2, 3, 257, 2_147_483_647
 
@@ -20,66 +22,72 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % MODULUS
 
 
-def chunk_ends(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """The 1-based numbers of the lines that end a chunk; the last line always does."""
-    h = F.transform(lines, line_hash)
-    rolled = F.transform(h, lambda _, i: F.aggregate(F.slice(h, F.greatest(i - (window - 2), F.lit(1)), F.least(i + 1, F.lit(window))), F.lit(0).cast("long"), lambda acc, x: (acc * BASE + x) % MODULUS))
-    numbered = F.transform(rolled, lambda r, i: F.struct(r.alias("r"), (i + 1).alias("i")))
-    return F.transform(F.filter(numbered, lambda x: (x["r"] % divisor == 0) | (x["i"] == F.size(lines))), lambda x: x["i"])
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once: without a generator between, every use of it, also within
+    lambdas, would compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, row, ends, lines``; ``row`` names a row by id and text, and is the same for repeated rows."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n", -1).alias("lines"))
-    # the array is made once: without a generator between, every use of it would split and hash again
-    return base.select("doc_id", "row", "lines", F.explode(F.array(chunk_ends(F.col("lines"), window, divisor))).alias("ends"))
+def with_ends(df: DataFrame, lines: str, name: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """Adds the 1-based numbers of the lines that end a chunk; the last line always does."""
+    df = once(df, "_ld_h", F.transform(F.col(lines), line_hash))
+    first = lambda i: F.greatest(i - (window - 2), F.lit(1))
+    rolled = F.transform("_ld_h", lambda _, i: F.aggregate(F.slice("_ld_h", first(i), i + 2 - first(i)), F.lit(0).cast("long"), lambda acc, x: (acc * BASE + x) % MODULUS))
+    df = once(df, "_ld_r", rolled)
+    numbered = F.transform("_ld_r", lambda r, i: F.when((r % divisor == 0) | (i + 1 == F.size("_ld_r")), i + 1))
+    return once(df, name, F.array_compact(numbered)).drop("_ld_h", "_ld_r")
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """A row per chunk of two lines or more: ``doc_id, row, number, chunk``."""
-    at = F.posexplode(F.transform(F.col("ends"), lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(i, F.lit(1)))).alias("after"), e.alias("end"))))
-    out = rows.select("doc_id", "row", "lines", at.alias("number", "span")).where(F.col("span.end") - F.col("span.after") >= 2)
-    return out.select("doc_id", "row", "number", F.array_join(F.slice("lines", F.col("span.after") + 1, F.col("span.end") - F.col("span.after")), "\n").alias("chunk"))
+def _start(ends: str, i: Column) -> Column:
+    """Lines before chunk ``i`` (from 0)."""
+    return F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, row, number``: the chunks to remove.
+def chunk_text(lines: str, ends: str, i: Column) -> Column:
+    return F.array_join(F.slice(lines, _start(ends, i) + 1, F.element_at(ends, i + 1) - _start(ends, i)), "\n")
 
-    Hashes are counted over all documents first, combined on the map side; only chunks whose hash
-    occurs again go on with their bytes. The first occurrence (smallest doc_id, then row, then
-    place; null ids last) is the one that stays and that the others' bytes are compared with.
-    """
-    found = _chunks(chunked(docs, window, divisor))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
-    keyed = found.select("doc_id", "row", "number", "chunk", F.xxhash64("chunk").alias("hash"), place.alias("place"))
-    counts = keyed.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", "first")
-    hits = keyed.join(counts, "hash")
-    kept = hits.where(F.col("place") == F.col("first")).groupBy("hash").agg(F.min("chunk").alias("original"))
-    again = hits.where(F.col("place") != F.col("first")).select("doc_id", "row", "number", "hash", "chunk")
-    return again.join(kept, "hash").where(F.col("chunk") == F.col("original")).select("doc_id", "row", "number")
+
+def chunk_hashes(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """``doc_id, row, number, hash`` of every chunk of two lines or more. ``row`` names a row by id and text, and
+    is the same for repeated rows."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n", -1).alias("lines")).where(F.size("lines") > 1)
+    base = with_ends(once(base, "l", F.col("lines")).drop("lines"), "l", "ends", window, divisor)
+    many = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.element_at("ends", i + 1) - _start("ends", i) >= 2)
+    return base.select("doc_id", "row", "l", "ends", F.explode(many).alias("number")).select("doc_id", "row", "number", F.xxhash64(chunk_text("l", "ends", F.col("number"))).alias("hash"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, text: str = "text") -> DataFrame:
     """The documents with ``text`` less its repeated multi-line chunks, and ``n_removed`` chunks.
 
+    Hashes are counted over all documents, combined on the map side; the first occurrence of a chunk (smallest
+    doc_id, then row, then place; null ids last) stays, and the bytes of the others are compared with it.
+    Texts are shuffled once, those with a repeated hash once more.
+
     All other columns stay as they are, whatever their names but ``n_removed``. Null texts stay null,
     empty ones empty. Rows with equal id and text count as one document: they don't remove each
     other's chunks. Chunks of one line are never removed. An empty table gives an empty result.
     """
     source = docs.drop("n_removed")
-    gone = repeated_chunks(source.select("doc_id", F.col(text).alias("text")), window, divisor).distinct()
-    gone = gone.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_list("number").alias("_gone"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = source.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), body))
-    out = keyed.join(gone, (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_row", "row", "_id")
-    lines = F.split(body, "\n", -1)
-    whole = out.where("_gone IS NULL").drop("_gone").withColumn("n_removed", F.lit(0))
-    cutting = out.where("_gone IS NOT NULL").withColumn("_l", lines).withColumn("_e", F.explode(F.array(chunk_ends(F.col("_l"), window, divisor))))
-    pieces = F.transform(F.col("_e"), lambda e, i: F.when(~F.array_contains("_gone", i), F.slice("_l", F.when(i == 0, F.lit(0)).otherwise(F.element_at("_e", F.greatest(i, F.lit(1)))) + 1, e - F.when(i == 0, F.lit(0)).otherwise(F.element_at("_e", F.greatest(i, F.lit(1)))))))
+    chunks = cut(chunk_hashes(source.select("doc_id", F.col(text).alias("text")), window, divisor))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
+    counts = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    hits = chunks.join(counts, "hash").select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), F.struct("number", "hash", (place == F.col("first")).alias("is_first")).alias("hit"))
+    per = hits.groupBy("_ld_row", "_ld_id").agg(F.collect_set("hit").alias("_ld_hits"))
+    keyed = source.withColumn("_ld_key", F.xxhash64(F.col("doc_id").cast("long"), body))
+    joined = keyed.join(per, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_row", "_ld_id")
+    whole = joined.where("_ld_hits IS NULL").withColumn("n_removed", F.lit(0))
+    held = with_ends(once(joined.where("_ld_hits IS NOT NULL"), "_ld_lines", F.split(body, "\n", -1)), "_ld_lines", "_ld_ends", window, divisor)
+    found = held.select("_ld_key", F.col("doc_id").alias("_ld_id"), "_ld_lines", "_ld_ends", F.explode("_ld_hits").alias("x"))
+    found = found.select("_ld_key", "_ld_id", "x.number", "x.hash", "x.is_first", chunk_text("_ld_lines", "_ld_ends", F.col("x.number")).alias("chunk"))
+    originals = found.where("is_first").groupBy("hash").agg(F.min("chunk").alias("original"))
+    gone = found.where("NOT is_first").join(originals, "hash").where(F.col("chunk") == F.col("original")).groupBy(F.col("_ld_key").alias("_ld_row"), "_ld_id").agg(F.collect_set("number").alias("_ld_gone"))
+    cutting = held.join(gone, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
+    pieces = F.transform("_ld_ends", lambda e, i: F.when(~F.array_contains("_ld_gone", i), F.slice("_ld_lines", _start("_ld_ends", i) + 1, e - _start("_ld_ends", i))))
     kept = F.array_join(F.flatten(F.array_compact(pieces)), "\n")
-    cutting = cutting.withColumn(text, kept).withColumn("n_removed", F.size("_gone")).drop("_gone", "_l", "_e")
-    return whole.unionByName(cutting).select(*source.columns, "n_removed")
+    cutting = cutting.withColumn("n_removed", F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone"))).withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(kept))
+    return whole.select(*source.columns, "n_removed").unionByName(cutting.select(*source.columns, "n_removed"))
 
 
 ORACLE = f"""
