@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import core_queries, feature_queries, model_queries
+from tidewatch.plans import core_queries, feature_queries, model_queries, stream_queries
 
-MODULES = (feature_queries, core_queries, model_queries)
+MODULES = (feature_queries, core_queries, model_queries, stream_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
