@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def surprisal(p: Column) -> Column:
-    return -F.log2(F.greatest(p, F.lit(SMALL)))
+    return F.when(p.isNotNull(), -F.log2(F.greatest(p, F.lit(SMALL))))
 
 
 def subnet24(ip: Column) -> Column:
@@ -63,7 +63,7 @@ def sigmoid(x: Column) -> Column:
 
 def logit(p: Column, clip: float = LOGIT_CLIP) -> Column:
     q = F.greatest(F.lit(LOGIT_EPS), F.least(F.lit(1 - LOGIT_EPS), p))
-    return F.greatest(F.lit(-clip), F.least(F.lit(clip), F.log(q / (1 - q))))
+    return F.when(p.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.log(q / (1 - q)))))
 
 
 def smoothed(count: Column, total: Column, vocabulary: Column, smoothing: float = 0.5) -> Column:
@@ -94,8 +94,8 @@ def clean(x: Column, bound: float | None = None) -> Column:
 
 
 def inverted_unit(x: Column, low: Column, high: Column) -> Column:
-    """1 at ``low`` or below, 0 at ``high`` or above; 0.5 where the range is empty."""
-    return F.when(high - low < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (x - low) / (high - low))))
+    """1 at ``low`` or below, 0 at ``high`` or above; 0.5 where the range is empty; null stays null."""
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(high - low < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (x - low) / (high - low))))
 
 
 #: Prefix of a resource and its type.

@@ -104,7 +104,7 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, train_scores: DataFrame
     """``event_id, isolation``: anomaly put on 0 to 1 by the cohort's training range; 0.5 for unseen cohorts."""
     span = train_scores.groupBy("cohort").agg(F.min("anomaly").alias("_lo"), F.max("anomaly").alias("_hi"))
     out = path_scores(rows, forest, names).join(F.broadcast(span), "cohort", "left")
-    unit = F.when(F.col("_hi") - F.col("_lo") < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("anomaly") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))))
+    unit = F.when(F.col("anomaly").isNull(), F.lit(None)).when(F.col("_hi") - F.col("_lo") < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("anomaly") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))))
     return out.select("event_id", F.coalesce(unit, F.lit(0.5)).alias("isolation"))
 
 
