@@ -56,6 +56,7 @@ def sample_times(octave: int) -> np.ndarray:
 class Walker:
     def __init__(self) -> None:
         self.stay = _stays()
+        self.classes = (_mix(np.arange(1 << 16)) & np.uint64(CLASSES - 1)).astype(np.uint8)  # of the characters below 65536
         self.times = np.zeros(0, np.int64)
         self.octaves = 0
 
@@ -89,7 +90,10 @@ class Walker:
         chars = np.zeros((longest, len(texts)), np.uint32)
         for i, t in enumerate(texts):
             chars[: len(t), i] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = (_mix(chars) & np.uint64(CLASSES - 1)).astype(np.int32)
+        if len(chars) and int(chars.max()) < len(self.classes):
+            kind = self.classes[chars]
+        else:
+            kind = (_mix(chars) & np.uint64(CLASSES - 1)).astype(np.uint8)
         until = np.empty((longest, len(texts)), np.int32 if longest < 1 << 27 else np.int64)
         t = np.zeros(len(texts), until.dtype)
         firsts = np.searchsorted(lens, np.arange(longest), side="right")  # texts from here on have a character at this place
