@@ -391,10 +391,10 @@ def w_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "run", (W.first_touch("source_ip", "entity_id") == 1).alias("first_seen"))
 
 
-@query(", g AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6 AS gap FROM ev) SELECT event_id, round(gap, 4) AS gap, count(gap) OVER w AS gap_n, round(avg(gap) OVER w, 4) AS gap_mean, round(stddev_pop(gap) OVER w, 3) AS gap_std FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(", g AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6 AS gap FROM ev) SELECT event_id, round(gap, 6) AS gap, count(gap) OVER w AS gap_n, round(avg(gap) OVER w, 4) AS gap_mean, round(stddev_pop(gap) OVER w, 3) AS gap_std FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def w_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = W.with_gap_statistics(access_events(spark, sf_dir), "entity_id")
-    return df.select("event_id", F.round("gap", 4).alias("gap"), "gap_n", F.round("gap_mean", 4).alias("gap_mean"), F.round("gap_std", 3).alias("gap_std"))
+    return df.select("event_id", F.round("gap", 6).alias("gap"), "gap_n", F.round("gap_mean", 4).alias("gap_mean"), F.round("gap_std", 3).alias("gap_std"))
 
 
 @query(""", o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us, event_id) AS k FROM ev),

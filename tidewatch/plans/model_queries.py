@@ -146,10 +146,10 @@ CONFIDENCE = """CASE WHEN ip_failure_count_5m > 15 AND entity_failure_count_5m >
  WHEN offhours_bytes_rolling_7d > 50000 AND transfer_to_duration_ratio > 500 THEN least(1, 0.60 + 0.0001 * offhours_bytes_rolling_7d / 1000) WHEN bytes_zscore > 3 AND is_offhours > 0 THEN 0.62 ELSE 0.5 END"""
 
 
-@query(FF + f" SELECT event_id, {RULES} AS attack_type, round(CAST({CONFIDENCE} AS DOUBLE), 6) AS confidence FROM ff")
+@query(FF + f" SELECT event_id, {RULES} AS attack_type, round(CAST({CONFIDENCE} AS DOUBLE), 8) AS confidence FROM ff")
 def m_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = feature_frame(spark, sf_dir).select("event_id", D.signature().alias("s"))
-    return out.select("event_id", "s.attack_type", F.round("s.confidence", 6).alias("confidence"))
+    return out.select("event_id", "s.attack_type", F.round("s.confidence", 8).alias("confidence"))
 
 
 @query(

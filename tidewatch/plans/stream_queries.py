@@ -58,13 +58,13 @@ def st_alerts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATE_SQL = DUCK_WITH + """, b AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts_us, event_id) AS k FROM ev)
-SELECT e.event_id, count(p.k) AS n, count(p.k) FILTER (p.k > coalesce((SELECT max(z.k) FROM b z WHERE z.{key} = e.{key} AND z.k < e.k AND z.auth_result <> 'failure'), 0)) AS run, round((any_value(e.ts_us) - max(p.ts_us)) / 1e6, 4) AS gap, round(avg(p.geo_lat), 10) AS mean_lat, round(avg(p.geo_lon), 10) AS mean_lon,
+SELECT e.event_id, count(p.k) AS n, count(p.k) FILTER (p.k > coalesce((SELECT max(z.k) FROM b z WHERE z.{key} = e.{key} AND z.k < e.k AND z.auth_result <> 'failure'), 0)) AS run, round((any_value(e.ts_us) - max(p.ts_us)) / 1e6, 6) AS gap, round(avg(p.geo_lat), 10) AS mean_lat, round(avg(p.geo_lon), 10) AS mean_lon,
  CASE WHEN count(p.k) FILTER (p.resource_accessed = e.resource_accessed) = 0 THEN 1 ELSE 0 END AS new_resource FROM b e LEFT JOIN b p ON p.{key} = e.{key} AND p.k < e.k GROUP BY e.event_id, e.k, e.{key}"""
 
 
 def _state(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     out = J.to_table(J.stateful_features(source(spark, sf_dir), key), f"state-{key}").drop("batch")
-    return out.withColumns({"gap": F.round("gap", 4), "mean_lat": F.round("mean_lat", 10), "mean_lon": F.round("mean_lon", 10)})
+    return out.withColumns({"gap": F.round("gap", 6), "mean_lat": F.round("mean_lat", 10), "mean_lon": F.round("mean_lon", 10)})
 
 
 @query(STATE_SQL.format(key="entity_id"))
