@@ -74,7 +74,7 @@ SELECT concat('e', CAST(eid AS {str})) AS event_id,
 FROM e
 """
 
-SPARK_VIEW = VIEW.format(us="unix_micros(CAST(ts AS TIMESTAMP))", k="get_json_object(props, '$.k')", div="div", str="STRING", arr="array", empty="CAST(array() AS ARRAY<STRING>)", events="{raw}")
+SPARK_VIEW = VIEW.format(us="unix_micros(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()))", k="get_json_object(props, '$.k')", div="div", str="STRING", arr="array", empty="CAST(array() AS ARRAY<STRING>)", events="{raw}")
 DUCK_VIEW = VIEW.format(us="epoch_us(ts)", k="json_extract(props, '$.k')", div="//", str="VARCHAR", arr="list_value", empty="CAST(list_value() AS VARCHAR[])", events="events")
 
 #: CTEs an oracle starts with: the events, their labels and scores.
