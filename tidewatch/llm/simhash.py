@@ -218,8 +218,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, most: int = 2, seed: int =
     fp = cut(fingerprints(docs, shingle, seed))
     nodes = cut(fp.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     named = components(linked(nodes.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint")
-    roots = nodes.join(named, "fingerprint", "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = roots.join(least, "root").select("fingerprint", "component_id")
+    roots = cut(nodes.join(named, "fingerprint", "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root")))
+    # both sides of these joins come from plain shuffles, so that a component or a fingerprint with very many rows can be split
+    least = cut(roots.groupBy("root").agg(F.min("first").alias("component_id")))
+    label = cut(roots.join(least, "root").select("fingerprint", "component_id"))
     out = fp.join(label, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
