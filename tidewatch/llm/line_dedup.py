@@ -72,7 +72,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, t
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chunks = cut(chunk_hashes(source.select("doc_id", F.col(text).alias("text")), window, divisor))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
-    counts = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    # the tables of hashes are materialised, so that both sides of the joins on them come from plain shuffles and a very
+    # common chunk can be split over tasks
+    counts = cut(chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first"))
     hits = chunks.join(counts, "hash").select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), F.struct("number", "hash", (place == F.col("first")).alias("is_first")).alias("hit"))
     per = hits.groupBy("_ld_row", "_ld_id").agg(F.collect_set("hit").alias("_ld_hits"))
     keyed = source.withColumn("_ld_key", F.xxhash64(F.col("doc_id").cast("long"), body))
@@ -81,7 +83,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, t
     held = with_ends(once(joined.where("_ld_hits IS NOT NULL"), "_ld_lines", F.split(body, "\n", -1)), "_ld_lines", "_ld_ends", window, divisor)
     found = held.select("_ld_key", F.col("doc_id").alias("_ld_id"), "_ld_lines", "_ld_ends", F.explode("_ld_hits").alias("x"))
     found = found.select("_ld_key", "_ld_id", "x.number", "x.hash", "x.is_first", chunk_text("_ld_lines", "_ld_ends", F.col("x.number")).alias("chunk"))
-    originals = found.where("is_first").groupBy("hash").agg(F.min("chunk").alias("original"))
+    originals = cut(found.where("is_first").groupBy("hash").agg(F.min("chunk").alias("original")))
     gone = found.where("NOT is_first").join(originals, "hash").where(F.col("chunk") == F.col("original")).groupBy(F.col("_ld_key").alias("_ld_row"), "_ld_id").agg(F.collect_set("number").alias("_ld_gone"))
     cutting = held.join(gone, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
     pieces = F.transform("_ld_ends", lambda e, i: F.when(~F.array_contains("_ld_gone", i), F.slice("_ld_lines", _start("_ld_ends", i) + 1, e - _start("_ld_ends", i))))
