@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import cut
+
 #: Fixed values of the format: version line, line end, revisit profile.
 VERSION, CRLF, PROFILE = "WARC/1.1", "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -35,7 +37,8 @@ def to_headers(pages: DataFrame, least: int = 100, key: str = "page_id", url: st
     grouped (combined on the map side) and joined, and the group table holds repeated digests alone.
     """
     rows = _rows(pages, key, url, payload).drop("block")
-    groups = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # materialised, so that both sides of the join come from plain shuffles and a very common payload can be split over tasks
+    groups = cut(rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     rows = rows.join(groups, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     name, clean = F.coalesce(F.col("key").cast("string"), F.lit("none")), F.regexp_replace("url", r"[\r\n]+", " ")
