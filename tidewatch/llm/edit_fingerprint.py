@@ -72,18 +72,27 @@ class Walker:
 
     def fingerprints(self, texts: list[str]) -> list[str]:
         """A fingerprint per text, whole texts: as many digits as its walk's octaves need; ``-`` past the end."""
-        out = [""] * len(texts)
+        return [f for f, _ in self.walks(texts)]
+
+    def walks(self, texts: list[str], marks: list[int] | None = None, heads: list[tuple[str, int]] | None = None) -> list[tuple[str, int]]:
+        """A fingerprint per text and the time at which its walk has passed ``marks[i]`` characters (0 without marks).
+
+        With ``heads`` (a fingerprint and a time of each) a text goes on where another's walk stood at that
+        time: the fingerprint is that of the other's characters passed by then and this text after them.
+        """
+        out: list[tuple[str, int]] = [("", 0)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         b = len(order)
         while b:
             longest = max(1, len(texts[order[b - 1]]))
             a = max(0, b - max(1, CELLS // longest))
-            for i, x in zip(order[a:b], self._walk([texts[i] for i in order[a:b]])):
+            own = order[a:b]
+            for i, x in zip(own, self._walk([texts[i] for i in own], [marks[i] if marks else 0 for i in own], [heads[i] if heads else ("", 0) for i in own])):
                 out[i] = x
             b = a
         return out
 
-    def _walk(self, texts: list[str]) -> list[str]:
+    def _walk(self, texts: list[str], marks: list[int], heads: list[tuple[str, int]]) -> list[tuple[str, int]]:
         """Texts in order of length, walked together, a character of each at a time."""
         lens = np.array([len(t) for t in texts], np.int64)
         longest = int(lens.max()) if len(lens) else 0
@@ -94,8 +103,10 @@ class Walker:
             kind = self.classes[chars]
         else:
             kind = (_mix(chars) & np.uint64(CLASSES - 1)).astype(np.uint8)
-        until = np.empty((longest, len(texts)), np.int32 if longest < 1 << 27 else np.int64)
-        t = np.zeros(len(texts), until.dtype)
+        t = np.array([h for _, h in heads], np.int64)
+        small = not len(t) or int(t.max()) + 20 * longest < 1 << 31
+        until = np.empty((longest, len(texts)), np.int32 if small else np.int64)
+        t = t.astype(until.dtype)
         firsts = np.searchsorted(lens, np.arange(longest), side="right")  # texts from here on have a character at this place
         for i in range(longest):
             f = firsts[i]
@@ -104,14 +115,22 @@ class Walker:
             until[i, f:] = now
         out = []
         for i, n in enumerate(lens):
-            if not n:
-                out.append("")
+            print_, begin = heads[i]
+            end = int(until[n - 1, i]) if n else begin
+            if not end:
+                out.append(("", 0))
                 continue
-            times = self.sampled(int(until[n - 1, i]))
-            k = np.searchsorted(until[:n, i], times, side="right")
-            live = k < n
-            digit = (_mix(chars[np.minimum(k, n - 1), i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + times.astype(np.uint64)) >> np.uint64(7) & np.uint64(15)).astype(np.int64)
-            out.append(HEX[np.where(live, digit, 16)].tobytes().decode())
+            times = self.sampled(end)
+            before = int(np.searchsorted(times, begin))
+            digits = np.full(len(times), 45, np.uint8)
+            digits[:before] = np.frombuffer(print_[:before].encode(), np.uint8)
+            if n:
+                own = times[before:]
+                k = np.searchsorted(until[:n, i], own, side="right")
+                live = k < n
+                digit = (_mix(chars[np.minimum(k, n - 1), i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own.astype(np.uint64)) >> np.uint64(7) & np.uint64(15)).astype(np.int64)
+                digits[before:] = HEX[np.where(live, digit, 16)]
+            out.append((digits.tobytes().decode(), int(until[marks[i] - 1, i]) if marks[i] else begin))
         return out
 
 
@@ -136,10 +155,14 @@ def likeness(a: str, b: str) -> float:
     return float(max(0.0, (share - CHANCE) / (1 - CHANCE)))
 
 
+def kept(text: str) -> int:
+    """How many characters of a text its edited text keeps: all but the last third."""
+    return len(text) - len(text) // 3
+
+
 def edited(text: str, following: str) -> str:
     """The last third of the characters replaced by the first as many of the following text."""
-    k = len(text) // 3
-    return text[: len(text) - k] + following[:k]
+    return text[: kept(text)] + following[: len(text) // 3]
 
 
 _walker: list[Walker] = []
@@ -246,7 +269,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
             for b in range(0, len(pdf), step):
                 part = pdf.iloc[b : b + step]
                 texts = part["text"].tolist()
-                fps = w.fingerprints(texts)
+                fps = w.walks(texts, [kept(t) for t in texts])
                 rows, previous = [], held
                 names = part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
                 for bucket, name, text, guard, fp in zip(part["bucket"], names, texts, part["guard"], fps):
@@ -254,9 +277,10 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
                         rows.append((*previous[1:], text, fp))
                     previous = None if guard else (bucket, name, text, fp)
                 held = previous
+                # an edited text's walk is its text's up to the edit, so it goes on from there
                 changed = [edited(text, following) for _, text, _, following, _ in rows]
-                others = w.fingerprints(changed)
-                out = [(name, len(text), hashlib.sha256(c.encode()).hexdigest(), fp, o, likeness(fp, o), likeness(fp, after)) for (name, text, fp, _, after), c, o in zip(rows, changed, others)]
+                others = w.walks([c[kept(text) :] for (_, text, _, _, _), c in zip(rows, changed)], heads=[fp for _, _, fp, _, _ in rows])
+                out = [(name, len(text), hashlib.sha256(c.encode()).hexdigest(), fp[0], o, likeness(fp[0], o), likeness(fp[0], after[0])) for (name, text, fp, _, after), c, (o, _) in zip(rows, changed, others)]
                 yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in schema.split(", ")])
 
     dealt = keyed.repartitionByRange(max(1, n), "bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("doc_id"), "text")
