@@ -39,20 +39,50 @@ def test_matches_sql(spark, sf_dir, name):
 def test_line_dedup_cases(odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_removed"] and out.count() == len(ODD)
-    by_text = {(r.doc_id, r.text): r.n_removed for r in out.collect()}
-    assert by_text[(1, None)] == 0 and by_text[(2, "")] == 0 and by_text[(5, "a\nb\nc\nd")] == 0
+    by_text = {r.doc_id: (r.text, r.n_removed) for r in out.collect() if r.doc_id not in (5, 6)}
+    assert by_text[1] == (None, 0) and by_text[2] == ("", 0) and by_text[None] == ("x", 4)
+    assert sorted((r.text, r.n_removed) for r in out.where("doc_id = 5").collect()) == [("a\nb\nc\nd", 0)] * 2
+    assert sorted((r.text, r.n_removed) for r in out.where("doc_id = 6").collect()) == [("other", 0), ("q", 4)]
     assert line_dedup.dedup_lines(odd.where("false")).count() == 0
 
 
-def test_line_dedup_resists_shifts(spark):
+def removed(spark, texts, **how):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(line_dedup.dedup_lines(df, **how).collect(), key=lambda r: r.doc_id)]
+
+
+def test_line_dedup_finds_passages_of_any_length_at_any_place(spark):
     rng = random.Random(4)
-    passage = ["".join(rng.choice("abcdef ") for _ in range(30)) for _ in range(30)]
-    rows = [(i, "\n".join([*[f"own {i} {j}" for j in range(i)], *passage, f"end {i}"])) for i in range(4)]
-    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[0] == rows[0][1]
-    for i in (1, 2, 3):
-        left = sum(line in out[i].split("\n") for line in passage)
-        assert left <= 15 and f"own {i} 0" in out[i] and f"end {i}" in out[i]
+    line = lambda: "".join(rng.choice("abcdef ") for _ in range(30))
+    texts, want = [], []
+    for n in (2, 3, 4, 5, 9, 30):
+        passage = [line() for _ in range(n)]
+        for copy in range(4):
+            before, after = [line() for _ in range(rng.randrange(4))], [line() for _ in range(rng.randrange(4))]
+            texts.append("\n".join([*before, *passage, *after]))
+            want.append(texts[-1] if copy == 0 else "\n".join([*before, *after]))
+    assert removed(spark, texts) == want
+
+
+def test_line_dedup_keeps_each_passage_in_one_piece(spark):
+    # b-c is repeated and first in the second text, where a copy of a-b ends
+    texts = ["a\nb\n1", "a\nb\nc\n2", "b\nc\n3", "b\n4"]
+    assert removed(spark, texts) == ["a\nb\n1", "b\nc\n2", "3", "b\n4"]
+    words = " ".join(f"w{i}" for i in range(51))
+    assert removed(spark, [f"x\n{words}", f"{words}\ny", words, "x", "y"]) == [f"x\n{words}", "y", "", "x", "y"]
+    assert removed(spark, ["p\n\nq\n1\n\n\n\n2", "p\n \nq\n\n\n\n3"]) == ["p\n\nq\n1\n\n\n\n2", "\n\n\n3"]
+    assert removed(spark, ["s\n" * 5]) == ["s\ns\n"]
+
+
+def test_a_hash_of_different_lines_removes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "line_hash", lambda x: F.length(x).cast("long"))
+    texts = ["aa\nbbb\ncccc", "xx\nyyy\ncccc\nddddd", "zzzzzzz\ncccc\nddddd", "kkkkkkkk\nkkkkkkkkk", "kkkkkkkk\nkkkkkkkkk"]
+    assert removed(spark, texts) == [*texts[:2], "zzzzzzz\ncccc\nddddd", "kkkkkkkk\nkkkkkkkkk", ""] or removed(spark, texts) == [*texts[:2], "zzzzzzz", "kkkkkkkk\nkkkkkkkkk", ""]
+
+
+def test_line_dedup_of_a_very_long_text_is_linear(spark):
+    lines = [str(i) for i in range(60_000)]
+    assert removed(spark, ["\n".join(lines), "\n".join(["x", *lines[:30_000:1], "y"])])[1] == "x\ny"
 
 
 def tokenizer(name):

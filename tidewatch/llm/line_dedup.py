@@ -1,9 +1,12 @@
 """Removal of repeated multi-line chunks with content-defined bounds.
 
-A text is cut into lines and each line hashed. A polynomial over the hashes of the last WINDOW lines
-decides after which lines a chunk ends, so bounds depend on nearby lines alone and shift with
-them. Chunks of two lines or more that occur again anywhere are removed but for their first
-occurrence, after a comparison of their bytes. All steps are built-in expressions on arrays.
+A text is cut into lines and each line hashed. A window of two line hashes rolls over a text, and
+windows are counted over the corpus. A chunk's bounds fall where the window's hashes occur once only: there, and nowhere
+else, a text stops being a copy. So bounds depend on the lines at hand alone, shift with them, and a repeated
+passage is found from its first line to its last, however short it is and whatever stands around it (bounds at a
+fixed remainder of the rolling hash, as for files, miss most passages of two to five lines). A
+chunk of one line counts if the line has over LONG words. Blank lines count for nothing, and go with the lines around them. Windows that occurred before are
+removed, after a comparison of their lines' bytes. All steps are built-in expressions.
 """
 
 from __future__ import annotations
@@ -11,15 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import cut
+from tidewatch.llm.shared import cut, stored
 
-#: Lines the rolling hash covers; a chunk ends where it is 0 modulo DIVISOR; its base and modulus.
-WINDOW, DIVISOR, BASE, MODULUS = 2, 3, 257, 2_147_483_647
+#: Words over which a line is a passage of its own.
+LONG = 50
 
 
 def line_hash(line: Column) -> Column:
-    """The first 32 bits of the MD5, modulo MODULUS."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % MODULUS
+    return F.xxhash64(line)
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -28,81 +30,94 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_ends(df: DataFrame, lines: str, name: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """Adds the 1-based numbers of the lines that end a chunk; the last line always does."""
-    df = once(df, "_ld_h", F.transform(F.col(lines), line_hash))
-    first = lambda i: F.greatest(i - (window - 2), F.lit(1))
-    rolled = F.transform("_ld_h", lambda _, i: F.aggregate(F.slice("_ld_h", first(i), i + 2 - first(i)), F.lit(0).cast("long"), lambda acc, x: (acc * BASE + x) % MODULUS))
-    df = once(df, "_ld_r", rolled)
-    numbered = F.transform("_ld_r", lambda r, i: F.when((r % divisor == 0) | (i + 1 == F.size("_ld_r")), i + 1))
-    return once(df, name, F.array_compact(numbered)).drop("_ld_h", "_ld_r")
+def body_of(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def _start(ends: str, i: Column) -> Column:
-    """Lines before chunk ``i`` (from 0)."""
-    return F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def chunk_text(lines: str, ends: str, i: Column) -> Column:
-    return F.array_join(F.slice(lines, _start(ends, i) + 1, F.element_at(ends, i + 1) - _start(ends, i)), "\n")
+def is_long(line: Column, words: int) -> Column:
+    """Whether a line has over ``words`` runs of characters other than blanks and tabs."""
+    return (F.length(line) > 2 * words) & (F.size(F.split(F.trim(F.regexp_replace(line, "[ \\t]+", " ")), " ", -1)) > words)
 
 
-def chunk_hashes(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, row, number, hash`` of every chunk of two lines or more. ``row`` names a row by id and text, and
-    is the same for repeated rows."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n", -1).alias("lines")).where(F.size("lines") > 1)
-    base = with_ends(once(base, "l", F.col("lines")).drop("lines"), "l", "ends", window, divisor)
-    many = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.element_at("ends", i + 1) - _start("ends", i) >= 2)
-    return base.select("doc_id", "row", "l", "ends", F.explode(many).alias("number")).select("doc_id", "row", "number", F.xxhash64(chunk_text("l", "ends", F.col("number"))).alias("hash"))
+def is_blank(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r")) == ""
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, text: str = "text") -> DataFrame:
-    """The documents with ``text`` less its repeated multi-line chunks, and ``n_removed`` chunks.
+def windows(docs: DataFrame, long: int = LONG, text: str = "text") -> DataFrame:
+    """``doc_id, row, number, upto, a, b``: the hashes of each two lines of a text between which there are but blank ones, and the
+    numbers (from 1) of these lines; ``b`` is null in the windows of long lines alone. ``row`` names a row by id and text, and is
+    the same for repeated rows."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body_of(text).alias("text"))
+    line = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), line_hash(x).alias("h"), is_long(x, long).alias("long"), is_blank(x).alias("blank")))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.filter(line, lambda x: ~x["blank"]).alias("l"))
+    base = once(base, "m", F.col("l")).drop("l")
+    pair = F.transform("m", lambda x, k: F.struct((x["i"] + 1).alias("number"), (F.get("m", k + 1)["i"] + 1).alias("next"), x["h"].alias("a"), F.get("m", k + 1)["h"].alias("h"), x["long"].alias("long")))
+    rows = base.select("doc_id", "row", F.explode(pair).alias("w")).select("doc_id", "row", "w.*")
+    alone = F.when(F.col("long"), F.struct(F.col("number").alias("upto"), F.lit(None).cast("long").alias("b")))
+    kinds = F.array_compact(F.array(F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("upto"), F.col("h").alias("b"))), alone))
+    return rows.select("doc_id", "row", "number", "a", F.explode(kinds).alias("k")).select("doc_id", "row", "number", "k.upto", "a", "k.b")
 
-    Hashes are counted over all documents, combined on the map side; the first occurrence of a chunk (smallest
-    doc_id, then row, then place; null ids last) stays, and the bytes of the others are compared with it.
-    Texts are shuffled once, those with a repeated hash once more.
+
+def _marked(source: DataFrame, hits: DataFrame, text: str) -> DataFrame:
+    """``source`` with ``_ld_old`` and ``_ld_new``: the numbers of lines in windows that occurred before, and in windows that
+    occur first here and again elsewhere."""
+    per = hits.select("row", "doc_id", "is_first", F.explode(F.sequence("number", "upto")).alias("line")).groupBy("row", "doc_id").agg(F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("_ld_old"), F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("_ld_new"))
+    # materialised, so that both sides of the join come from plain shuffles and a row that is repeated very often can be split
+    per = cut(per.select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), "_ld_old", "_ld_new"))
+    keyed = source.withColumn("_ld_key", F.xxhash64(F.col("doc_id").cast("long"), body_of(text)))
+    return keyed.join(per, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_row", "_ld_id", "_ld_key")
+
+
+def dedup_lines(docs: DataFrame, long: int = LONG, text: str = "text") -> DataFrame:
+    """The documents with ``text`` less its repeated multi-line chunks, and ``n_removed`` lines.
+
+    Windows of two lines (and of one line of over ``long`` words) are counted over all documents, combined on the map side. The
+    first occurrence of a window (smallest doc_id, then row, then place; null ids last) stays whole; a line goes if a
+    window over it occurred before and none over it is such a first occurrence. So every passage
+    that is repeated anywhere remains once in one piece. Lines are compared by their bytes: a hash that stands for different lines
+    removes nothing. Texts are shuffled once and stored once.
 
     All other columns stay as they are, whatever their names but ``n_removed``. Null texts stay null,
     empty ones empty. Rows with equal id and text count as one document: they don't remove each
-    other's chunks. Chunks of one line are never removed. An empty table gives an empty result.
+    other's chunks. An empty table gives an empty result.
     """
     source = docs.drop("n_removed")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    chunks = cut(chunk_hashes(source.select("doc_id", F.col(text).alias("text")), window, divisor))
+    found = cut(windows(source, long, text))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
     # the tables of hashes are materialised, so that both sides of the joins on them come from plain shuffles and a very
-    # common chunk can be split over tasks
-    counts = cut(chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first"))
-    hits = chunks.join(counts, "hash").select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), F.struct("number", "hash", (place == F.col("first")).alias("is_first")).alias("hit"))
-    per = hits.groupBy("_ld_row", "_ld_id").agg(F.collect_set("hit").alias("_ld_hits"))
-    keyed = source.withColumn("_ld_key", F.xxhash64(F.col("doc_id").cast("long"), body))
-    joined = keyed.join(per, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_row", "_ld_id")
-    whole = joined.where("_ld_hits IS NULL").withColumn("n_removed", F.lit(0))
-    held = with_ends(once(joined.where("_ld_hits IS NOT NULL"), "_ld_lines", F.split(body, "\n", -1)), "_ld_lines", "_ld_ends", window, divisor)
-    found = held.select("_ld_key", F.col("doc_id").alias("_ld_id"), "_ld_lines", "_ld_ends", F.explode("_ld_hits").alias("x"))
-    found = found.select("_ld_key", "_ld_id", "x.number", "x.hash", "x.is_first", chunk_text("_ld_lines", "_ld_ends", F.col("x.number")).alias("chunk"))
-    originals = cut(found.where("is_first").groupBy("hash").agg(F.min("chunk").alias("original")))
-    gone = found.where("NOT is_first").join(originals, "hash").where(F.col("chunk") == F.col("original")).groupBy(F.col("_ld_key").alias("_ld_row"), "_ld_id").agg(F.collect_set("number").alias("_ld_gone"))
-    cutting = held.join(gone, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
-    pieces = F.transform("_ld_ends", lambda e, i: F.when(~F.array_contains("_ld_gone", i), F.slice("_ld_lines", _start("_ld_ends", i) + 1, e - _start("_ld_ends", i))))
-    kept = F.array_join(F.flatten(F.array_compact(pieces)), "\n")
-    cutting = cutting.withColumn("n_removed", F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone"))).withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(kept))
-    return whole.select(*source.columns, "n_removed").unionByName(cutting.select(*source.columns, "n_removed"))
-
-
-ORACLE = f"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, lines, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % {MODULUS}) AS h FROM l),
-r AS (SELECT doc_id, lines, list_transform(range(1, len(lines) + 1), lambda i:
-        (CASE WHEN i = 1 THEN h[1] ELSE (h[i - 1] * {BASE} + h[i]) % {MODULUS} END)) AS r FROM h),
-e AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: r[i] % {DIVISOR} = 0 OR i = len(lines)) AS ends FROM r),
-c AS (SELECT doc_id, k, array_to_string(lines[(CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END):ends[k]], chr(10)) AS chunk,
-        ends[k] - (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) AS n
-      FROM (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM e)),
-m AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, k) > 1 AS gone FROM c)
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text,
-       CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed
-FROM m GROUP BY doc_id
+    # common window can be split over tasks
+    counts = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.col("a").alias("x"), F.col("b").alias("y"), "first"))
+    hits = found.join(counts, (F.col("a") == F.col("x")) & F.col("b").eqNullSafe(F.col("y"))).select("row", "doc_id", "number", "upto", "a", "b", (place == F.col("first")).alias("is_first"))
+    marked = stored(_marked(source, hits, text), "marked")
+    # the bytes of all lines in repeated windows: a hash of two different lines is told apart here
+    seen = marked.where("_ld_old IS NOT NULL").select(lines_of(body_of(text)).alias("l"), F.explode(F.array_union("_ld_old", "_ld_new")).alias("i")).select(F.get("l", F.col("i") - 1).alias("line"))
+    mixed = cut(seen.distinct().select(line_hash(F.col("line")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    if not mixed.isEmpty():
+        hits = hits.join(mixed, F.col("a") == F.col("h"), "left_anti").join(mixed, F.col("b").eqNullSafe(F.col("h")), "left_anti")
+        marked = stored(_marked(source, hits, text), "marked")
+    gone = once(marked.where("_ld_old IS NOT NULL"), "_ld_gone", F.sort_array(F.array_except("_ld_old", "_ld_new")))
+    lines = once(gone, "_ld_lines", lines_of(body_of(text)))
+    bounds = once(lines, "_ld_at", F.concat(F.array(F.lit(0)), F.col("_ld_gone"), F.array(F.size("_ld_lines") + 1)))
+    # what lies between lines that go, a slice each: linear in the lines
+    kept = F.transform(F.sequence(F.lit(1), F.size("_ld_at") - 1), lambda k: F.slice("_ld_lines", F.get("_ld_at", k - 1) + 1, F.get("_ld_at", k) - F.get("_ld_at", k - 1) - 1))
+    some = bounds.withColumn("n_removed", F.size("_ld_gone")).withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.array_join(F.flatten(kept), "\n")))
+    whole = marked.where("_ld_old IS NULL").withColumn("n_removed", F.lit(0))
+    return whole.select(*source.columns, "n_removed").unionByName(some.select(*source.columns, "n_removed"))
+
+
+ORACLE = rf"""
+WITH l AS (SELECT doc_id, i, line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) t, unnest(ls) WITH ORDINALITY u(line, i)),
+w AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i + 1 AS n, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b
+      FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+      UNION ALL SELECT doc_id, i, 1, line, NULL FROM l WHERE len(regexp_extract_all(line, '[^ \t]+')) > {LONG}),
+f AS (SELECT doc_id, i, n, count(*) OVER p > 1 AS again, row_number() OVER (p ORDER BY doc_id, i) = 1 AS is_first FROM w WHERE n IS NOT NULL WINDOW p AS (PARTITION BY a, b)),
+c AS (SELECT doc_id, i + unnest(range(n)) AS i, is_first FROM f WHERE again),
+g AS (SELECT doc_id, i, NOT bool_or(is_first) AS gone FROM c GROUP BY doc_id, i)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (NOT coalesce(gone, false)), '') AS text,
+       CAST(count(*) FILTER (coalesce(gone, false)) AS INTEGER) AS n_removed
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """
