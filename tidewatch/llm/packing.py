@@ -23,8 +23,8 @@ from tidewatch.llm.bpe import Numbered, byte_symbols, chunks, spread
 from tidewatch.llm.merging import Merger, token_rows
 from tidewatch.llm.shared import cut, parts
 
-#: Words remembered at most in one Python worker; bytes of a word up to which it is merged on arrays.
-MAX_WORDS, WIDE = 900_000, 32
+#: Words and their characters remembered at most in one Python worker; bytes of a word up to which it is merged on arrays.
+MAX_WORDS, MAX_CHARS, WIDE = 900_000, 16_000_000, 32
 
 
 class WordTokenizer:
@@ -56,12 +56,13 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.words = Numbered()
+        self.words, self.chars = Numbered(), 0
         self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         """Ids of the new words: those of letters alone (but for a mark) merged together on arrays, the rest by the library."""
         new, marks = self.words.new, self.marks
+        self.chars += sum(map(len, new))
         self.words.new = []
         bare, marked, simple = [], [], []
         for w in new:
@@ -102,7 +103,7 @@ class WordTokenizer:
         self.ids = np.concatenate([self.ids, *[x.astype(np.uint32) for x in flat]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > MAX_WORDS or self.chars > MAX_CHARS:
             self.forget()
         get = self.words.__getitem__
         places: list[np.ndarray | None] = []
@@ -154,8 +155,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
 def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with multiplicities that use up the histogram.
 
-    For each length, longest first, the gap it leaves is looked up among the single lengths, then the
-    sums of two, then of three, as far as such pieces are still there; a hit is taken as often as
+    For each length, longest first and of any size, the gap it leaves is looked up among the single lengths no
+    longer, then the sums of two, then of three, as far as such pieces are still there; a hit is taken as often as
     the counts allow. What finds no exact complement goes best-fit, longest first.
     """
     n = np.zeros(capacity + 1, np.int64)
@@ -175,33 +176,36 @@ def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int
                 n[x] -= k * c
             done.append((lengths, k))
 
-    def pair(gap: int, below: int) -> list[tuple[int, int]]:
+    def pairs(gap: int, below: int) -> Iterator[tuple[int, int]]:
         """Pairs a >= b of lengths there are, a at most below, whose sum is gap; a descending."""
         a = np.arange(min(gap - 1, below), (gap + 1) // 2 - 1, -1)
-        a = a[(n[a] > 0) & (n[gap - a] > 0)]
-        return [(int(x), gap - int(x)) for x in a if 2 * x != gap or n[x] >= 2]
+        for x in a[(n[a] > 0) & (n[gap - a] > 0)].tolist():
+            yield x, gap - x
 
-    for length in range(capacity, capacity // 2, -1):
+    # four pieces of the longest length left fill a sequence at best, so shorter ones have no exact complement; longer
+    # pieces than ``length`` have had all of theirs
+    for length in range(capacity, (capacity + 3) // 4 - 1, -1):
         gap = capacity - length
         if not n[length]:
             continue
         if not gap:
             take((length,))
             continue
-        if n[gap]:
+        if gap <= length and n[gap]:
             take((length, gap))
-        for p in pair(gap, gap):
+        for p in pairs(gap, length):
             if not n[length]:
                 break
             take((length, *p))
         if n[length] and gap >= 3:
-            there = (n > 0).astype(np.int64)
-            sums = np.convolve(there[: gap + 1], there[: gap + 1])[: gap + 1] > 0
-            for a in range(gap - 2, 0, -1):
+            there = (n[: gap + 1] > 0).astype(np.int64)
+            there[length + 1 :] = 0
+            sums = np.convolve(there, there)[: gap + 1] > 0
+            for a in range(min(gap - 2, length), (gap + 2) // 3 - 1, -1):
                 if not n[length]:
                     break
                 if n[a] and sums[gap - a]:
-                    for b, c in pair(gap - a, a):
+                    for b, c in pairs(gap - a, a):
                         if not n[length] or not n[a]:
                             break
                         take((length, a, b, c))
@@ -239,7 +243,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     buckets = max(8, parts(spark))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     patterns = plan(hist, capacity)
@@ -276,6 +280,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenise whole documents and pack them: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Null texts count as empty. Repeated rows are packed as often as they occur.
+    Null texts count as empty. Repeated rows are packed as often as they occur. A word of any length is encoded whole; words
+    are remembered up to MAX_WORDS and MAX_CHARS a worker.
     """
     return place(cut(token_pieces(docs, path, capacity, end_id)), capacity)
