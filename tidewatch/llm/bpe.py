@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from tidewatch.llm.merging import Merger, token_rows
 
 #: The pre-tokeniser's pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text worked on at a time, and words remembered at most, in one Python worker; bytes of a word up to which it is merged on arrays.
-CHUNK_CHARS, MAX_WORDS, WIDE = 1_500_000, 700_000, 32
+#: Characters of text worked on at a time, words and characters of words remembered at most, in one Python worker; bytes of a word up to which it is merged on arrays.
+CHUNK_CHARS, MAX_WORDS, MAX_CHARS, WIDE = 1_500_000, 700_000, 16_000_000, 32
 
 
 def byte_symbols() -> list[str]:
@@ -87,7 +88,7 @@ class ByteBPE:
         self.forget()
 
     def forget(self) -> None:
-        self.words = Numbered()
+        self.words, self.chars = Numbered(), 0
         self.word_ids = np.zeros(0, np.uint32)
         self.word_at, self.word_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -136,23 +137,27 @@ class ByteBPE:
         return ok
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging by rank, leftmost first."""
+        """Exact merging by rank, leftmost first: a heap of the pairs that merge over a linked list of tokens."""
         ids = [self.byte_id[b] for b in word]
-        while len(ids) > 1:
-            found = [self.rank.get(p) for p in zip(ids, ids[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(found) and found[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        n, rank = len(ids), self.rank
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := rank.get((a, b)))]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            # a pair whose tokens have been merged since is stale
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j] = rank[a, b][1], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if found := rank.get((ids[i], ids[k])):
+                    heappush(heap, (found[0], i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (found := rank.get((ids[h], ids[i]))):
+                heappush(heap, (found[0], h, ids[h], ids[i]))
+        return [t for t in ids if t >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raw = [w.encode() for w in words]
@@ -176,6 +181,7 @@ class ByteBPE:
         return guess
 
     def learn(self, words: list[str]) -> None:
+        self.chars += sum(map(len, words))
         ids = self.encode_words([w for w in words if w not in self.special])
         if len(ids) < len(words):
             rest = iter(ids)
@@ -199,7 +205,7 @@ class ByteBPE:
         return [p for part in cut.split(text) if part for p in ([part] if part in self.special else self.find(part))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > MAX_WORDS or self.chars > MAX_CHARS:
             self.forget()
         get = self.words.__getitem__
         places = []
@@ -273,7 +279,8 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
     One narrow pass without a shuffle. Null texts count as empty: no tokens. Repeated rows and ids
-    stay as they are; other columns are not read.
+    stay as they are; other columns are not read. A word of any length (a text without blanks) is merged
+    in time n log n of its bytes.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
