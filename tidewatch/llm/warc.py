@@ -16,6 +16,18 @@ from tidewatch.llm.shared import cut
 VERSION, CRLF, PROFILE = "WARC/1.1", "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Characters that a header line can't hold as they are: controls and what Unicode takes for line ends.
+UNSAFE = [*map(chr, range(32)), "\x7f", *map(chr, range(0x80, 0xA0)), "\u2028", "\u2029"]
+
+
+def clean_uri(url: Column) -> Column:
+    """The URI with characters that a header line can't hold percent-encoded, as UTF-8."""
+    out = url
+    for c in UNSAFE:
+        out = F.replace(out, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode())))
+    return F.when(url.rlike("[\\x00-\\x1f\\x7f-\\x9f\\u2028\\u2029]"), out).otherwise(url)
+
+
 def _uuid(kind: str, key: Column) -> Column:
     h = F.md5(F.concat(F.lit(kind), key))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
@@ -28,7 +40,7 @@ def _rows(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
 
 
 def to_headers(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """``header, digest, has_block``: the exact header bytes of one record per row.
+    """``header, http, digest, has_block``: the exact header bytes of one record per row, and those of the HTTP message it holds.
 
     Of rows with equal payloads of at least ``least`` bytes the smallest key is the response and
     the others revisit it; smaller payloads are all responses. A null payload is empty; a row
@@ -37,11 +49,13 @@ def to_headers(pages: DataFrame, least: int = 100, key: str = "page_id", url: st
     grouped (combined on the map side) and joined, and the group table holds repeated digests alone.
     """
     rows = _rows(pages, key, url, payload).drop("block")
+    answer = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
+    rows = rows.withColumn("http", answer)
     # materialised, so that both sides of the join come from plain shuffles and a very common payload can be split over tasks
     groups = cut(rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     rows = rows.join(groups, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    name, clean = F.coalesce(F.col("key").cast("string"), F.lit("none")), F.regexp_replace("url", r"[\r\n]+", " ")
+    name, clean = F.coalesce(F.col("key").cast("string"), F.lit("none")), clean_uri(F.col("url"))
     line = lambda field, value: F.concat(F.lit(f"{field}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit(VERSION + CRLF),
@@ -52,11 +66,11 @@ def to_headers(pages: DataFrame, least: int = 100, key: str = "page_id", url: st
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), _uuid("record", F.col("first").cast("string")), F.lit(">"))), line("WARC-Refers-To-Key", F.col("first").cast("string")))).otherwise(F.lit("")),
         line("X-Key", name),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", (F.length("http") + F.when(revisit, F.lit(0)).otherwise(F.col("n"))).cast("string")),
         F.lit(CRLF),
     )
-    return rows.select(F.encode(header, "UTF-8").alias("header"), "digest", (~revisit).alias("has_block"))
+    return rows.select(F.encode(header, "UTF-8").alias("header"), F.encode("http", "UTF-8").alias("http"), "digest", (~revisit).alias("has_block"))
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 100, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -71,13 +85,13 @@ def write_archive(pages: DataFrame, path: str, least: int = 100, key: str = "pag
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records: ``header, digest, block, payload``. ``block`` is what the record itself holds (empty
-    for a revisit); ``payload`` the full payload, the referred response's for a revisit. A stored
+    """The records: ``header, digest, block, payload``. ``block`` is what the record itself holds (an HTTP message, for a
+    revisit its header alone); ``payload`` the full payload, the referred response's for a revisit. A stored
     payload whose bytes don't give its digest raises an error."""
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     verified = payloads.select("digest", F.when(F.sha2("block", 256) == F.col("digest"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("corrupt payload "), F.col("digest"))).cast("binary")).alias("payload"))
     out = headers.join(verified, "digest", "left")
-    return out.select("header", "digest", F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b"")).alias("block"), "payload")
+    return out.select("header", "digest", F.concat("http", F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b""))).alias("block"), "payload")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -86,8 +100,8 @@ def record_bytes(records: DataFrame) -> DataFrame:
 
 
 def field(header: Column, name: str) -> Column:
-    """A named field of a record header, null if absent."""
-    return F.nullif(F.regexp_extract(F.decode(header, "UTF-8"), f"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
+    """A named field of a record header, null if absent. Lines end at CRLF alone."""
+    return F.nullif(F.regexp_extract(F.decode(header, "UTF-8"), f"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
