@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -116,6 +117,17 @@ def test_bpe_verification_catches_every_wrong_guess():
     assert own.encode_words(words) == [own.merged(w.encode()) for w in words]
 
 
+def test_bpe_of_very_long_words(texts):
+    t, own = tokenizer("byte_bpe_50k.json"), bpe.ByteBPE(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for letters in ("etaoinshrdlu", "a", "ab", "漢字é"):
+        word = "".join(rng.choice(letters) for _ in range(60_000))
+        assert own.encode([word])[0].tolist() == t.encode(word, add_special_tokens=False).ids
+    began = time.process_time()
+    own.merged("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)).encode())
+    assert time.process_time() - began < 60
+
+
 def test_bpe_columns_round_trip(odd):
     path = vocabulary("byte_bpe_50k.json")
     out = bpe.decode_column(bpe.encode_column(odd, path), path, text="back")
@@ -162,6 +174,46 @@ def test_packing_plan_takes_exact_complements():
     assert packing.plan({}, 10) == []
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences that hold all lengths, by exhaustive search."""
+    best = [len(lengths)]
+
+    def put(left, gaps):
+        if len(gaps) >= best[0]:
+            return
+        if not left:
+            best[0] = len(gaps)
+            return
+        x, rest = left[0], left[1:]
+        for g in sorted({g for g in gaps if g >= x}):
+            k = gaps.index(g)
+            put(rest, gaps[:k] + [g - x] + gaps[k + 1 :])
+        put(rest, [*gaps, capacity - x])
+
+    put(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_packing_plan_against_exhaustive_search():
+    hist = {1000: 1, 900: 1, 748: 1, 648: 1, 400: 2}
+    assert sum(k for _, k in packing.plan(hist, 2048)) == 2
+    assert sum(k for _, k in packing.plan({x: 1000 * n for x, n in hist.items()}, 2048)) == 2000
+    assert sum(k for _, k in packing.plan({5: 40, 4: 40, 3: 40, 2: 40, 6: 40}, 20)) == 40  # no length above half of the capacity
+    rng, over = random.Random(9), 0
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 10))]
+        got, want = sum(k for _, k in packing.plan(dict(collections.Counter(lengths)), 20)), fewest(lengths, 20)
+        assert want <= got <= want + 1
+        over += got > want
+    assert over <= 3
+
+
+def test_packing_of_rows_that_are_alike(spark):
+    rows = spark.createDataFrame([(None, 0, 700)] * 400, "doc_id long, piece int, length long").repartition(6)
+    out = packing.place(rows).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 400 and len({r.sequence_id for r in out}) == 200
+
+
 def brute_fingerprint(text, k):
     from xxhash import xxh64_intdigest
 
