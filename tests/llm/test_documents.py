@@ -278,6 +278,67 @@ def test_language_held_out_accuracy(spark, sf_dir, odd):
     assert {r.lang_pred for r in language_id.identify(docs.limit(3), language_id.fit(docs.where("false"))).collect()} == {"und"}
 
 
+def brute_language(texts, labels, chosen, asked):
+    """The kernel, its Nystroem features and the ridge regression written out with sets of n-grams."""
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    marks = [grams(t) for t in chosen]
+    alphabet = set().union(*marks)
+    rows = lambda ts: [grams(t.lower()) & alphabet for t in ts]
+    norm = lambda g: max(len(g), 1) ** 0.5
+    kernel = lambda a: np.array([[len(x & m) / norm(x) / norm(m) for m in marks] for x in a])
+    w, v = np.linalg.eigh(kernel(marks))
+    good = w > 1e-6 * w.max()
+    whiten = v[:, good] / np.sqrt(w[good])
+    z = np.hstack([kernel(rows(texts)) @ whiten, np.ones((len(texts), 1))])
+    classes = sorted(set(labels))
+    y = np.array([[1.0 if x == c else -1.0 for c in classes] for x in labels])
+    s = np.array([len(labels) / (len(classes) * labels.count(x)) for x in labels])[:, None]
+    penalty = language_id.RIDGE * np.eye(z.shape[1]) * len(z) / len(classes)
+    penalty[-1, -1] = 0
+    weights = np.linalg.solve(z.T @ (s * z) + penalty + 1e-9 * np.eye(len(penalty)), z.T @ (s * y))
+    f = language_id.SHARPNESS * (np.hstack([kernel(rows(asked)) @ whiten, np.ones((len(asked), 1))]) @ weights)
+    p = np.exp(f - f.max(1, keepdims=True))
+    return [classes[i] for i in p.argmax(1)], (p / p.sum(1, keepdims=True)).max(1)
+
+
+@pytest.mark.parametrize("slots", [1 << 22, 1])  # by a table, and by the sorted n-grams
+def test_language_kernel_equals_brute_force(texts, monkeypatch, slots):
+    monkeypatch.setattr(language_id, "SLOTS", slots)
+    monkeypatch.setattr(language_id, "BATCH_CELLS", 50_000)
+    some = [t for t in texts.values() if t][:60]
+    han = ["".join(chr(0x4E00 + (i * 31 + k * 7) % 300) for k in range(80)) for i in range(20)]
+    learned, labels = [*some[:30], *han], ["x"] * 15 + ["y"] * 15 + ["zh"] * 20
+    model = language_id.KernelModel(learned, labels, landmarks=12)
+    chosen = [language_id.passage(learned[i].lower(), i) for i in (0, 1, 2, 3, 15, 16, 17, 18, 30, 31, 32, 33)]
+    asked = [*some, *han, "A.", "Ж", "12"]
+    got, want = model.predict(asked), brute_language(learned, labels, chosen, asked)
+    assert np.allclose(got[1][:-1], want[1][:-1], atol=2e-3) and got[1][-1] == 0 and got[0][-1] == "und"
+    assert [a for a, p in zip(got[0][:-1], want[1]) if p > 0.51] == [b for b, p in zip(want[0][:-1], want[1]) if p > 0.51]
+    marks = {t[i : i + 3] for t in chosen for i in range(len(t) - 2)}
+    share = [sum(t[i : i + 3] in marks for i in range(len(t) - 2)) / (len(t) - 2) if len(t) > 2 else 1.0 for t in (x.lower() for x in asked[:-1])]
+    assert np.allclose(got[2][:-1], share)
+
+
+def test_a_model_is_bounded_whatever_the_script():
+    rng = random.Random(2)
+    many = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(20_000)) for _ in range(100)]
+    model = language_id.KernelModel(many[:40], ["a"] * 20 + ["b"] * 20)
+    assert len(model.columns) <= language_id.LANDMARKS * language_id.LANDMARK_CHARS * 3
+    assert model.predict(many[:2])[0] == ["a", "a"]
+
+
+def test_pipeline_rejects_what_was_not_learned(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(5)
+    noise = ["мы сегодня пошли гулять в парк и вернулись домой", "我们今天去公园散步然后回家", "".join(rng.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(300)), rng.randbytes(200).hex()]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), sf_dir).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where("length(text) > 20").collect()}
+    assert clean <= kept and not any(i >= 10**9 for i in kept)
+
+
 def test_transport_stream_round_trip(odd):
     rng = random.Random(5)
     for n in [1, 2, 150, 169, 170, 171, 183, 184, 185, 352, 353, 354, 30_720, 30_721, 100_000, *[rng.randint(1, 1000) for _ in range(200)]]:

@@ -36,7 +36,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
-    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
