@@ -355,16 +355,74 @@ def test_transport_stream_round_trip(odd):
         transport_stream.demux(b"x" + long[1:])
     twice = list(parts)
     twice[5] = twice[5][:3] + bytes([twice[5][3] & 0xF0 | (twice[5][3] + 3) & 15]) + twice[5][4:]
-    assert transport_stream.demux(b"".join(twice))[1]["lost"] == 2
+    with pytest.raises(transport_stream.StreamError):  # counters that break within a PES packet
+        transport_stream.demux(b"".join(twice))
     rows = transport_stream.media_features(odd).collect()
     assert len(rows) == len(ODD) and {r.payload_bytes % 192 for r in rows} == {0} and min(r.payload_bytes for r in rows) == 192
     assert transport_stream.media_features(odd.where("false")).count() == 0
 
 
+def packet(pid, counter, data, unit=False, field=None):
+    """One packet; the adaptation field is stuffed so that the data fill the rest."""
+    room = 184 - len(data)
+    head = bytes([0x47, (0x40 if unit else 0) | pid >> 8, pid & 255, (0x30 if room else 0x10) | counter & 15])
+    return head + (b"" if not room else bytes([room - 1]) + ((field or b"\x00") + b"\xff" * 183)[: room - 1]) + data
+
+
+def scalar_stream(payload):
+    """The stream of ``transport_stream.mux``, packet by packet."""
+    out, counter, tables = [], 0, 0
+    for k in range(-(-len(payload) // transport_stream.PES_BYTES)):
+        data, t = payload[k * transport_stream.PES_BYTES :][: transport_stream.PES_BYTES], k * 3003
+        if k % 4 == 0:
+            for pid, section in ((0, transport_stream.PAT), (256, transport_stream.PMT)):
+                out.append(bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10 | tables & 15, 0]) + section + b"\xff" * (183 - len(section)))
+            tables += 1
+        bits = f"{t:033b}"
+        stamp = int(f"0010{bits[:3]}1{bits[3:18]}1{bits[18:]}1", 2).to_bytes(5, "big")
+        pes = b"\0\0\1\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp + data
+        field = b"\x50" + int(f"{bits}111111000000000", 2).to_bytes(6, "big") if k % 4 == 0 else None
+        unit = True
+        while pes:
+            part = pes[: 184 - (8 if unit and field else 0)]
+            out.append(packet(257, counter, part, unit, field if unit else None))
+            pes, counter, unit = pes[len(part) :], counter + 1, False
+    return b"".join(out)
+
+
+def section(table, number, body):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\0\0"
+    return head + body + transport_stream.crc32_mpeg(head + body).to_bytes(4, "big")
+
+
+def test_streams_of_several_programs_long_tables_duplicates_and_jumps():
+    pat = section(0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, pid in ((0, 16), (7, 300), (9, 301))))
+    long = section(2, 7, b"\xe1\x00" + (0xF000 | 400).to_bytes(2, "big") + bytes(400) + b"\x06\xe1\x90\xf0\x02ab" + b"\x1b\xe1\x91\xf0\x00")  # over several packets
+    short = section(2, 9, b"\xe1\x00\xf0\x00\x06\xe1\x92\xf0\x00")
+    pes = lambda data: b"\0\0\1\xbd" + (len(data) + 3).to_bytes(2, "big") + b"\x80\x00\x00" + data
+    tables = [packet(0, 0, b"\0" + pat, True)] + [packet(300, i, x, i == 0) for i, x in enumerate([b"\0" + long[:183], long[183:367], long[367:]])] + [packet(301, 0, b"\0" + short, True)]
+    a, b = pes(bytes(range(200))), pes(b"second")
+    first = [packet(400, 3, a[:184], True), packet(400, 4, a[184:])]
+    stream = [*tables, packet(8191, 5, bytes(184)), first[0], first[0], packet(402, 0, b, True), first[1], packet(8191, 9, bytes(184)), packet(400, 9, pes(b"x" * 20), True, b"\x80")]
+    payload, info = transport_stream.demux(b"".join(stream))
+    assert payload == bytes(range(200)) + b"x" * 20 and info["lost"] == 0 and info["duplicates"] == 1 and info["programs"] == 2
+    assert info["streams"] == {7: [(400, 6), (401, 0x1B)], 9: [(402, 6)]}
+    assert transport_stream.demux(b"".join(stream), program=9)[0] == b"second"
+    with pytest.raises(transport_stream.StreamError):  # a packet within a PES packet is missing though its length fits
+        transport_stream.demux(b"".join([*tables, packet(400, 3, a[:100], True), packet(400, 5, a[100:])]))
+    with pytest.raises(transport_stream.StreamError):
+        transport_stream.demux(b"".join(stream), program=5)
+
+
 def test_media_query_equals_brute_force(spark, sf_dir, texts):
     for r in QUERIES["op7_transport_stream"](spark, sf_dir).collect():
         raw = (texts[r.doc_id] or "").encode()
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        media, n = scalar_stream(payload), -(-len(payload) // transport_stream.PES_BYTES)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        points = "/".join(f"{k}@{k * 3003}" for k in range(0, n, 4))
+        assert r.feature == f"packets={len(media) // 188};programs=1;pid=257;type=6;pes={n};pts=0-{(n - 1) * 3003};access={points};lost=0"
+        assert r.pts == [k * 3003 for k in range(n)] and [(x.pes, x.pts) for x in r.access_points] == [(k, k * 3003) for k in range(0, n, 4)]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import stored
 
-#: Fixed values of the format: packet size, sync byte, start of a PES packet of private stream 1.
-PACKET, SYNC, PES_START = 188, 0x47, b"\x00\x00\x01\xbd"
+#: Fixed values of the format: packet size, sync byte, start of a PES packet of private stream 1, packet id of stuffing.
+PACKET, SYNC, PES_START, NULL_PID = 188, 0x47, b"\x00\x00\x01\xbd", 0x1FFF
 #: This writer's choices: packet ids, stream type (private PES data), bytes a PES packet, ticks between them, PES packets between access points.
 PMT_PID, ES_PID, STREAM_TYPE, PES_BYTES, TICKS, EVERY = 0x100, 0x101, 0x06, 192 * 160, 3003, 4
 UNIT = 192
@@ -97,26 +97,36 @@ class StreamError(ValueError):
     pass
 
 
-def _sections(packets: np.ndarray, start: np.ndarray, which: np.ndarray) -> bytes:
-    """The first whole section in the packets chosen (sections of one packet), its checksum checked."""
-    i = int(which[0])
-    raw = packets[i, start[i] :].tobytes()
-    raw = raw[1 + raw[0] :]
-    size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
-    if len(raw) < size or crc32_mpeg(raw[:size]):
-        raise StreamError("a table section is damaged")
-    return raw[:size]
+def _sections(units: list[tuple[bool, bytes]]) -> list[bytes]:
+    """The whole table sections in the payloads of one packet id (whether a section begins in it, bytes), also sections over
+    several packets and several in one; their checksums checked."""
+    out, held = [], b""
+    for begins, data in units:
+        if begins and (not data or data[0] >= len(data)):
+            raise StreamError("a table section is damaged")
+        going = held + (data[1 : 1 + data[0]] if begins else data) if held else b""
+        for more in (going, data[1 + data[0] :]) if begins else (going,):
+            while len(more) >= 3 and more[0] != 0xFF and len(more) >= (size := 3 + (int.from_bytes(more[1:3], "big") & 0xFFF)):
+                if crc32_mpeg(more[:size]):
+                    raise StreamError("a table section is damaged")
+                out.append(more[:size])
+                more = more[size:]
+            held = b"" if not more or more[0] == 0xFF else more
+    return out
 
 
-_tables: dict[bytes, bytes] = {}
+def _stamped(s: bytes) -> int:
+    return (s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1
 
 
-def demux(stream: bytes) -> tuple[bytes, dict]:
-    """The payload and what the stream says of itself.
+def demux(stream: bytes, program: int | None = None) -> tuple[bytes, dict]:
+    """The payload of a program's first elementary stream and what the stream says of itself.
 
     ``packets, programs, pid, stream_type, pes, pts`` (all times), ``access`` (pairs of PES number and time
-    at random access points), ``lost``: breaks in a packet id's continuity counter. Raises StreamError on
-    lost sync or tables that are missing or damaged.
+    at random access points), ``lost``: breaks in a packet id's continuity counter, ``duplicates``: packets sent twice, which
+    count once, ``streams``: packet id and type of all elementary streams by program number. ``program``: its number; the first one
+    if not given. A break announced by the discontinuity flag isn't lost. Raises StreamError on
+    lost sync, on tables that are missing or damaged and on PES packets with a part missing.
     """
     if len(stream) % PACKET or not stream:
         raise StreamError("not a whole number of packets")
@@ -124,42 +134,71 @@ def demux(stream: bytes) -> tuple[bytes, dict]:
     if (p[:, 0] != SYNC).any():
         raise StreamError("lost sync")
     pid = (p[:, 1].astype(np.int64) & 31) << 8 | p[:, 2]
-    unit, has_field, has_data, counter = p[:, 1] & 0x40 > 0, p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0, p[:, 3] & 15
+    unit, has_field, has_data, counter = p[:, 1] & 0x40 > 0, p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0, (p[:, 3] & 15).astype(np.int64)
     start = np.where(has_field, 5 + p[:, 4].astype(np.int64), 4)
-    random_access = has_field & (p[:, 4] > 0) & (p[:, 5] & 0x40 > 0)
-    lost = 0
-    for x in np.unique(pid):
-        c = counter[(pid == x) & has_data].astype(np.int64)
-        lost += int(((c[1:] - c[:-1]) % 16 != 1).sum())
-    if not len(at := np.flatnonzero((pid == 0) & unit)):
+    flags = np.where(has_field & (p[:, 4] > 0), p[:, 5], 0)
+    random_access, jump = flags & 0x40 > 0, flags & 0x80 > 0
+    lost, duplicate, broken = 0, np.zeros(len(p), bool), np.zeros(len(p), bool)
+    for x in np.unique(pid).tolist():
+        if x == NULL_PID:
+            continue
+        at = np.flatnonzero((pid == x) & has_data)
+        step = (counter[at[1:]] - counter[at[:-1]]) % 16
+        # a packet may be sent twice in a row: equal but for its clock
+        again = np.zeros(len(at), bool)
+        for k in np.flatnonzero(step == 0).tolist():
+            a, b = p[at[k]], p[at[k + 1]]
+            again[k + 1] = not again[k] and start[at[k]] == start[at[k + 1]] and bool((a[start[at[k]] :] == b[start[at[k]] :]).all())
+        duplicate[at] = again
+        kept = at[~again]
+        gap = ((counter[kept[1:]] - counter[kept[:-1]]) % 16 != 1) & ~jump[kept[1:]]
+        broken[kept[1:][gap]] = True
+        lost += int(gap.sum())
+
+    def sections(x: int) -> list[bytes]:
+        return _sections([(bool(unit[i]), p[i, start[i] :].tobytes()) for i in np.flatnonzero((pid == x) & has_data & ~duplicate).tolist()])
+
+    programs: dict[int, int] = {}
+    for pat in sections(0):
+        if pat[0] == 0:
+            for i in range(8, len(pat) - 4, 4):
+                if number := int.from_bytes(pat[i : i + 2], "big"):
+                    programs.setdefault(number, int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF)
+    if not programs:
         raise StreamError("no program association table")
-    pat = _sections(p, start, at)
-    programs = [int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(pat) - 4, 4) if pat[i] or pat[i + 1]]
-    if not programs or not len(at := np.flatnonzero((pid == programs[0]) & unit)):
-        raise StreamError("no program map table")
-    pmt = _sections(p, start, at)
-    i = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
-    kind, es = pmt[i], int.from_bytes(pmt[i + 1 : i + 3], "big") & 0x1FFF
-    mine = np.flatnonzero((pid == es) & has_data)
+    streams: dict[int, list[tuple[int, int]]] = {}
+    for number, table in programs.items():
+        pmt = next((x for x in sections(table) if x[0] == 2 and int.from_bytes(x[3:5], "big") == number), None)
+        if pmt is None:
+            raise StreamError("no program map table")
+        i, streams[number] = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF), []
+        while i < len(pmt) - 4:
+            streams[number].append((int.from_bytes(pmt[i + 1 : i + 3], "big") & 0x1FFF, pmt[i]))
+            i += 5 + (int.from_bytes(pmt[i + 3 : i + 5], "big") & 0xFFF)
+    own = streams.get(next(iter(programs)) if program is None else program)
+    if not own:
+        raise StreamError("no such program, or nothing in it")
+    es, kind = own[0]
+    mine = np.flatnonzero((pid == es) & has_data & ~duplicate)
+    mine = mine[np.cumsum(unit[mine]) > 0]  # what precedes the first PES packet belongs to none
     data = p[mine][np.arange(PACKET) >= start[mine, None]].tobytes()
-    ends = np.cumsum(PACKET - start[mine])
-    begins = (ends - (PACKET - start[mine]))[unit[mine]].tolist()
-    flagged = random_access[mine][unit[mine]].tolist()
+    ends = np.cumsum(PACKET - np.minimum(start[mine], PACKET))
+    first = np.flatnonzero(unit[mine])
+    begins = (ends - (PACKET - np.minimum(start[mine], PACKET)))[first].tolist()
+    flagged = random_access[mine][first].tolist()
+    torn = np.add.reduceat((broken[mine] & ~unit[mine]).astype(np.int64), first) if len(first) else []
     parts, pts, access = [], [], []
     for k, (b, e) in enumerate(zip(begins, [*begins[1:], len(data)])):
         pes = data[b:e]
         size = int.from_bytes(pes[4:6], "big")
-        if pes[:4] != PES_START or size and len(pes) < 6 + size:
+        if pes[:3] != PES_START[:3] or len(pes) < 9 or size and len(pes) < 6 + size or torn[k]:
             raise StreamError("a PES packet is damaged")
-        t = None
-        if pes[7] & 0x80:
-            s = pes[9:14]
-            t = (s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1
+        t = _stamped(pes[9:14]) if pes[7] & 0x80 else None
         pts.append(t)
         if flagged[k]:
             access.append((k, t))
         parts.append(pes[9 + pes[8] : 6 + size if size else None])
-    return b"".join(parts), {"packets": len(p), "programs": len(programs), "pid": es, "stream_type": kind, "pes": len(parts), "pts": pts, "access": access, "lost": lost}
+    return b"".join(parts), {"packets": len(p), "programs": len(programs), "pid": es, "stream_type": kind, "pes": len(parts), "pts": pts, "access": access, "lost": lost, "duplicates": int(duplicate.sum()), "streams": streams}
 
 
 def pad(text: str) -> tuple[int, bytes]:
