@@ -12,8 +12,7 @@ __all__ = ["components", "cut", "new_folder", "parts", "shared_dir", "stored"]
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that the lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "cut")
 
 
 def parts(spark: SparkSession) -> int:
