@@ -8,11 +8,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from compare import connection, same
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, edit_fingerprint, language_id, line_dedup, packing, simhash, transport_stream
+from tidewatch.llm import bpe, buckets, edit_fingerprint, language_id, line_dedup, packing, simhash, transport_stream
 from tidewatch.llm.queries import ORACLES, QUERIES, vocabulary
 
 ODD = [(5, "a\nb\nc\nd"), (5, "a\nb\nc\nd"), (None, "x\na\nb\nc\nd"), (1, None), (2, ""), (3, " \n\t"), (4, "ÀÉ ß 漢字 🙂 <|endoftext|> don't"), (7, "word " * 5000), (6, "q\na\nb\nc\nd"), (6, "other")]
@@ -459,15 +460,115 @@ def test_walk_follows_edits():
     assert w.fingerprints([b, "", a])[2] == fa  # company in a batch makes no difference
 
 
-def test_near_pairs_finds_edited_copies(spark):
-    rng = random.Random(8)
-    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(1500)) for _ in range(20)]
-    copies = [t[:700] + "Q" + t[701:] for t in base]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(base + copies)], "doc_id long, text string")
-    fps = edit_fingerprint.add_fingerprint(df).cache()
-    prints = {r.doc_id: r.fingerprint for r in fps.collect()}
-    found = {frozenset((r.a, r.b)) for r in edit_fingerprint.near_pairs(fps, least=0.8).collect()}
-    hit = [i for i in range(20) if prints[i] == prints[i + 20] or frozenset((prints[i], prints[i + 20])) in found]
-    like = [i for i in range(20) if edit_fingerprint.likeness(prints[i], prints[i + 20]) >= 0.8]
-    assert hit == like and len(like) >= 16
-    assert all(len({i % 20 for i, p in prints.items() if p in pair}) == 1 for pair in found)
+def scalar_walk(text, end_marks=()):
+    """The walk a step at a time: the character shown at each time."""
+    shown, t = [], 0
+    for c in text:
+        kind = int(edit_fingerprint._mix(np.array([ord(c)]))[0]) % edit_fingerprint.CLASSES
+        while True:
+            shown.append(c)
+            coin = t % edit_fingerprint.PERIOD == 0 or int(edit_fingerprint._mix(np.array([t % edit_fingerprint.PERIOD * edit_fingerprint.CLASSES + kind]))[0]) & 1
+            t += 1
+            if coin:
+                break
+    return shown
+
+
+def scalar_fingerprint(text):
+    shown, out, octave = scalar_walk(text), "", 0
+    while shown and (octave == 0 or edit_fingerprint.FIRST << octave - 1 < len(shown)):
+        for t in edit_fingerprint.sample_times(octave).tolist():
+            h = (ord(shown[t]) * 0x9E3779B97F4A7C15 + t) % 2**64 if t < len(shown) else None
+            out += "-" if h is None else f"{int(edit_fingerprint._mix(np.array([h], np.uint64))[0]) >> 7 & 15:x}"
+        octave += 1
+    return out
+
+
+def scalar_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    n, same, held = max(len(a), len(b)), 0.0, 0.0
+    for i in range(n):
+        x, y = a[i : i + 1] or "-", b[i : i + 1] or "-"
+        weight = edit_fingerprint.FIRST * 2.0 ** max(i // 64 - 1, 0) / 64
+        held += weight * (x != "-" or y != "-")
+        same += weight * (x == y != "-")
+    return max(0.0, (same / held - 1 / 16) / (15 / 16))
+
+
+def test_edit_fingerprint_query_equals_brute_force(spark, sf_dir, texts):
+    rows = QUERIES["op9_edit_fingerprint"](spark, sf_dir).collect()
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    checked = 0
+    for r in rows:
+        a, b = texts[r.doc_id] or "", texts[after[r.doc_id]] or ""
+        if len(a) < 3000:
+            checked += 1
+            k = len(a) // 3
+            assert r.fingerprint == scalar_fingerprint(a) and r.edited_fingerprint == scalar_fingerprint(a[: len(a) - k] + b[:k])
+        assert r.near_edited == pytest.approx(scalar_likeness(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(scalar_likeness(r.fingerprint, prints[after[r.doc_id]]))
+    assert checked > 50
+
+
+def edit_family(seed=8):
+    """Texts in families of edited copies, so that likenesses spread about the bound, also of copies of copies."""
+    rng, out = random.Random(seed), []
+    for k in range(12):
+        text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.choice([300, 900, 1500])))
+        for _ in range(9):
+            out.append(text)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(text))
+                text = text[:i] + rng.choice(["", "Q", "xyz"]) + text[i + rng.randrange(3) :]
+    return out
+
+
+@pytest.mark.parametrize(("crowded", "block"), [(16, 128), (2, 3)])
+def test_near_groups_against_all_pairs(spark, monkeypatch, crowded, block):
+    monkeypatch.setattr(edit_fingerprint, "CROWDED", crowded)
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", block)
+    texts = edit_family()
+    prints = edit_fingerprint.walker().fingerprints(texts)
+    want, near, missed = list(range(len(texts))), [], 0
+    for i in range(len(texts)):
+        near += [(i, j) for j in range(i) if edit_fingerprint.likeness(prints[i], prints[j]) >= edit_fingerprint.LEAST]
+    for _ in texts:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.near_group for r in edit_fingerprint.near_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = sum(got[i] != got[j] for i, j in near)
+    assert len(near) > 100 and missed <= 0.01 * len(near)
+    assert all(want[i] == want[g] for i, g in got.items())  # and no link that isn't one
+
+
+def test_a_bucket_of_mixed_clusters_loses_no_link(spark):
+    """One bucket of many members: clusters, chains and single members, joined as by all pairs."""
+    rng = random.Random(2)
+    points = {i: x for i, x in enumerate(sorted(rng.uniform(0, 400) for _ in range(300)))}
+    keyed = spark.createDataFrame([(7, i) for i in points] + [(8, i) for i in list(points)[:5]], "key long, node long")
+    near = lambda x, y: np.abs(x.to_numpy() - y.to_numpy()) <= 1
+
+    def forest(pdf):
+        x, c, node = pdf["data"].to_numpy(), pdf["component"].to_numpy(), pdf["node"].to_numpy()
+        i, j = np.nonzero((np.abs(x[:, None] - x[None]) <= 1) & (c[:, None] != c[None]))
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    payload = lambda wanted: spark.createDataFrame(list(points.items()), "node long, data double").join(wanted, "node", "left_semi")
+    got = {r.node: r.component for r in buckets.linked(keyed, payload, near, forest, 4, 16).collect()}
+    want = {0: 0}
+    for i in range(1, len(points)):
+        want[i] = want[i - 1] if points[i] - points[i - 1] <= 1 else i
+    assert len(set(want.values())) > 20 and {i: got.get(i, i) for i in points} == want
+
+
+def test_rows_without_ids_and_of_one_id_are_dealt(spark):
+    rows = [(None, f"text {i}") for i in range(60)] + [(5, f"other {i}") for i in range(40)] + [(5, "other 1"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = edit_fingerprint.near_edits(df).collect()
+    assert len(out) == len(rows) and {r.near_group for r in out if r.doc_id is None} <= {None, 5}
+    dealt = edit_fingerprint.in_order(df)
+    assert dealt.select("bucket").distinct().count() >= 8 and dealt.where("NOT guard").count() == len(rows)

@@ -10,6 +10,7 @@ shared sample of times, as many in each doubling of time.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import cut, parts
+from tidewatch.llm import buckets
+from tidewatch.llm.shared import cut, parts, stored
 
 #: Sampled times in each octave of time; the walk's coins repeat after PERIOD times and tell CLASSES of characters apart.
 PER_OCTAVE, PERIOD, CLASSES = 64, 4096, 64
@@ -27,6 +29,10 @@ FIRST = 64
 CELLS = 2_000_000
 #: Chance that digits of different characters agree.
 CHANCE = 1 / 16
+#: Characters in a bucket of neighbouring ids, about; likeness of near copies; bands and their digits; growth of lengths from one level to the next.
+BUCKET, LEAST, BANDS, DIGITS, LEVEL = 1 << 28, 0.8, 12, 5, 1.25
+#: Members of a band's bucket up to which all its pairs are verified, and in a block of a larger one.
+CROWDED, BLOCK = 16, 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -185,68 +191,128 @@ def add_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.drop("fingerprint").withColumn("fingerprint", run(F.col("text").cast("string")))
 
 
-def near_pairs(fps: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6) -> DataFrame:
-    """Pairs of different fingerprints with a likeness of ``least`` or more: ``a, b, likeness``.
-
-    Bit-sampled banding: each band is ``digits`` digits drawn from the top octave of a length class;
-    fingerprints that agree on a band are candidates and are verified. A text counts in the classes of
-    its own octave and the one below, so that neighbours across a class bound meet. Equal
-    fingerprints are one; within a band's bucket each member is compared with the bucket's least and
-    its next in order only, so output stays linear: the links still connect a bucket whose members
-    are alike. Null and empty fingerprints have no pairs.
+def sampled_digits(level: int) -> np.ndarray:
+    """A row of places in a fingerprint per band: times drawn evenly below LEVEL ** level, the same for all fingerprints."""
+    end = max(1.0, LEVEL**level)
+    at = np.random.RandomState(level).random_sample((BANDS, DIGITS)) * end
+    octave = np.where(at < FIRST, 0, np.floor(np.log2(np.maximum(at, FIRST) / FIRST)).astype(int) + 1)
+    begin = np.where(octave == 0, 0, FIRST * 2.0 ** (octave - 1))
+    size = np.where(octave == 0, FIRST, begin)
+    return octave * PER_OCTAVE + np.minimum(((at - begin) / size * PER_OCTAVE).astype(int), PER_OCTAVE - 1)
+
+
+def band_keys(fingerprints: list[str]) -> list[np.ndarray]:
+    """A 64-bit key per band of each fingerprint, in its level of length and the next: two whose lengths differ by up to a
+    factor of LEVEL share a level. None for the empty fingerprint."""
+    times = walker().sampled(1 << 40)
+    out = []
+    for f in fingerprints:
+        digits = np.frombuffer(f.encode(), np.uint8)
+        shown = np.flatnonzero(digits != 45)
+        keys = []
+        if len(shown):
+            level = int(np.log(times[shown[-1]] + 1.0) / np.log(LEVEL))
+            for k in (level, level + 1):
+                if k not in _places:
+                    _places[k] = sampled_digits(k)
+                at = _places[k]
+                got = np.where(at < len(digits), digits[np.minimum(at, len(digits) - 1)], 45).astype(np.uint64)
+                code = np.zeros(BANDS, np.uint64)
+                for column in got.T:
+                    code = _mix(code * np.uint64(31) + column + np.uint64(1))
+                keys.append(_mix(code + np.arange(BANDS, dtype=np.uint64) + np.uint64(k * BANDS)).view(np.int64))
+        out.append(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+    return out
+
+
+_places: dict[int, np.ndarray] = {}
+
+
+def alike(x: pd.Series, y: pd.Series) -> np.ndarray:
+    return np.array([likeness(a, b) >= LEAST for a, b in zip(x, y)], bool)
+
+
+def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of different components of two blocks that join all that are alike."""
+    pdf = pdf.drop_duplicates("node")
+    left = list(zip(pdf["node"], pdf["component"], pdf["data"]))
+    links = []
+    while left:
+        group = left[0][1]
+        front, left = [x for x in left if x[1] == group], [x for x in left if x[1] != group]
+        while front and left:
+            node, _, data = front.pop()
+            hit = {x[1]: x for x in left if likeness(data, x[2]) >= LEAST}
+            links += [(node, x[0]) for x in hit.values()]
+            front += [x for x in left if x[1] in hit]
+            left = [x for x in left if x[1] not in hit]
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def near_groups(prints: DataFrame) -> DataFrame:
+    """``fingerprint, near_group``: every fingerprint of ``prints(doc_id, fingerprint)`` once, with the smallest doc_id among those
+    linked with it.
+
+    Fingerprints with a likeness of LEAST or more are linked, equal ones are one. Bit-sampled banding: a band is DIGITS digits at
+    times drawn evenly from a walk's length, so two walks that are alike at a share p of all times agree on a band with a chance
+    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.99. Members of a bucket are
+    verified as in ``buckets.linked``: none is left out of one that is large. Null ids name no group.
     """
-    from pyspark.sql import Window
-
-    distinct = fps.select("fingerprint").where("length(fingerprint) > 0").distinct()
-    draws = np.random.RandomState(5)
-    picks = [sorted(draws.choice(PER_OCTAVE, digits, replace=False).tolist()) for _ in range(bands)]
-    octaves = F.expr(f"cast(length(fingerprint) / {PER_OCTAVE} as int)")
-    level = F.explode(F.array_distinct(F.array(octaves, F.greatest(octaves - 1, F.lit(1))))).alias("level")
-    top = distinct.select("fingerprint", level)
-    start = (F.col("level") - 1) * PER_OCTAVE
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), *[F.substring(F.col("fingerprint"), start + p + 1, F.lit(1)) for p in pick]) for i, pick in enumerate(picks)])
-    keyed = top.select("fingerprint", "level", F.explode(keys).alias("band"))
-    w = Window.partitionBy("level", "band").orderBy("fingerprint")
-    least_of = keyed.groupBy("level", "band").agg(F.min("fingerprint").alias("first"))
-    pairs = keyed.withColumn("next", F.lead("fingerprint").over(w)).join(least_of, ["level", "band"])
-    both = pairs.select(F.col("fingerprint").alias("b"), F.explode(F.array("first", "next")).alias("a")).where("a IS NOT NULL AND a <> b")
-    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    @F.pandas_udf("double")
-    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
-
-    return both.withColumn("likeness", verify("a", "b")).where(F.col("likeness") >= least)
-
-
-def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows dealt to buckets of falling doc_id: ``bucket, doc_id, text, guard``, and how many buckets.
-
-    Bucket bounds are approximate quantiles, a bounded number. The first row of each bucket is sent to
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fingerprint")))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            keys = band_keys(pdf["fingerprint"].tolist())
+            sizes = [len(k) for k in keys]
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64), sizes)})
+
+    keyed = nodes.select("fingerprint", "node").mapInPandas(run, "key long, node long")
+    payload = lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", F.col("fingerprint").alias("data"))
+    named = buckets.linked(keyed, payload, alike, forest, CROWDED, BLOCK)
+    roots = cut(nodes.join(named, "node", "left").select("fingerprint", "first", F.coalesce("component", "node").alias("root")))
+    least = cut(roots.groupBy("root").agg(F.min("first").alias("near_group")))
+    return roots.join(least, "root").select("fingerprint", "near_group")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """Rows dealt to buckets of falling doc_id: ``bucket, none, rev, mark, guard, doc_id, body``, each bucket a partition, in order.
+
+    Bucket bounds are those of a range partitioning of the ids (and hashes of the texts, which order rows of equal or null ids), with about
+    BUCKET characters a bucket, however many buckets that takes. The row that begins a bucket is sent to
     the bucket before as well, as its guard (the first bucket's to the last), so that each
-    row's successor is in its own bucket. Null ids come last; equal ids are in order of their texts.
+    row's successor is in its own bucket. Null ids come last. ``body`` is the text's compressed bytes.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(2, min(1000, 2 * parts(docs.sparkSession)))
-    marks = base.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
-    bounds = sorted(set(map(int, marks)), reverse=True)
-    bucket = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("doc_id"))))
-    keyed = base.select(bucket.alias("bucket"), "doc_id", "text", F.lit(False).alias("guard"))
-    # the ids that begin each bucket: a row per bucket, so bounded
-    heads = keyed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()
-    order = sorted((r["bucket"], r["doc_id"]) for r in heads if r["doc_id"] is not None)
-    nulls = [r["bucket"] for r in heads if r["doc_id"] is None]
-    order += [(b, None) for b in nulls]
-    order.sort(key=lambda x: x[0])
-    if not order:
-        return keyed, 0
-    before = {b: order[i - 1][0] for i, (b, _) in enumerate(order)}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # rising order of these is falling order of ids
+    base = base.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("rev"), F.xxhash64("text").alias("mark"))
     spark = docs.sparkSession
-    head = spark.createDataFrame([(b, d, before[b]) for b, d in order], "bucket int, head long, to int")
-    guards = keyed.join(F.broadcast(head), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    guards = guards.groupBy("to").agg(F.min("text").alias("text"), F.first("head").alias("head"))
-    guards = guards.select(F.col("to").alias("bucket"), F.col("head").alias("doc_id"), "text", F.lit(True).alias("guard"))
-    return keyed.unionByName(guards), len(order)
+    chars = base.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = max(2 * parts(spark), -(-chars // BUCKET))
+    keys = base.select("none", "rev", "mark").repartitionByRange(n, "none", "rev", "mark")
+    heads = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("none", "rev", "mark")).alias("head")).collect()
+    bounds = sorted({(r["head"]["none"], r["head"]["rev"], r["head"]["mark"]) for r in heads})
+    schema = "bucket int, none int, rev long, mark long, guard boolean, doc_id long, body binary"
+    if not bounds:
+        return spark.createDataFrame([], schema)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=1).compress
+        for pdf in it:
+            rows = []
+            names = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
+            for key, name, x in zip(zip(pdf["none"].tolist(), pdf["rev"].tolist(), pdf["mark"].tolist()), names, pdf["text"]):
+                k, body = bisect_right(bounds, key) - 1, pack(x.encode())
+                rows.append((k, *key, False, name, body))
+                if bounds[k] == key:
+                    rows.append(((k - 1) % len(bounds), *key, True, name, body))
+            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in schema.split(", ")])
+
+    dealt = base.mapInPandas(run, schema).repartitionById(len(bounds), F.col("bucket"))
+    # a guard comes after its bucket's own rows, of several equal ones the first counts
+    return dealt.sortWithinPartitions("bucket", "guard", "none", "rev", "mark")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
@@ -254,21 +320,22 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The next
     document is the one with the next smaller doc_id (after the last, the first; a single row is its own
-    next). Null ids sort last, rows of equal id by text; null texts are empty. Texts are shuffled
-    once, into buckets of neighbouring ids; a task walks its bucket in order, a batch at a time,
+    next). Null ids sort last, rows of equal id by a hash of their text; null texts are empty. Texts are shuffled
+    once, compressed, into buckets of neighbouring ids; a task walks its bucket in order, a batch at a time,
     and keeps one row back. An empty table gives an empty result.
     """
-    keyed, n = in_order(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         w, held = walker(), None  # the row that waits for its successor: bucket, id, text, fingerprint
         for pdf in it:
-            size = int(pdf["text"].str.len().sum())
-            step = max(1, len(pdf) * 2_000_000 // max(size, 1))
+            step = max(1, min(len(pdf), 2_000_000 // max(1, 3 * int(pdf["body"].str.len().mean()))))
             for b in range(0, len(pdf), step):
                 part = pdf.iloc[b : b + step]
-                texts = part["text"].tolist()
+                texts = [unpack(x).decode() for x in part["body"]]
                 fps = w.walks(texts, [kept(t) for t in texts])
                 rows, previous = [], held
                 names = part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
@@ -283,5 +350,13 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
                 out = [(name, len(text), hashlib.sha256(c.encode()).hexdigest(), fp[0], o, likeness(fp[0], o), likeness(fp[0], after[0])) for (name, text, fp, _, after), c, (o, _) in zip(rows, changed, others)]
                 yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in schema.split(", ")])
 
-    dealt = keyed.repartitionByRange(max(1, n), "bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInPandas(run, schema)
+    return in_order(docs).mapInPandas(run, schema)
+
+
+def near_edits(docs: DataFrame) -> DataFrame:
+    """``edit_fingerprints`` and ``near_group``, the smallest doc_id of the documents linked by fingerprints with a likeness of LEAST or
+    more (null where none of them has an id). Every row has one; texts like no other name their own."""
+    rows = stored(edit_fingerprints(docs), "prints")
+    # materialised, so that a fingerprint with very many rows can be split
+    groups = cut(near_groups(rows.select("doc_id", "fingerprint")))
+    return rows.join(groups, "fingerprint").select(*rows.columns, "near_group")
