@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import components, cut
 
-#: Times that the members of a large bucket are held against one of them before the rest is searched in blocks.
-ROUNDS = 3
-
 
 def verified(pairs: DataFrame, payload: DataFrame, alike: Callable[[pd.Series, pd.Series], np.ndarray]) -> DataFrame:
     """The pairs ``(a, b)`` whose payloads (``node, data``) are alike."""
@@ -26,10 +23,6 @@ def verified(pairs: DataFrame, payload: DataFrame, alike: Callable[[pd.Series, p
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _pivot(turn: int):
-    return F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("pivot")
-
-
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -39,12 +32,12 @@ def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike
 
     ``keyed`` is ``key, node`` and what ``fits`` needs, each once; ``payload_of(nodes)`` gives ``node, data`` of the nodes
     asked for. All pairs of a bucket of up to ``crowded`` members are verified (where ``fits(n, m)`` of their columns ``n`` allows). The members of a
-    larger one are held against a pivot, another in every bucket and round. Where that leaves more than one component, those outside of the
+    larger one are held against a pivot, another in every bucket, so that members of several buckets meet several. Where that leaves more than one component, those outside of the
     bucket's most common component are searched against all its members in blocks of ``block``, a pair of blocks a task, by
     ``forest`` (``node, component, data`` to links). So no link is lost, no task or row grows with a bucket, and what is dealt grows with
     the members that no pivot links. An empty table gives none.
     """
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("members"), _pivot(0)).where("members > 1"))
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("members > 1"))
     shared = cut(keyed.join(sizes, "key"))
     few, large = shared.where(F.col("members") <= crowded), shared.where(F.col("members") > crowded)
     other = few.select("key", F.col("node").alias("b"), *([F.col("n").alias("m")] if fits else []))
@@ -54,25 +47,17 @@ def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     payload = cut(payload_of(wanted))
     edges = cut(verified(pairs, payload, alike))
-    named = components(edges)
-    for turn in range(1, ROUNDS + 1):
-        inside = cut(large.select("key", "node", "members").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        counted = inside.groupBy("key", "component").agg(F.count("*").alias("c"))
-        mixed = cut(counted.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("odd")).where("kinds > 1"))
-        if mixed.isEmpty():
-            return named
-        members = cut(inside.join(mixed, "key"))
-        if turn < ROUNDS:
-            # one of the most common component for the others, so that stragglers meet a new partner in every bucket and round
-            pivots = cut(members.where("component = main").groupBy("key").agg(_pivot(turn)))
-            edges = cut(edges.unionByName(verified(_ordered(members.where("component <> main").join(pivots, "key"), "pivot", "node"), payload, alike)))
-        else:
-            odd = F.col("component") != F.col("main")
-            blocks = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("odd") / block)).cast("int"))
-            every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1))
-            asked = blocks.where(odd).select("key", F.col("own").alias("i"), every(F.col("members")).alias("j"), "node", "component")
-            held = blocks.select("key", every(F.col("odd")).alias("i"), F.col("mine").alias("j"), "node", "component")
-            dealt = asked.unionByName(held).distinct().join(payload, "node")
-            edges = edges.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
-        named = components(edges)
-    return named
+    named = cut(components(edges))
+    inside = cut(large.select("key", "node", "members").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    counted = inside.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = cut(counted.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("odd")).where("kinds > 1"))
+    if mixed.isEmpty():
+        return named
+    odd = F.col("component") != F.col("main")
+    blocks = inside.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("odd") / block)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1))
+    blocks = cut(blocks)
+    asked = blocks.where(odd).select("key", F.col("own").alias("i"), every(F.col("members")).alias("j"), "node", "component")
+    held = blocks.select("key", every(F.col("odd")).alias("i"), F.col("mine").alias("j"), "node", "component")
+    dealt = asked.unionByName(held).join(payload, "node")
+    return components(edges.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")))

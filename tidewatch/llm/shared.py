@@ -11,8 +11,9 @@ __all__ = ["components", "cut", "new_folder", "parts", "shared_dir", "stored"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that the lineage ends there."""
-    return stored(df, "cut")
+    """Materialise in the shared folder, so that the lineage ends there. Joins with the table are merges of plain shuffles at
+    every size, so that hot keys can be split and plans don't change as tables grow."""
+    return stored(df, "cut").hint("merge")
 
 
 def parts(spark: SparkSession) -> int:
@@ -35,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         # minima are materialised, so that both sides of the join come from plain shuffles and a hot node can be split
         low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m")))
         # large star: each neighbour above u points to the least of u and its neighbours
-        large = cut(both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = cut(both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # small star: u and its lower neighbours point to the least of these
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
