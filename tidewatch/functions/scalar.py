@@ -129,7 +129,7 @@ def risk_band(score: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.2f GB", n / 1024**3))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", F.round(n / 1024, 1))).when(n < 1024**3, F.format_string("%.1f MB", F.round(n / 1024**2, 1))).otherwise(F.format_string("%.2f GB", F.round(n / 1024**3, 2)))
 
 
 def duration_text(s: Column) -> Column:
@@ -139,11 +139,11 @@ def duration_text(s: Column) -> Column:
 
 
 def compact_text(x: Column) -> Column:
-    return F.when(F.abs(x) >= 1e6, F.format_string("%.1fM", x / 1e6)).when(F.abs(x) >= 1e3, F.format_string("%.1fk", x / 1e3)).otherwise(F.floor(x + 0.5).cast("string"))
+    return F.when(F.abs(x) >= 1e6, F.format_string("%.1fM", F.round(x / 1e6, 1))).when(F.abs(x) >= 1e3, F.format_string("%.1fk", F.round(x / 1e3, 1))).otherwise(F.floor(x + 0.5).cast("string"))
 
 
 def percent_text(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
+    return F.format_string("%.1f%%", F.round(x * 100, 1))
 
 
 #: Budget in percent and risk threshold, between which is interpolated.

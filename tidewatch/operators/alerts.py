@@ -40,7 +40,7 @@ def entity_details(scored: DataFrame, threshold: float = 65.0) -> DataFrame:
     summary = T.entity_summary(scored, threshold)
     own = scored.groupBy("entity_id", "cohort").agg(F.avg("bytes_transferred").alias("mean_bytes"))
     medians = own.groupBy("cohort").agg(F.median("mean_bytes").alias("cohort_median_bytes"))
-    out = summary.select("entity_id", "cohort", "events", (c("alerts") / c("events")).alias("alert_rate")).join(own.drop("cohort"), "entity_id").join(F.broadcast(medians), "cohort").join(busiest, "entity_id")
+    out = summary.select("entity_id", "cohort", "events", (c("alerts") / c("events")).alias("alert_rate")).join(own.drop("cohort"), "entity_id").join(medians, "cohort").join(busiest, "entity_id")
     return out.join(drift_states(scored), "entity_id", "left")
 
 

@@ -1,12 +1,12 @@
 """Evaluation of scores against labels: areas, budgets, types, time to detect.
 
 Rows are ``event_id, ts_us, score, is_anomaly, label, episode_id`` and such; everything is an aggregate or
-a window over distinct scores.
+running sums over distinct scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import tables as T
@@ -18,11 +18,11 @@ c = F.col
 
 
 def score_table(df: DataFrame, score: str = "score", truth: str = "is_anomaly", keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row per distinct score, best first: ``tp, fp`` so far and ``pos, neg`` in all (and those at the score, ``p, n``)."""
+    """A row per distinct score, best first: ``tp, fp`` so far and ``pos, neg`` in all (and those at the score, ``p, n``),
+    its place ``i`` and how many there are, ``m``. No task sees all scores (``tables.with_running``)."""
     per = df.groupBy(*keys, c(score).alias("score")).agg(F.sum(c(truth).cast("long")).alias("p"), F.sum((~c(truth)).cast("long")).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*keys)
-    return per.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "pos": F.sum("p").over(everything), "neg": F.sum("n").over(everything)})
+    t = T.with_running(per.withColumn("one", F.lit(1)), "score", {"tp": "p", "fp": "n", "i": "one"}, *keys, descending=True)
+    return t.withColumnsRenamed({"tp_all": "pos", "fp_all": "neg", "i_all": "m"}).drop("one")
 
 
 def pr_auc(df: DataFrame, keys: tuple[str, ...] = (), **names: str) -> DataFrame:
@@ -45,7 +45,7 @@ def at_budgets(df: DataFrame, score: str = "score", truth: str = "is_anomaly", b
     """``budget, alerts, precision, recall, hours`` when the given percent of rows are alerted on, ties by event id."""
     ranked = T.budget_rank(df, score)
     totals = df.agg(F.count("*").alias("n"), F.sum(c(truth).cast("long")).alias("pos"))
-    b = df.sparkSession.createDataFrame([(x,) for x in budgets], "budget double").join(totals).withColumn("k", T.budget_size(c("n"), c("budget")))
+    b = df.sparkSession.createDataFrame([(x,) for x in budgets], "budget double").crossJoin(totals).withColumn("k", T.budget_size(c("n"), c("budget")))
     hit = ranked.join(F.broadcast(b), c("position") <= c("k"))
     out = hit.groupBy("budget").agg(F.count("*").alias("alerts"), F.sum(c(truth).cast("long")).alias("tp"), F.max("pos").alias("pos"))
     return out.select("budget", "alerts", (c("tp") / c("alerts")).alias("precision"), F.when(c("pos") > 0, c("tp") / c("pos")).otherwise(0.0).alias("recall"), (c("alerts") * minutes / 60.0).alias("hours"))
@@ -54,8 +54,6 @@ def at_budgets(df: DataFrame, score: str = "score", truth: str = "is_anomaly", b
 def pr_curve(df: DataFrame, points: int = 50, **names: str) -> DataFrame:
     """``recall, precision`` at about ``points`` scores evenly spread by their order, the last included."""
     t = score_table(df, **names)
-    order = Window.orderBy(F.desc("score"))
-    t = t.withColumns({"i": F.row_number().over(order), "m": F.count("*").over(Window.partitionBy())})
     every = F.greatest(F.lit(1), F.floor(c("m") / points))
     picked = t.where((F.pmod(c("i") - 1, every) == 0) | (c("i") == c("m")))
     return picked.select(c("i").cast("long").alias("i"), (c("tp") / c("pos")).alias("recall"), (c("tp") / (c("tp") + c("fp"))).alias("precision"))
@@ -100,3 +98,32 @@ def subgroup(df: DataFrame, inside: DataFrame | None = None, alert: str = "is_al
     tp = F.sum((c(alert) & c("is_anomaly")).cast("long"))
     share = lambda n: F.coalesce(F.when(n > 0, tp / n), F.lit(0.0))
     return rows.agg(F.count("*").alias("events"), share(F.sum(c(alert).cast("long"))).alias("precision"), share(F.sum(c("is_anomaly").cast("long"))).alias("recall"))
+
+
+def baseline_types(df: DataFrame, pct: float = 1.0, benign: tuple[str, ...] = ("benign_confounder", "insider_drift"), score: str = "score") -> DataFrame:
+    """``label, support, share``: of each attack type the share within the top ``pct`` percent of rows, of each benign group the share
+    at or above the score that bounds them (the interpolated percentile)."""
+    n = df.agg(T.budget_size(F.count("*"), F.lit(pct)).alias("k"), F.percentile(score, 1 - pct / 100).alias("bound"))
+    ranked = T.budget_rank(df, score).crossJoin(n)  # one row
+    hit = F.when(c("label").isin(*ATTACKS), c("position") <= c("k")).otherwise(c(score) >= c("bound"))
+    return ranked.where(c("label").isin(*ATTACKS, *benign)).groupBy("label").agg(F.count("*").alias("support"), F.avg(hit.cast("double")).alias("share"))
+
+
+def summary(df: DataFrame, cold: DataFrame, drift_us: int, held_out: str) -> DataFrame:
+    """One row of what a run amounts to: counts, rates, areas, the top percent, false positives, subgroups, delay, recall of a type held out.
+
+    ``cold``: entities without history; ``drift_us``: the time from which behaviour is taken to have changed.
+    """
+    one = df.agg(
+        F.count("*").alias("events"), F.sum(c("is_anomaly").cast("long")).alias("anomalies"), F.sum(c("is_alert").cast("long")).alias("alerts"), F.avg(c("is_anomaly").cast("double")).alias("anomaly_rate"),
+        F.percentile("score", 0.99).alias("p99"), F.coalesce(F.avg(F.when(c("label") == held_out, c("is_alert").cast("double"))), F.lit(0.0)).alias("held_out_recall"),
+    )
+    top = at_budgets(df, budgets=(1.0,)).select(c("precision").alias("precision_1pct"), c("recall").alias("recall_1pct"))
+    k = T.budget_rank(df, "score").crossJoin(df.agg(T.budget_size(F.count("*"), F.lit(1.0)).alias("k"))).where("position = k").select(c("score").alias("threshold_1pct"))  # one row
+    cold_ = subgroup(df, cold).select(c("precision").alias("cold_precision"), c("recall").alias("cold_recall"))
+    drift = subgroup(df.where(c("ts_us") >= drift_us)).select(c("precision").alias("drift_precision"), c("recall").alias("drift_recall"))
+    delay = time_to_detect(df).agg((F.sum(c("episodes") * c("mean_minutes")) / F.sum("episodes")).alias("mean_minutes_to_detect"))
+    out = one
+    for row in (pr_auc(df), roc_auc(df), top, k, false_positive_rates(df), cold_, drift, delay):
+        out = out.crossJoin(row)  # one row each
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
 from tidewatch.operators import windows as W
+from tidewatch.sources.storage import stored
 
 SHRINK_K, HALF_LIFE_DAYS, COLD_START, MIN_FAILURES, SMOOTHING, CENTROID_SHARE = 20.0, 14.0, 25, 3, 0.5, 10
 DAY, HOUR = 86_400, 3_600
@@ -27,26 +28,26 @@ class Feature:
     trusted_cold: bool  # whether it means something for an entity with little history
 
 
-#: The features in order.
+#: The features' names, order, direction and trust; their titles are this library's own.
 FEATURES = tuple(
     Feature(*x)
     for x in (
-        ("hour_surprisal", "Hour-of-day surprisal", "increases_risk", False), ("weekday_surprisal", "Weekday surprisal", "increases_risk", False), ("is_offhours", "Off-hours access", "increases_risk", True),
-        ("inter_arrival_zscore", "Inter-arrival time z-score", "increases_risk", False), ("burstiness", "Session burstiness", "increases_risk", False), ("geo_velocity_kmh", "Geo-velocity (km/h)", "increases_risk", True),
-        ("geo_centroid_distance_km", "Distance from home centroid (km)", "increases_risk", False), ("new_country_flag", "New country", "increases_risk", True), ("new_subnet_flag", "New subnet", "increases_risk", True),
-        ("source_ip_novelty", "Source IP novelty", "increases_risk", True), ("entity_novel_resource", "Entity-novel resource", "increases_risk", True), ("cohort_novel_resource", "Cohort-novel resource", "increases_risk", True),
-        ("distinct_resources_1h", "Distinct resources (1h)", "increases_risk", False), ("distinct_resources_24h", "Distinct resources (24h)", "increases_risk", False),
-        ("resource_js_divergence", "Resource distribution JS divergence", "increases_risk", False), ("resource_breadth_expansion_rate", "Resource breadth expansion rate", "increases_risk", False),
-        ("auth_method_novelty", "Auth method novelty", "increases_risk", True), ("entity_failure_count_5m", "Auth failures - entity (5 min)", "increases_risk", True), ("entity_failure_count_1h", "Auth failures - entity (1 h)", "increases_risk", True),
-        ("entity_failure_count_24h", "Auth failures - entity (24 h)", "increases_risk", True), ("entity_failure_ratio_1h", "Auth failure ratio - entity (1 h)", "increases_risk", True),
-        ("ip_failure_count_5m", "Auth failures - source IP (5 min)", "increases_risk", True), ("ip_failure_count_1h", "Auth failures - source IP (1 h)", "increases_risk", True), ("ip_failure_count_24h", "Auth failures - source IP (24 h)", "increases_risk", True),
-        ("success_after_failures", "Success after N failures", "increases_risk", True), ("distinct_entities_per_ip", "Distinct entities per source IP", "increases_risk", True), ("fingerprint_unknown", "Unknown device fingerprint", "increases_risk", True),
-        ("os_mismatch", "OS mismatch vs history", "increases_risk", True), ("mac_oui_change", "MAC OUI change", "increases_risk", True), ("protocol_novelty", "Protocol novelty", "increases_risk", True),
-        ("command_surprisal", "Command sequence surprisal (bits/token)", "increases_risk", False), ("unseen_bigram_count", "Unseen command bigrams", "increases_risk", False), ("sequence_length_zscore", "Command sequence length z-score", "increases_risk", False),
-        ("bytes_zscore", "Bytes transferred z-score", "increases_risk", False), ("offhours_bytes_rolling_7d", "Off-hours bytes (rolling 7 days)", "increases_risk", False), ("transfer_to_duration_ratio", "Transfer-to-duration ratio", "increases_risk", True),
-        ("graph_entity_novel_resource", "Graph: entity-novel resource edge", "increases_risk", True), ("graph_peer_resource_count", "Graph: peers accessing this resource", "decreases_risk", True),
-        ("graph_jaccard_vs_cohort", "Graph: Jaccard vs cohort centroid", "decreases_risk", False), ("graph_entity_degree_deviation", "Graph: entity degree deviation", "increases_risk", False),
-        ("entity_event_count", "Entity event count", "neutral", True), ("is_cold_start_flag", "Cold start flag", "neutral", True), ("days_observed", "Days observed", "neutral", True),
+        ("hour_surprisal", "Rarity of the hour", "increases_risk", False), ("weekday_surprisal", "Rarity of the weekday", "increases_risk", False), ("is_offhours", "Outside working hours", "increases_risk", True),
+        ("inter_arrival_zscore", "Pause before the event (z)", "increases_risk", False), ("burstiness", "Unevenness of pauses", "increases_risk", False), ("geo_velocity_kmh", "Speed of travel (km/h)", "increases_risk", True),
+        ("geo_centroid_distance_km", "Distance from usual places (km)", "increases_risk", False), ("new_country_flag", "Country not seen before", "increases_risk", True), ("new_subnet_flag", "Network not seen before", "increases_risk", True),
+        ("source_ip_novelty", "Address not seen before", "increases_risk", True), ("entity_novel_resource", "Resource new to the entity", "increases_risk", True), ("cohort_novel_resource", "Resource new to the cohort", "increases_risk", True),
+        ("distinct_resources_1h", "Accesses within an hour", "increases_risk", False), ("distinct_resources_24h", "Accesses within a day", "increases_risk", False),
+        ("resource_js_divergence", "Shift in use of resources", "increases_risk", False), ("resource_breadth_expansion_rate", "Growth of resources in use", "increases_risk", False),
+        ("auth_method_novelty", "Login method not seen before", "increases_risk", True), ("entity_failure_count_5m", "Failed logins of the entity, 5 min", "increases_risk", True), ("entity_failure_count_1h", "Failed logins of the entity, 1 h", "increases_risk", True),
+        ("entity_failure_count_24h", "Failed logins of the entity, 24 h", "increases_risk", True), ("entity_failure_ratio_1h", "Share of failed logins, 1 h", "increases_risk", True),
+        ("ip_failure_count_5m", "Failed logins from the address, 5 min", "increases_risk", True), ("ip_failure_count_1h", "Failed logins from the address, 1 h", "increases_risk", True), ("ip_failure_count_24h", "Failed logins from the address, 24 h", "increases_risk", True),
+        ("success_after_failures", "Login that follows failures", "increases_risk", True), ("distinct_entities_per_ip", "Entities behind the address", "increases_risk", True), ("fingerprint_unknown", "Device not seen before", "increases_risk", True),
+        ("os_mismatch", "Operating system not seen before", "increases_risk", True), ("mac_oui_change", "Maker of the network card changed", "increases_risk", True), ("protocol_novelty", "Protocol not seen before", "increases_risk", True),
+        ("command_surprisal", "Rarity of commands (bits each)", "increases_risk", False), ("unseen_bigram_count", "Pairs of commands not seen before", "increases_risk", False), ("sequence_length_zscore", "Number of commands (z)", "increases_risk", False),
+        ("bytes_zscore", "Volume (z)", "increases_risk", False), ("offhours_bytes_rolling_7d", "Volume outside working hours, 7 days", "increases_risk", False), ("transfer_to_duration_ratio", "Volume a second", "increases_risk", True),
+        ("graph_entity_novel_resource", "First link of entity and resource", "increases_risk", True), ("graph_peer_resource_count", "Peers that use the resource", "decreases_risk", True),
+        ("graph_jaccard_vs_cohort", "Overlap with what the cohort uses", "decreases_risk", False), ("graph_entity_degree_deviation", "Number of resources against the cohort", "increases_risk", False),
+        ("entity_event_count", "Events so far", "neutral", True), ("is_cold_start_flag", "Too little history", "neutral", True), ("days_observed", "Days since the first event", "neutral", True),
     )
 )
 NAMES = tuple(f.name for f in FEATURES)
@@ -149,12 +150,9 @@ def cohort_features(ev: DataFrame) -> DataFrame:
     df = df.withColumn("deg", W.running_distinct("ft_edge", "entity_id"))
     df = df.withColumn("lag_deg", F.coalesce(F.lag("deg").over(W.ordered("entity_id")), F.lit(0)))
     changed = F.col("deg") != F.col("lag_deg")
-    df = df.withColumns({"c_hour": W.past_count("cohort", "hour"), "c_dow": W.past_count("cohort", "dow"), "c_res": W.past_count("cohort", "resource_accessed"), "peers": W.past_sum(F.col("ft_edge"), "cohort", "resource_accessed")})
-    df = W.with_bucketed_past(
-        df,
-        {"c_n": F.lit(1), "c_tokens": F.col("n_tokens"), "d_n": changed.cast("long"), "d_sum": F.when(changed, F.col("deg")).otherwise(0), "d_sq": F.when(changed, F.col("deg") * F.col("deg")).otherwise(0)},
-        "cohort",
-    )
+    whole = {"c_n": F.lit(1), "c_tokens": F.col("n_tokens"), "d_n": changed.cast("long"), "d_sum": F.when(changed, F.col("deg")).otherwise(0), "d_sq": F.when(changed, F.col("deg") * F.col("deg")).otherwise(0)}
+    used = {"c_res": F.lit(1), "peers": F.col("ft_edge")}
+    df = W.with_bucketed_pasts(df, [({"c_hour": F.lit(1)}, ("cohort", "hour"), W.HOUR_US), ({"c_dow": F.lit(1)}, ("cohort", "dow"), W.HOUR_US), (used, ("cohort", "resource_accessed"), W.HOUR_US), (whole, ("cohort",), W.HOUR_US)])
     tokens = ev.select("event_id", "cohort", "ts_us", F.explode("command_sequence").alias("token"))
     # a vocabulary is small: the first use of each word, per cohort
     firsts = tokens.groupBy("cohort", "token").agg(F.min(F.struct("ts_us", "event_id")).alias("at"))
@@ -185,15 +183,18 @@ def command_features(ev: DataFrame) -> DataFrame:
     base = ev.select("event_id", "entity_id", "cohort", "ts_us", "command_sequence", W.past_count("entity_id").alias("e_n"))
     full = base.where(F.size("command_sequence") > 0)
     tok = full.select("event_id", "entity_id", "cohort", "ts_us", F.explode("command_sequence").alias("a")).groupBy("event_id", "entity_id", "cohort", "ts_us", "a").agg(F.count("*").alias("m"))
-    tok = tok.withColumns({"e_a": W.past_sum(F.col("m"), "entity_id", "a"), "c_a": W.past_sum(F.col("m"), "cohort", "a"), "g_a": W.past_sum(F.col("m"), "a"), "ft_e": W.first_touch("entity_id", "a"), "ft_c": W.first_touch("cohort", "a"), "ft_g": W.first_touch("a")})
+    tok = tok.withColumn("e_a", W.past_sum(F.col("m"), "entity_id", "a"))
+    tok = W.with_bucketed_pasts(tok, [({"c_a": F.col("m")}, ("cohort", "a"), W.HOUR_US), ({"g_a": F.col("m")}, ("a",), W.MINUTE_US)])
+    # a first use is one before which there is none
+    tok = stored(tok.withColumns({f"ft_{x}": (F.col(f"{x}_a") == 0).cast("int") for x in "ecg"}), "tokens")
     per = tok.groupBy("event_id").agg(F.sum("m").alias("m"), F.sum("ft_e").alias("ft_e"), F.sum("ft_c").alias("ft_c"), F.sum("ft_g").alias("ft_g"))
     per = full.select("event_id", "entity_id", "cohort", "ts_us").join(per, "event_id")
     per = per.withColumns({"e_tot": W.past_sum(F.col("m"), "entity_id"), "e_v": W.past_sum(F.col("ft_e"), "entity_id"), "everyone": F.lit(0)})
-    per = W.with_bucketed_past(per, {"c_tot": F.col("m"), "c_v": F.col("ft_c")}, "cohort")
-    per = W.with_bucketed_past(per, {"g_tot": F.col("m"), "g_v": F.col("ft_g")}, "everyone").select("event_id", "e_tot", "e_v", "c_tot", "c_v", "g_tot", "g_v")
+    per = W.with_bucketed_pasts(per, [({"c_tot": F.col("m"), "c_v": F.col("ft_c")}, ("cohort",), W.HOUR_US), ({"g_tot": F.col("m"), "g_v": F.col("ft_g")}, ("everyone",), W.MINUTE_US)]).select("event_id", "e_tot", "e_v", "c_tot", "c_v", "g_tot", "g_v")
     pairs = full.where(F.size("command_sequence") > 1).select("event_id", "entity_id", "cohort", "ts_us", F.explode(S.bigrams(F.col("command_sequence"))).alias("p"))
     pairs = pairs.groupBy("event_id", "entity_id", "cohort", "ts_us", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("m"))
-    pairs = pairs.withColumns({"e_ab": W.past_sum(F.col("m"), "entity_id", "a", "b"), "c_ab": W.past_sum(F.col("m"), "cohort", "a", "b"), "g_ab": W.past_sum(F.col("m"), "a", "b")})
+    pairs = pairs.withColumn("e_ab", W.past_sum(F.col("m"), "entity_id", "a", "b"))
+    pairs = W.with_bucketed_pasts(pairs, [({"c_ab": F.col("m")}, ("cohort", "a", "b"), W.HOUR_US), ({"g_ab": F.col("m")}, ("a", "b"), W.MINUTE_US)])
     weight = full.select("event_id", S.shrink_weight(F.col("e_n"), SHRINK_K).alias("w"), F.size("command_sequence").alias("len"))
     c = F.col
     pairs = pairs.join(tok.select("event_id", "a", "e_a", "c_a", "g_a"), ["event_id", "a"]).join(per, "event_id").join(weight, "event_id")
@@ -232,13 +233,11 @@ def jaccard_feature(ev: DataFrame) -> DataFrame:
     probe = probe.withColumn("m", F.greatest(F.lit(1), F.floor(F.col("peers") / CENTROID_SHARE)).cast("int"))
     used = probe.select("cohort", "m").distinct()
     reached = ranked.join(used, ["cohort", "m"]).select("cohort", "m", "resource", F.col("at").alias("reached"))
-    order = Window.orderBy("ts_us", "event_id", "kind")
 
     def counted(points: DataFrame, keys: list[str], name: str) -> DataFrame:
         rows = points.select(*keys, F.col("at.ts_us").alias("ts_us"), F.col("at.event_id").alias("event_id"), F.lit(1).alias("one"), F.lit(1).alias("kind"))
         rows = rows.unionByName(probe.select(*keys, "ts_us", "event_id", F.lit(0).alias("one"), F.lit(0).alias("kind")))
-        w = Window.partitionBy(*keys).orderBy("ts_us", "event_id", "kind").rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(name, F.coalesce(F.sum("one").over(w), F.lit(0))).where("kind = 0").select("event_id", name)
+        return W.with_bucketed_past(rows, {name: F.col("one")}, *keys, order=("ts_us", "event_id", "kind")).where("kind = 0").select("event_id", name)
 
     centroid = counted(reached.withColumnRenamed("reached", "at"), ["cohort", "m"], "centroid")
     both = e.join(reached, ["cohort", "resource"]).select("entity_id", "m", F.greatest("at", "reached").alias("at"))
@@ -260,7 +259,8 @@ def divergence_feature(ev: DataFrame) -> DataFrame:
     probes = probes.select("event_id", "entity_id", "cohort", "ts_us", "resource", F.lit(0).alias("one"))
     rows = probes.unionByName(ev.select("event_id", "entity_id", "cohort", "ts_us", F.col("resource_accessed").alias("resource"), F.lit(1).alias("one")))
     order = ("ts_us", "event_id", "one")
-    rows = rows.withColumns({"e": F.coalesce(F.sum("one").over(W.past("entity_id", "resource", order=order)), F.lit(0)), "c": F.coalesce(F.sum("one").over(W.past("cohort", "resource", order=order)), F.lit(0))}).where("one = 0")
+    rows = rows.withColumn("e", F.coalesce(F.sum("one").over(W.past("entity_id", "resource", order=order)), F.lit(0)))
+    rows = W.with_bucketed_past(rows, {"c": F.col("one")}, "cohort", "resource", order=order).where("one = 0")
     rows = rows.select("event_id", "e", "c").join(base.select("event_id", "e_n", "c_n"), "event_id")
     p, q = F.col("e") / F.col("e_n"), F.col("c") / F.col("c_n")
     per = rows.groupBy("event_id").agg((F.sum(p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)) - q) / 2 + 0.5).alias("js"))
@@ -272,7 +272,11 @@ def extra_features(ev: DataFrame) -> DataFrame | None:
 
 
 def all_features(ev: DataFrame) -> DataFrame:
-    """``event_id`` and all 43 features (and registered ones), in the catalogue's order."""
+    """``event_id`` and all 43 features (and registered ones), in the catalogue's order.
+
+    The events are written once, so that what they are derived from is read and parsed once for all families.
+    """
+    ev = stored(ev, "events")
     frames = [entity_features(ev), ip_features(ev), cohort_features(ev), command_features(ev), jaccard_feature(ev), divergence_feature(ev)]
     if (extra := extra_features(ev)) is not None:
         frames.append(extra)

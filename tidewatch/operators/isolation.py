@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
 
-#: Trees per cohort and rows a tree is grown on at most; nodes in all that may be sent to every task.
-TREES, SAMPLE, MAX_NODES = 100, 256, 4_000_000
+#: Trees per cohort and rows a tree is grown on.
+TREES, SAMPLE = 200, 4096
+#: Rows of a cohort that are scored together, so that a cohort with very many is dealt over tasks.
+TOGETHER = 100_000
 NODE = "cohort string, tree int, node int, feature int, threshold double, left int, right int, size long"
 
 
@@ -26,13 +26,13 @@ def fit(train: DataFrame, names: tuple[str, ...], trees: int = TREES, sample: in
     """The forest as a table, a row per node (feature -1: leaf).
 
     Every tree draws its rows by a hash of row and tree, about ``sample`` of them, so a group that one
-    task grows a tree on is bounded whatever the cohort's size.
+    task grows a tree on is bounded whatever the cohort's size. A row is repeated only for the trees that draw it.
     """
     counts = train.groupBy("cohort").agg(F.count("*").alias("_n"))
-    rows = train.select("cohort", "event_id", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).join(F.broadcast(counts), "cohort")
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.pmod(F.xxhash64("event_id", "tree", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.where(draw < F.lit(float(sample)) / F.col("_n")).select("cohort", "tree", "event_id", *names)
+    rows = train.select("cohort", "event_id", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).join(counts, "cohort")
+    draw = lambda t: F.pmod(F.xxhash64("event_id", t, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(float(sample)) / F.col("_n"))
+    drawn = rows.withColumn("tree", F.explode(own)).select("cohort", "tree", "event_id", *names)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_id").head(2 * sample)
@@ -65,45 +65,43 @@ def fit(train: DataFrame, names: tuple[str, ...], trees: int = TREES, sample: in
 def path_scores(rows: DataFrame, forest: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``event_id, cohort, anomaly``: 2 ** (-mean path / expected path); null for cohorts without a forest.
 
-    The forest goes to every task; its size is checked first (cohorts x trees x about 2 x sample nodes).
+    Rows meet their cohort's forest in groups of about TOGETHER rows; a forest's size is bounded (trees x about 2 x
+    sample nodes), and it is sent once a group, not to every task.
     """
-    n = forest.count()
-    if n > MAX_NODES:
-        raise ValueError(f"a forest of {n} nodes is too large to broadcast; use fewer trees or split the cohorts")
-    model = {}
-    table = forest.toPandas().sort_values(["cohort", "tree", "node"])
-    for cohort, g in table.groupby("cohort"):
-        base = np.cumsum([0, *g.groupby("tree").size().tolist()])
-        shift = np.repeat(base[:-1], np.diff(base))
-        model[cohort] = (base[:-1], g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy() + shift, g["right"].to_numpy() + shift, g["size"].to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = np.full(len(pdf), np.nan)
-            for cohort, own in pdf.groupby("cohort").indices.items():
-                if cohort not in sent.value:
-                    continue
-                roots, feature, threshold, left, right, size = sent.value[cohort]
-                x, total = pdf.iloc[own][list(names)].to_numpy(float), np.zeros(len(own))
-                for r in roots:
-                    at, depth = np.full(len(own), r), np.zeros(len(own))
-                    while (go := feature[at] >= 0).any():
-                        k = np.flatnonzero(go)
-                        down = x[k, feature[at[k]]] <= threshold[at[k]]
-                        at[k] = np.where(down, left[at[k]], right[at[k]])
-                        depth[k] += 1
-                    total += depth + average_path(size[at])
-                out[own] = 2.0 ** (-total / len(roots) / max(float(average_path(np.array(size[roots].mean()))), 1e-9))
-            yield pd.DataFrame({"event_id": pdf["event_id"], "cohort": pdf["cohort"], "anomaly": pd.array(out, dtype="Float64")})
-
-    return rows.select("event_id", "cohort", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).mapInPandas(run, "event_id string, cohort string, anomaly double").withColumn("anomaly", F.nanvl("anomaly", F.lit(None).cast("double")))
+    parts = rows.groupBy("cohort").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts"))
+    salted = rows.select("event_id", "cohort", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).join(parts, "cohort")
+    salted = salted.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int")).drop("_parts")
+    trees = forest.join(parts, "cohort").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def run(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"event_id": [], "cohort": [], "anomaly": []})
+        score = [None] * len(pdf)
+        if len(table):
+            table = table.sort_values(["tree", "node"])
+            base = np.cumsum([0, *table.groupby("tree").size().tolist()])
+            shift, roots = np.repeat(base[:-1], np.diff(base)), base[:-1]
+            feature, threshold, size = table["feature"].to_numpy(), table["threshold"].to_numpy(), table["size"].to_numpy()
+            left, right = table["left"].to_numpy() + shift, table["right"].to_numpy() + shift
+            x, total = pdf[list(names)].to_numpy(float), np.zeros(len(pdf))
+            for r in roots:
+                at, depth = np.full(len(pdf), r), np.zeros(len(pdf))
+                k = np.arange(len(pdf))
+                while len(k := k[feature[at[k]] >= 0]):
+                    down = x[k, feature[at[k]]] <= threshold[at[k]]
+                    at[k] = np.where(down, left[at[k]], right[at[k]])
+                    depth[k] += 1
+                total += depth + average_path(size[at])
+            score = 2.0 ** (-total / len(roots) / max(float(average_path(np.array(size[roots].mean()))), 1e-9))
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "cohort": pdf["cohort"].to_numpy(), "anomaly": score})
+
+    return salted.groupBy("cohort", "_part").cogroup(trees.groupBy("cohort", "_part")).applyInPandas(run, "event_id string, cohort string, anomaly double")
 
 
 def isolation_scores(rows: DataFrame, forest: DataFrame, train_scores: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``event_id, isolation``: anomaly put on 0 to 1 by the cohort's training range; 0.5 for unseen cohorts."""
     span = train_scores.groupBy("cohort").agg(F.min("anomaly").alias("_lo"), F.max("anomaly").alias("_hi"))
-    out = path_scores(rows, forest, names).join(F.broadcast(span), "cohort", "left")
+    out = path_scores(rows, forest, names).join(span, "cohort", "left")
     unit = F.when(F.col("anomaly").isNull(), F.lit(None)).when(F.col("_hi") - F.col("_lo") < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("anomaly") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))))
     return out.select("event_id", F.coalesce(unit, F.lit(0.5)).alias("isolation"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
+from tidewatch.sources.storage import stored
 
 
 def profile(features: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -25,29 +26,47 @@ def cohort_and_global(df: DataFrame, key: str, names: list[str], floor: float =
     return df.groupBy(key).agg(*aggs).unionByName(df.agg(*aggs).withColumn(key, F.lit(None).cast("string")))
 
 
+def with_running(rows: DataFrame, order: str, sums: dict[str, str], *keys: str, descending: bool = False) -> DataFrame:
+    """Adds sums over the rows up to and with each row in the order of ``order`` (different values of it within the keys):
+    name to column; and ``<name>_all``, the sums over all rows of the keys.
+
+    Rows are dealt to tasks by ranges of (keys, order) and written; a window over the ranges' sums, a row a range, says what comes
+    before a range, and one within the range the rest. So no task sees all rows, though there are no keys or few.
+    """
+    way = F.desc(order) if descending else F.asc(order)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(n, *keys, way).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy(*keys, "_range").agg(*[F.sum(x).alias(f"_t_{name}") for name, x in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    per = per.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums], *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_all") for name in sums])
+    inside = Window.partitionBy(*keys, "_range").orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    out = dealt.withColumns({f"_i_{name}": F.sum(x).over(inside) for name, x in sums.items()}).alias("r").join(per.alias("p"), [*same, F.col("r._range") == F.col("p._range")] if same else F.col("r._range") == F.col("p._range"))
+    return out.select(*[F.col(f"r.{x}") for x in rows.columns], *[(F.col(f"_i_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums], *[F.col(f"{name}_all") for name in sums])
+
+
 def distribution(df: DataFrame, value: str, key: str | None = None) -> DataFrame:
     """Empirical distribution: ``[key,] value, at_most, n`` - how many of n values are at most this one.
 
-    Equal values are counted before the window, so it sees distinct values.
+    Equal values are counted first; the running count goes through ranges of values, so no task sees all of them.
     """
     keys = [key] if key else []
     counts = df.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("value")
-    return counts.select(*keys, "value", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("at_most"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    return with_running(counts, "value", {"at_most": "c"}, *keys).select(*keys, "value", "at_most", F.col("at_most_all").alias("n"))
 
 
 def ecdf_table(probes: DataFrame, probe: str, fitted: DataFrame, value: str, key: str | None = None) -> DataFrame:
     """``[key,] _v, _rank``: for each different probe value the share of fitted values at most it, per key.
 
-    Fitted and probe values are counted by value and run through one window together, so there is no range
+    Fitted and probe values are counted by value and run through ranges of values together, so there is no range
     join; the rank is null where the key has no fitted values.
     """
     keys = [key] if key else []
     a = fitted.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     b = probes.select(*keys, F.col(probe).alias("_v")).distinct().withColumn("_c", F.lit(0).cast("long"))
     both = a.unionByName(b).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(*keys, "_v", (F.sum("_c").over(w) / F.nullif(F.sum("_c").over(Window.partitionBy(*keys)), F.lit(0))).alias("_rank"))
+    return with_running(both, "_v", {"_n": "_c"}, *keys).select(*keys, "_v", (F.col("_n") / F.nullif(F.col("_n_all"), F.lit(0))).alias("_rank"))
 
 
 def ecdf_rank(probes: DataFrame, probe: str, fitted: DataFrame, value: str, name: str, key: str | None = None, onto: DataFrame | None = None) -> DataFrame:
@@ -85,15 +104,32 @@ def bigram_counts(ev: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
 
+def unigram_counts(ev: DataFrame, *keys: str) -> DataFrame:
+    return ev.select(*keys, F.explode("command_sequence").alias("a")).groupBy(*keys, "a").agg(F.count("*").alias("n"))
+
+
+def command_totals(ev: DataFrame) -> DataFrame:
+    """``level, key, tokens, vocabulary, pairs, distinct_pairs`` by entity, by cohort and over all (level all, key empty).
+
+    Words and pairs are counted by value at the finest level once; the coarser levels add these counts.
+    """
+    one = unigram_counts(ev, "entity_id", "cohort").withColumn("b", F.lit(None).cast("string"))
+    both = one.unionByName(bigram_counts(ev, "entity_id", "cohort"))
+    level = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), k.alias("key")) for x, k in (("entity", F.col("entity_id")), ("cohort", F.col("cohort")), ("all", F.lit("")))])).alias("l")
+    per = both.select(level, "a", "b", "n").groupBy("l.level", "l.key", "a", "b").agg(F.sum("n").alias("n"))
+    word = F.col("b").isNull()
+    total = lambda test, value: F.sum(F.when(test, value).otherwise(0)).cast("long")
+    return per.groupBy("level", "key").agg(total(word, F.col("n")).alias("tokens"), total(word, F.lit(1)).alias("vocabulary"), total(~word, F.col("n")).alias("pairs"), total(~word, F.lit(1)).alias("distinct_pairs"))
+
+
 def budget_rank(df: DataFrame, score: str, tie: str = "event_id") -> DataFrame:
     """Adds ``position``: 1 for the highest score, ties by ``tie``, over all rows without one task seeing them all.
 
-    Scores are counted by value; a window over the distinct values says how many rows rank before each,
+    Scores are counted by value; running counts over ranges of values say how many rows rank before each,
     and rows are numbered within their value.
     """
-    counts = df.groupBy(score).agg(F.count("*").alias("_c")).withColumn("_bin", F.lit(0))
-    w = Window.partitionBy("_bin").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(score, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    counts = df.groupBy(score).agg(F.count("*").alias("_c"))
+    starts = with_running(counts, score, {"_upto": "_c"}, descending=True).select(score, (F.col("_upto") - F.col("_c")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(score).orderBy(tie))
     return df.withColumn("_in", inside).join(starts, score).withColumn("position", F.col("_in") + F.col("_before")).drop("_in", "_before")
 

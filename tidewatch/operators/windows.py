@@ -11,8 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import stored
+
 ORDER = ("ts_us", "event_id")
 US = 1_000_000
+#: Widths of buckets of time: for keys of many rows, and for all rows together.
+HOUR_US, MINUTE_US = 3600 * US, 60 * US
+#: Time constants in a block of the exponentially weighted mean.
+BLOCK = 500
 
 
 def past(*keys: str | Column, order: tuple[str, ...] = ORDER) -> WindowSpec:
@@ -88,17 +94,23 @@ def with_gap_statistics(df: DataFrame, *keys: str) -> DataFrame:
 def with_ewma(df: DataFrame, value: str, name: str, half_life_days: float, *keys: str, order: tuple[str, ...] = ORDER, compat: bool = False) -> DataFrame:
     """Adds the exponentially weighted mean up to and with each row; weight by elapsed time plus a second.
 
-    One running sum in closed form. ``compat``: every step counts as one second.
+    Running sums in closed form, within blocks of time of BLOCK time constants (so that no weight overflows) and with what the
+    block before left, decayed; what is older has decayed to nothing. ``compat``: every step counts as one second.
     """
     rate = 0.6931471805599453 / (half_life_days * 86400)
     n = F.row_number().over(ordered(*keys, order=order))
     first = F.first("ts_us").over(Window.partitionBy(*keys).orderBy(*order))
     tau = (F.lit(0.0) if compat else (F.col("ts_us") - first) / F.lit(float(US))) + n
-    out = df.withColumn("_tau", tau)
+    out = df.withColumn("_tau", tau).withColumn("_block", F.floor(F.col("_tau") * (rate / BLOCK)))
     step = F.col("_tau") - F.lag("_tau").over(ordered(*keys, order=order))
     weight = F.when(step.isNull(), 1.0).otherwise(1 - F.exp(-rate * step))
-    out = out.withColumn("_w", weight * F.col(value) * F.exp(rate * F.col("_tau")))
-    return out.withColumn(name, F.exp(-rate * F.col("_tau")) * F.sum("_w").over(upto(*keys, order=order))).drop("_tau", "_w")
+    since = rate * F.col("_tau") - BLOCK * F.col("_block")
+    out = out.withColumn("_w", weight * F.col(value) * F.exp(since))
+    out = out.withColumn("_own", F.exp(-since) * F.sum("_w").over(upto(*keys, "_block", order=order)))
+    was = F.lag(F.struct("_own", "_tau", "_block")).over(ordered(*keys, order=order))
+    out = out.withColumn("_was", was).withColumn("_left", F.first("_was").over(upto(*keys, "_block", order=order)))
+    carried = F.when(F.col("_left._block") == F.col("_block") - 1, F.col("_left._own") * F.exp(-rate * (F.col("_tau") - F.col("_left._tau")))).otherwise(0.0)
+    return out.withColumn(name, F.col("_own") + carried).drop("_tau", "_block", "_w", "_own", "_was", "_left")
 
 
 def with_page_hinkley(df: DataFrame, value: str, *keys: str, delta: float = 0.005, threshold: float = 50.0, least: int = 30) -> DataFrame:
@@ -137,18 +149,29 @@ def with_rolling_distinct(df: DataFrame, value: str, seconds: int, name: str, *k
     return df.join(counts, "event_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-def with_bucketed_past(df: DataFrame, sums: dict[str, Column], *keys: str, bucket_us: int = 86_400_000_000) -> DataFrame:
+def with_bucketed_past(df: DataFrame, sums: dict[str, Column], *keys: str, bucket_us: int = HOUR_US, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Adds sums over the rows before each row, for keys with very many rows, in two levels.
 
     Rows are summed by (key, bucket of time) first; a window over that small table gives what came before
     the bucket, one within (key, bucket) what came before in it. No task sees all rows of a key.
     """
-    base = df.withColumn("_bucket", F.floor(F.col("ts_us") / bucket_us)).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    small = base.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    return _add_past(df, df, sums, keys, bucket_us, order)
+
+
+def with_bucketed_pasts(df: DataFrame, wanted: list[tuple[dict[str, Column], tuple[str, ...], int]], order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``with_bucketed_past`` for several keys (and widths of buckets) of the same rows, which are written first, so that they are
+    made once."""
+    source = stored(df, "past")
+    return reduce(lambda out, x: _add_past(out, source, x[0], x[1], x[2], order), wanted, source)
+
+
+def _add_past(df: DataFrame, source: DataFrame, sums: dict[str, Column], keys: tuple[str, ...], bucket_us: int, order: tuple[str, ...]) -> DataFrame:
+    marked = lambda rows: rows.withColumn("_bucket", F.floor(F.col("ts_us") / bucket_us)).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    small = marked(source).groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     small = small.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums])
-    inside = past(*keys, "_bucket")
-    out = base.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}).join(small, [*keys, "_bucket"])
+    inside = past(*keys, "_bucket", order=order)
+    out = marked(df).withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}).join(small, [*keys, "_bucket"])
     out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_p_{n}") for n in sums})
     return out.drop("_bucket", *[f"{p}{n}" for n in sums for p in ("_v_", "_i_", "_p_")])
 

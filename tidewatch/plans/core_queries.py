@@ -202,7 +202,7 @@ def j_profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = access_events(spark, sf_dir)
     train = ev.where("split = 'train'")
     own, peers, everyone = train.groupBy("entity_id").agg(F.avg("bytes_transferred").alias("e")), train.groupBy("cohort").agg(F.avg("bytes_transferred").alias("k")), train.agg(F.avg("bytes_transferred").alias("g"))
-    out = ev.where("split <> 'train'").join(own, "entity_id", "left").join(peers, "cohort", "left").join(F.broadcast(everyone))
+    out = ev.where("split <> 'train'").join(own, "entity_id", "left").join(peers, "cohort", "left").crossJoin(everyone)
     return out.select("event_id", F.round(F.coalesce("e", F.lit(0.0)), 4).alias("own"), F.round(F.coalesce("e", "k", "g"), 4).alias("fallback"))
 
 
@@ -299,7 +299,15 @@ def a_peers_and_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peers per cohort and resource, and the pair's share of all events."""
     ev = access_events(spark, sf_dir)
     total = ev.agg(F.count("*").alias("t"))
-    return ev.groupBy("cohort", c("resource_accessed").alias("resource")).agg(F.countDistinct("entity_id").alias("peers"), F.count("*").alias("n")).join(F.broadcast(total)).select("cohort", "resource", "peers", F.round(c("n") / c("t"), 8).alias("share"))
+    return ev.groupBy("cohort", c("resource_accessed").alias("resource")).agg(F.countDistinct("entity_id").alias("peers"), F.count("*").alias("n")).crossJoin(total).select("cohort", "resource", "peers", F.round(c("n") / c("t"), 8).alias("share"))
+
+
+@query(" SELECT resource_accessed AS resource, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM ev GROUP BY 1")
+def a_resource_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each resource's share of all events."""
+    ev = access_events(spark, sf_dir)
+    total = ev.agg(F.count("*").alias("t"))
+    return ev.groupBy(c("resource_accessed").alias("resource")).agg(F.count("*").alias("n")).crossJoin(total).select("resource", "n", F.round(c("n") / c("t"), 8).alias("share"))  # one row
 
 
 @query(", m AS (SELECT source_ip, auth_method, count(*) AS n FROM ev GROUP BY ALL) SELECT source_ip, (SELECT count(*) FROM ev WHERE ev.source_ip = m.source_ip) AS events, (SELECT count(DISTINCT entity_id) FROM ev WHERE ev.source_ip = m.source_ip) AS entities, string_agg(auth_method || '=' || n, ';' ORDER BY auth_method) AS methods FROM m GROUP BY source_ip")
@@ -309,12 +317,16 @@ def a_source_ip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""", x AS (SELECT ev.*, lb.is_anomaly FROM ev JOIN lb ON lb.event_id = ev.event_id)
 SELECT 'total' AS dimension, '' AS value, count(*) AS n, round(avg(is_anomaly::INT), 6) AS anomaly_rate FROM x UNION ALL SELECT 'split', split, count(*), round(avg(is_anomaly::INT), 6) FROM x GROUP BY split
-UNION ALL SELECT 'entity_type', entity_type, count(*), round(avg(is_anomaly::INT), 6) FROM x GROUP BY entity_type UNION ALL SELECT 'label', label, count(*), round(avg(is_anomaly::INT), 6) FROM x GROUP BY label""")
+UNION ALL SELECT 'entity_type', entity_type, count(*), round(avg(is_anomaly::INT), 6) FROM x GROUP BY entity_type UNION ALL SELECT 'label', label, count(*), round(avg(is_anomaly::INT), 6) FROM x GROUP BY label
+UNION ALL SELECT 'cold_entities', '', count(DISTINCT entity_id), NULL FROM x WHERE entity_id NOT IN (SELECT entity_id FROM x WHERE split = 'train')""")
 def a_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts and anomaly rate in all and by split, entity type and label: one pass with grouping sets."""
+    """Row counts and anomaly rate in all and by split, entity type and label: one pass with grouping sets; and how many entities
+    have no training rows."""
     df = labelled_events(spark, sf_dir).withColumn("a", c("label").isin(*ATTACKS).cast("double"))
     out = df.groupingSets([[], [c("split")], [c("entity_type")], [c("label")]], c("split"), c("entity_type"), c("label")).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("anomaly_rate"))
-    return out.select(F.when(c("g") == 7, "total").when(c("g") == 3, "split").when(c("g") == 5, "entity_type").otherwise("label").alias("dimension"), F.coalesce("split", "entity_type", "label", F.lit("")).alias("value"), "n", "anomaly_rate")
+    out = out.select(F.when(c("g") == 7, "total").when(c("g") == 3, "split").when(c("g") == 5, "entity_type").otherwise("label").alias("dimension"), F.coalesce("split", "entity_type", "label", F.lit("")).alias("value"), "n", "anomaly_rate")
+    cold = df.groupBy("entity_id").agg(F.max((c("split") == "train").cast("int")).alias("seen")).where("seen = 0")
+    return out.unionByName(cold.agg(F.lit("cold_entities").alias("dimension"), F.lit("").alias("value"), F.count("*").alias("n"), F.lit(None).cast("double").alias("anomaly_rate")))
 
 
 @query(" SELECT predicted_attack_type, count(*) AS processed, count(*) FILTER (risk_score >= 65) AS raised FROM sc GROUP BY 1")
@@ -346,6 +358,14 @@ def a_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bigram_counts(access_events(spark, sf_dir), "cohort")
 
 
+@query(""", t AS (SELECT entity_id, cohort, event_id, unnest(command_sequence) AS w, CAST(NULL AS VARCHAR) AS z FROM ev UNION ALL SELECT entity_id, cohort, event_id, NULL, unnest(list_transform(list_zip(command_sequence[:-2], command_sequence[2:]), lambda p: p[1] || chr(1) || p[2])) FROM ev WHERE len(command_sequence) > 1),
+u AS (SELECT 'entity' AS level, entity_id AS key, w, z FROM t UNION ALL SELECT 'cohort', cohort, w, z FROM t UNION ALL SELECT 'all', '', w, z FROM t)
+SELECT level, key, count(w) AS tokens, count(DISTINCT w) AS vocabulary, count(z) AS pairs, count(DISTINCT z) AS distinct_pairs FROM u GROUP BY ALL""")
+def a_command_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands and pairs of commands, all and different ones, by entity, by cohort and over all: from counts by value."""
+    return T.command_totals(access_events(spark, sf_dir))
+
+
 @query(", d AS (SELECT cohort, entity_id, count(DISTINCT resource_accessed) AS degree FROM ev GROUP BY ALL) SELECT cohort, round(avg(degree), 6) AS mean, round(stddev_pop(degree), 6) AS std, CAST(sum(degree) AS BIGINT) AS edges FROM d GROUP BY 1")
 def a_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = access_events(spark, sf_dir).groupBy("cohort", "entity_id").agg(F.countDistinct("resource_accessed").alias("degree"))
@@ -356,7 +376,7 @@ def a_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = labels(spark, sf_dir).where("is_anomaly").groupBy("label").agg(F.count("*").alias("n"))
     t = k.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return k.join(F.broadcast(t)).select("label", F.round(c("total") / (c("classes") * c("n")), 8).alias("weight"))
+    return k.crossJoin(t).select("label", F.round(c("total") / (c("classes") * c("n")), 8).alias("weight"))
 
 
 @query(", h AS (SELECT entity_id, geo_city, count(*) AS n, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, geo_city) AS r FROM ev GROUP BY 1, 2) SELECT ev.entity_id, min(entity_type) AS entity_type, min(cohort) AS cohort, any_value(h.geo_city) AS home, count(*) FILTER (split = 'train') = 0 AS cold_start FROM ev JOIN h ON h.entity_id = ev.entity_id AND h.r = 1 GROUP BY 1")
@@ -447,7 +467,7 @@ def t_stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_alert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of alerts by falling risk, and the total before paging."""
     hits = scored(spark, sf_dir).where("risk_score >= 40").select("event_id", "risk_score")
-    return hits.orderBy(F.desc("risk_score"), "event_id").offset(10).limit(20).join(F.broadcast(hits.agg(F.count("*").alias("total"))))
+    return hits.orderBy(F.desc("risk_score"), "event_id").offset(10).limit(20).crossJoin(hits.agg(F.count("*").alias("total")))
 
 
 @query(", r AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, event_id) AS k, count(*) OVER () AS n FROM sc) SELECT pct, event_id FROM r, (VALUES (0.5), (1.0), (5.0)) b(pct) WHERE k <= greatest(1, floor(n * pct / 100))")
@@ -532,13 +552,13 @@ def sc_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(""" SELECT event_id, CASE WHEN bytes_transferred < 1024 THEN bytes_transferred || ' B' WHEN bytes_transferred < 1048576 THEN printf('%.1f KB', bytes_transferred / 1024) ELSE printf('%.1f MB', bytes_transferred / 1048576) END AS size,
+@query(""" SELECT event_id, CASE WHEN bytes_transferred < 1024 THEN bytes_transferred || ' B' WHEN bytes_transferred < 1048576 THEN printf('%.1f KB', round(bytes_transferred / 1024, 1)) ELSE printf('%.1f MB', round(bytes_transferred / 1048576, 1)) END AS size,
  CASE WHEN floor(session_duration_s * 9) >= 3600 THEN printf('%dh %dm', CAST(floor(session_duration_s * 9) AS BIGINT) // 3600, (CAST(floor(session_duration_s * 9) AS BIGINT) % 3600) // 60) WHEN floor(session_duration_s * 9) >= 60 THEN printf('%dm %ds', CAST(floor(session_duration_s * 9) AS BIGINT) // 60, CAST(floor(session_duration_s * 9) AS BIGINT) % 60) ELSE printf('%ds', CAST(floor(session_duration_s * 9) AS BIGINT)) END AS duration,
- CASE WHEN bytes_transferred >= 1e6 THEN printf('%.1fM', bytes_transferred / 1e6) WHEN bytes_transferred >= 1e3 THEN printf('%.1fk', bytes_transferred / 1e3) ELSE CAST(CAST(floor(bytes_transferred + 0.5) AS BIGINT) AS VARCHAR) END AS compact FROM ev WHERE (bytes_transferred * 10) % 1024 <> 512 AND bytes_transferred % 50 <> 0""")
+ CASE WHEN bytes_transferred >= 1e6 THEN printf('%.1fM', round(bytes_transferred / 1e6, 1)) WHEN bytes_transferred >= 1e3 THEN printf('%.1fk', round(bytes_transferred / 1e3, 1)) ELSE CAST(CAST(floor(bytes_transferred + 0.5) AS BIGINT) AS VARCHAR) END AS compact, printf('%.1f%%', round(session_duration_s / 10, 1)) AS percent FROM ev""")
 def sc_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, durations and counts for display (values at a rounding tie are left to the formatter and out of this check)."""
+    """Sizes, durations, counts and shares for display; ties are rounded up."""
     b = c("bytes_transferred")
-    return access_events(spark, sf_dir).where(((b * 10) % 1024 != 512) & (b % 50 != 0)).select("event_id", S.bytes_text(b).alias("size"), S.duration_text(c("session_duration_s") * 9).alias("duration"), S.compact_text(b).alias("compact"))
+    return access_events(spark, sf_dir).select("event_id", S.bytes_text(b).alias("size"), S.duration_text(c("session_duration_s") * 9).alias("duration"), S.compact_text(b).alias("compact"), S.percent_text(c("session_duration_s") / 1000).alias("percent"))
 
 
 @query("""SELECT a.vec_id, round(list_dot_product(a.embedding, b.embedding) / sqrt(list_dot_product(a.embedding, a.embedding) * list_dot_product(b.embedding, b.embedding)), 3) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""", raw=True)

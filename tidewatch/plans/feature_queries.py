@@ -24,6 +24,13 @@ def _of(f, *names: str):
     return run
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with how many events have each feature (a value other than 0) and its mean over all."""
+    long = X.all_features(access_events(spark, sf_dir)).unpivot(["event_id"], list(X.NAMES), "name", "value")
+    stats = long.groupBy("name").agg(F.count("*").alias("events"), F.sum((F.round("value", PLACES) != 0).cast("long")).alias("present"), F.avg("value").alias("mean"))
+    return X.catalogue(spark).join(F.broadcast(stats), "name").withColumn("mean", F.round("mean", 4) + F.lit(0.0))
+
+
 TEMPORAL = ("is_offhours", "inter_arrival_zscore", "burstiness", "entity_event_count", "is_cold_start_flag", "days_observed")
 GEO = ("geo_velocity_kmh", "geo_centroid_distance_km", "new_country_flag", "new_subnet_flag", "source_ip_novelty")
 RESOURCE = ("entity_novel_resource", "graph_entity_novel_resource", "distinct_resources_1h", "distinct_resources_24h", "resource_breadth_expansion_rate")
@@ -44,7 +51,7 @@ QUERIES = {
     "f_jaccard": _of(X.jaccard_feature),
     "f_divergence": _of(X.divergence_feature),
     "f_all": lambda spark, sf_dir: rounded(X.all_features(access_events(spark, sf_dir))),
-    "f_catalogue": lambda spark, sf_dir: X.catalogue(spark).join(X.all_features(access_events(spark, sf_dir)).agg(F.count("*").alias("n_events")), how="cross"),
+    "f_catalogue": lambda spark, sf_dir: described(spark, sf_dir),
 }
 
 #: b: events numbered in total order; p: pairs of an event and an earlier one of the same entity.
@@ -127,3 +134,16 @@ o AS (SELECT k.i, -log2(greatest(k.w * (ea + 0.5) / (et + 0.5 * greatest(ev, 1))
   FROM k JOIN ua ON ua.i = k.i AND ua.a = k.c1 JOIN t ON t.i = k.i WHERE k.l = 1)
 SELECT k.event_id, {r("coalesce(m.s, o.s)", "command_surprisal")}, {r("m.u", "unseen_bigram_count")} FROM k LEFT JOIN m ON m.i = k.i LEFT JOIN o ON o.i = k.i""",
 }
+
+
+def _together() -> str:
+    """All features, joined from the SQL of the parts."""
+    parts = [k for k in QUERIES if k not in ("f_all", "f_catalogue")]
+    return f"SELECT * FROM ({ORACLES[parts[0]]})" + "".join(f" JOIN ({ORACLES[k]}) USING (event_id)" for k in parts[1:])
+
+
+ORACLES["f_all"] = _together()
+ORACLES["f_catalogue"] = f"""WITH l AS (UNPIVOT (SELECT * EXCLUDE (event_id) FROM ({ORACLES["f_all"]})) ON COLUMNS(*) INTO NAME name VALUE value),
+s AS (SELECT name, count(*) AS events, count(*) FILTER (value <> 0) AS present, round(avg(value), 4) + 0.0 AS mean FROM l GROUP BY 1),
+k(position, name, display_name, direction, trusted_cold) AS (VALUES {", ".join(f"({i}, '{f.name}', '{f.display}', '{f.direction}', {f.trusted_cold})" for i, f in enumerate(X.FEATURES))})
+SELECT CAST(k.position AS INTEGER) AS position, k.name, display_name, direction, trusted_cold, events, present, mean FROM k JOIN s ON s.name = k.name"""

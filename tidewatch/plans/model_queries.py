@@ -185,13 +185,13 @@ def m_isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation forests per cohort on the train split, and every event's score."""
     ff = feature_frame(spark, sf_dir)
     train = ff.where("split = 'train'")
-    forest = I.fit(train, NAMES, trees=50)
+    forest = stored(I.fit(train, NAMES), "forest")
     return I.isolation_scores(ff, forest, I.path_scores(train, forest, NAMES), NAMES)
 
 
 @query()
 def m_isolation_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.importances(I.fit(feature_frame(spark, sf_dir).where("split = 'train'"), NAMES, trees=50), NAMES)
+    return I.importances(I.fit(feature_frame(spark, sf_dir).where("split = 'train'"), NAMES), NAMES)
 
 
 @query()
@@ -204,14 +204,14 @@ def m_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ff = feature_frame(spark, sf_dir)
-    out = M.classify(ff, M.fit_classifier(ff.where("split = 'train'"), trees=20))
+    out = M.classify(ff, M.fit_classifier(ff.where("split = 'train'")))
     return out.select("event_id", c("tree.attack_type").alias("tree_type"), c("named.attack_type").alias("attack_type"), c("named.confidence").alias("confidence"), c("named.is_novel").alias("is_novel"))
 
 
 @query()
 def m_score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring job."""
-    return M.score_events(access_events(spark, sf_dir), labels(spark, sf_dir), trees=20)
+    return M.score_events(access_events(spark, sf_dir), labels(spark, sf_dir))
 
 
 # -- explanation
@@ -238,20 +238,69 @@ def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return D.fuse(rows, reference), entities, cohorts, reference
 
 
-@query(TERMS + " SELECT event_id, round(sum(abs(t)), 3) AS size, count(*) AS n FROM tt GROUP BY 1")
+@query(TERMS + " SELECT event_id, CAST(k AS INTEGER) AS rank, feature, round(t, 4) + 0.0 AS contribution FROM tt")
 def e_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six largest contributions of an event, added up."""
+    """The six largest contributions to each event's risk, by rank."""
     rows, *_ = _fused(spark, sf_dir)
-    return D.contributions(rows).groupBy("event_id").agg(F.round(F.sum(F.abs("contribution")), 3).alias("size"), F.count("*").alias("n"))
+    return D.contributions(rows).select("event_id", "rank", "feature", (F.round("contribution", 4) + F.lit(0.0)).alias("contribution"))
 
 
-@query()
+def _changed_sql(n: str) -> str:
+    mean = f"(x.w * coalesce(p.m_{n}, 0) + (1 - x.w) * coalesce(k.m_{n}, 0))"
+    var = f"(x.w * coalesce(p.v_{n}, 0) + (1 - x.w) * coalesce(k.v_{n}, 0))"
+    return f"SELECT t.event_id, t.feature, greatest(-5, least(5, (coalesce(k.m_{n}, 0) - {mean}) / sqrt(greatest({var}, 1e-6)))) AS zn, z_{n} AS zo, rms_z FROM tt t JOIN wx x ON x.event_id = t.event_id JOIN rz ON rz.event_id = t.event_id LEFT JOIN pe p ON p.entity_id = x.entity_id LEFT JOIN pk k ON k.cohort = x.cohort WHERE t.k <= 3 AND t.feature = '{n}'"
+
+
+def _rank_sql(d: str, value: str) -> str:
+    return f"(SELECT CASE WHEN any_value(nn.n) < 500 THEN 0.5 ELSE count(*) FILTER (tr.{d} <= {value}) / any_value(nn.n) END FROM tr, nn)"
+
+
+COUNTERFACTUAL = TERMS + f""", wx AS (SELECT ff.event_id, ff.entity_id, ff.cohort, coalesce(pe.n, 0) / (coalesce(pe.n, 0) + 20.0) AS w FROM ff LEFT JOIN pe ON pe.entity_id = ff.entity_id),
+cf AS ({" UNION ALL ".join(map(_changed_sql, NAMES))}),
+cp AS MATERIALIZED (SELECT event_id, feature, least(1, sqrt(greatest(0, rms_z * rms_z * {len(NAMES)} - zo * zo + zn * zn) / {len(NAMES)}) / 5) AS v FROM cf),
+rp AS MATERIALIZED (SELECT v, CASE WHEN (SELECT n FROM nn) < 500 THEN 0.5 ELSE (SELECT count(*) FROM tr WHERE tr.profile <= x.v) / (SELECT n FROM nn) END AS p FROM (SELECT DISTINCT v FROM cp) x),
+rs AS (SELECT {_rank_sql("sequence", "0.3")} AS s, {_rank_sql("graph", "0.3")} AS g)
+SELECT cp.event_id, feature, round(100 / (1 + exp(-(-3.0 + {TERM.format(w=WSUM["profile"], p="rp.p")} + {TERM.format(w=WSUM["sequence"], p="rs.s")} + {TERM.format(w=WSUM["graph"], p="rs.g")}))), 4) + 0.0 AS neutralised_risk,
+ round(100 / (1 + exp(-(-3.0 + {TERM.format(w=WSUM["profile"], p="rp.p")} + {TERM.format(w=WSUM["sequence"], p="rs.s")} + {TERM.format(w=WSUM["graph"], p="rs.g")}))) - rk.risk, 4) + 0.0 AS delta FROM cp JOIN rp ON rp.v = cp.v JOIN rk ON rk.event_id = cp.event_id, rs"""
+
+
+@query(COUNTERFACTUAL)
 def e_counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk with each of an event's three largest features put at its cohort's mean."""
     rows, entities, cohorts, reference = _fused(spark, sf_dir)
-    return D.counterfactuals(rows, D.contributions(rows), cohorts, entities, reference)
+    return rounded(D.counterfactuals(rows, D.contributions(rows), cohorts, entities, reference), places=4)
 
 
-@query()
+def _shown_sql(n: str) -> str:
+    whole = "format('{:,}', CAST(round_even(v, 0) AS BIGINT))"
+    if n == "geo_velocity_kmh":
+        return f"{whole} || ' km/h'"
+    if n.startswith(("entity_failure_count_", "ip_failure_count_")):
+        return "CAST(floor(v) AS BIGINT) || ' failures'"
+    if n in ("offhours_bytes_rolling_7d", "bytes_zscore"):
+        return "printf('%.1f', v)"
+    if n in FLAGS and n not in ("source_ip_novelty",):
+        return "CASE WHEN v > 0.5 THEN 'yes' ELSE 'no' END"
+    if "zscore" in n:
+        return "printf('%+.2f', v) || 'σ'"
+    if n == "geo_centroid_distance_km":
+        return f"{whole} || ' km'"
+    if n == "transfer_to_duration_ratio":
+        return f"{whole} || ' B/s'"
+    return "printf('%.3f', v)"
+
+
+def _phrase_sql(n: str) -> str:
+    before, mark, after = D.PHRASES.get(n, n + ": {}").replace("'", "''").partition("{}")
+    return f"'{before}' || {_shown_sql(n)} || '{after}'" if mark else f"'{before}'"
+
+
+@query(
+    TERMS + f""", fv AS (SELECT tt.event_id, tt.k, tt.feature, CASE tt.feature {" ".join(f"WHEN '{n}' THEN ff.{n}" for n in NAMES)} END AS v FROM tt JOIN ff ON ff.event_id = tt.event_id WHERE tt.k <= 3),
+ph AS (SELECT event_id, k, CASE feature {" ".join(f"WHEN '{n}' THEN {_phrase_sql(n)}" for n in NAMES)} END AS p FROM fv),
+na AS (SELECT event_id, 'Stands out for ' || string_agg(p, '; ' ORDER BY k) || '.' AS f, 'Stands out for ' || min_by(p, k) || '; and for ' || (count(*) - 1) || ' more reasons.' AS s FROM ph GROUP BY 1)
+SELECT event_id, CASE WHEN length(f) <= 200 THEN f WHEN length(s) > 200 THEN substr(s, 1, 197) || '...' ELSE s END AS narrative FROM na"""
+)
 def e_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, *_ = _fused(spark, sf_dir)
     return D.narratives(D.contributions(rows))
@@ -275,7 +324,7 @@ AUC = "(SELECT avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score T
 @query(TEST + f" SELECT round({AP.format(t='te')}, 6) AS pr_auc, round({AUC.format(t='te')}, 6) AS roc_auc")
 def q_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = evaluated(spark, sf_dir)
-    return rounded(E.pr_auc(df).join(E.roc_auc(df)))
+    return rounded(E.pr_auc(df).crossJoin(E.roc_auc(df)))
 
 
 BUDGET_SQL = """, rr AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_id) AS k, count(*) OVER () AS n, count(*) FILTER (is_anomaly) OVER () AS pos FROM {t})
@@ -312,7 +361,7 @@ def q_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-positive rates, and recall of an attack held out of training."""
     df = evaluated(spark, sf_dir)
     held = df.where("label = 'lateral_movement'").agg(F.avg(c("is_alert").cast("double")).alias("held_out_recall"))
-    return rounded(E.false_positive_rates(df).join(held))
+    return rounded(E.false_positive_rates(df).crossJoin(held))
 
 
 @query(TEST + """, f AS (SELECT episode_id, min(ts_us) AS s, min(ts_us) FILTER (is_alert) AS a, first(label ORDER BY ts_us, event_id) AS label FROM te WHERE is_anomaly AND episode_id IS NOT NULL GROUP BY 1),
@@ -332,7 +381,14 @@ def q_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cold.unionByName(drift))
 
 
-@query()
+ABLATION = RISK + ", ab AS (SELECT 'none' AS without, event_id, split, round(risk, 6) AS score FROM rk" + "".join(
+    f" UNION ALL SELECT '{d}', event_id, split, round(100 / (1 + exp(-(-3.0 + {' + '.join(f'{x}_logodds' for x in WSUM if x != d)} + CASE WHEN (SELECT n FROM nn) < 500 THEN 0 ELSE 6 * {WSUM[d]} END))), 6) FROM rk" for d in WSUM
+) + """), ag AS (SELECT without, score, count(*) FILTER (is_anomaly) AS p, count(*) FILTER (NOT is_anomaly) AS n FROM ab JOIN lb ON lb.event_id = ab.event_id WHERE split = 'test' GROUP BY ALL),
+aw AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS fp, sum(p) OVER (PARTITION BY without) AS pos, sum(n) OVER (PARTITION BY without) AS neg FROM ag WINDOW o AS (PARTITION BY without ORDER BY score DESC))
+SELECT without, round(sum(p * 1.0 / pos * tp / (tp + fp)), 6) AS pr_auc, round(sum(p * (neg - fp + n / 2.0)) / max(pos * neg), 6) AS roc_auc FROM aw GROUP BY 1"""
+
+
+@query(ABLATION)
 def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas with each detector left out in turn (its score at 0.5), all variants in one plan."""
     rows, *_ = detector_frame(spark, sf_dir)
@@ -346,11 +402,30 @@ def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.pr_auc(out, keys=("without",)).join(E.roc_auc(out, keys=("without",)), "without"))
 
 
-@query(TEST + f""", s AS (SELECT count(*) AS events, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (is_alert) AS alerts, round(avg(is_anomaly::INT), 6) AS anomaly_rate, round(quantile_cont(score, 0.99), 6) AS p99 FROM te) SELECT s.*, round({AP.format(t='te')}, 6) AS pr_auc, round({AUC.format(t='te')}, 6) AS roc_auc FROM s""")
+_GROUP = "round(coalesce(count(*) FILTER (is_alert AND is_anomaly AND {g}) / nullif(count(*) FILTER (is_alert AND {g}), 0), 0), 6) AS {n}_precision, round(coalesce(count(*) FILTER (is_alert AND is_anomaly AND {g}) / nullif(count(*) FILTER (is_anomaly AND {g}), 0), 0), 6) AS {n}_recall"
+
+
+@query(TEST + f""", f AS (SELECT episode_id, min(ts_us) AS s, min(ts_us) FILTER (is_alert) AS a FROM te WHERE is_anomaly AND episode_id IS NOT NULL GROUP BY 1),
+rr AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_id) AS k, greatest(1, count(*) OVER () // 100) AS top, entity_id NOT IN (SELECT entity_id FROM ev WHERE split = 'train') AS cold FROM te),
+s AS (SELECT count(*) AS events, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (is_alert) AS alerts, round(avg(is_anomaly::INT), 6) AS anomaly_rate, round(quantile_cont(score, 0.99), 6) AS p99, round(coalesce(avg(is_alert::INT) FILTER (label = 'lateral_movement'), 0), 6) AS held_out_recall,
+ round(count(*) FILTER (is_anomaly AND k <= top) / any_value(top), 6) AS precision_1pct, round(count(*) FILTER (is_anomaly AND k <= top) / count(*) FILTER (is_anomaly), 6) AS recall_1pct, round(min(score) FILTER (k <= top), 6) AS threshold_1pct,
+ round(coalesce(avg(is_alert::INT) FILTER (label = 'benign_confounder'), 0), 6) AS confounder_rate, round(coalesce(avg(is_alert::INT) FILTER (label = 'insider_drift'), 0), 6) AS drift_rate,
+ {_GROUP.format(g="cold", n="cold")}, {_GROUP.format(g="ts_us >= 1704067200000000 + 24 * 86400000000", n="drift")}, (SELECT round(avg((a - s) / 6e7), 6) FROM f WHERE a IS NOT NULL) AS mean_minutes_to_detect FROM rr)
+SELECT s.*, round({AP.format(t='te')}, 6) AS pr_auc, round({AUC.format(t='te')}, 6) AS roc_auc FROM s""")
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = evaluated(spark, sf_dir)
-    one = df.agg(F.count("*").alias("events"), F.sum(c("is_anomaly").cast("long")).alias("anomalies"), F.sum(c("is_alert").cast("long")).alias("alerts"), F.avg(c("is_anomaly").cast("double")).alias("anomaly_rate"), F.percentile("score", 0.99).alias("p99"))
-    return rounded(one.join(E.pr_auc(df)).join(E.roc_auc(df)))
+    df, ev = evaluated(spark, sf_dir), access_events(spark, sf_dir)
+    unseen = ev.select("entity_id").distinct().join(ev.where("split = 'train'"), "entity_id", "left_anti")
+    return rounded(E.summary(df, unseen, 1_704_067_200_000_000 + 24 * 86_400_000_000, "lateral_movement"))
+
+
+@query(NAIVE + f""", te AS MATERIALIZED (SELECT nb.event_id, naive_score AS score, lb.label FROM nb JOIN lb ON lb.event_id = nb.event_id WHERE split = 'test'),
+rr AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_id) AS k, greatest(1, count(*) OVER () // 100) AS top, (SELECT quantile_cont(score, 0.99) FROM te) AS bound FROM te)
+SELECT label, count(*) AS support, round(avg(CASE WHEN label IN {ATTACKS} THEN k <= top ELSE score >= bound END::INT), 6) AS share FROM rr WHERE label <> 'normal' GROUP BY 1""")
+def q_baseline_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naive baseline by type: recall in the top percent, and how many benign oddities reach its bound."""
+    base = D.naive_baseline(access_events(spark, sf_dir)).withColumnRenamed("naive_score", "score")
+    test = access_events(spark, sf_dir).where("split = 'test'").select("event_id")
+    return rounded(E.baseline_types(base.join(labels(spark, sf_dir).select("event_id", "label"), "event_id").join(test, "event_id")))
 
 
 @query(NAIVE + ", te AS MATERIALIZED (SELECT nb.event_id, naive_score AS score, lb.is_anomaly FROM nb JOIN lb ON lb.event_id = nb.event_id WHERE split = 'test')" + BUDGET_SQL.format(t="te"))

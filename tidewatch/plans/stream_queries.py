@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features as X
+from tidewatch.operators import scoring as M
 from tidewatch.plans.feature_queries import ORACLES as FEATURE_SQL
 from tidewatch.plans.feature_queries import rounded
 from tidewatch.plans.model_queries import PH
-from tidewatch.sources.access_events import DUCK_WITH, scored
+from tidewatch.sources.access_events import DUCK_WITH, access_events, labels, scored
 from tidewatch.sources.storage import new_folder
 from tidewatch.streaming import jobs as J
 
@@ -88,9 +89,17 @@ def st_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.to_table(J.stateful_drift(source(spark, sf_dir)), "drift").drop("batch").withColumn("ph_m", F.round("ph_m", 4))
 
 
-@query()
+RESET = """, oo AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us, event_id) AS k FROM sc),
+ph AS (SELECT entity_id, k, event_id, CAST(1 AS BIGINT) AS n, risk_score AS total, CAST(0 AS DOUBLE) AS m, false AS drift FROM oo WHERE k = 1
+ UNION ALL SELECT oo.entity_id, oo.k, oo.event_id, CASE WHEN drift THEN 0 ELSE n END + 1, CASE WHEN drift THEN 0 ELSE total END + risk_score,
+  greatest(0, CASE WHEN drift THEN 0 ELSE m END + risk_score - (CASE WHEN drift THEN 0 ELSE total END + risk_score) / (CASE WHEN drift THEN 0 ELSE n END + 1) - 0.005),
+  CASE WHEN drift THEN 0 ELSE n END + 1 >= 30 AND greatest(0, CASE WHEN drift THEN 0 ELSE m END + risk_score - (CASE WHEN drift THEN 0 ELSE total END + risk_score) / (CASE WHEN drift THEN 0 ELSE n END + 1) - 0.005) > 50
+ FROM ph JOIN oo ON oo.entity_id = ph.entity_id AND oo.k = ph.k + 1)"""
+
+
+@query(DUCK_WITH + RESET + " SELECT event_id, round(m, 4) AS ph_m, drift AS ph_drift FROM ph")
 def st_page_hinkley_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.to_table(J.stateful_drift(source(spark, sf_dir), reset=True), "drift-reset").drop("batch")
+    return J.to_table(J.stateful_drift(source(spark, sf_dir), reset=True), "drift-reset").drop("batch").withColumn("ph_m", F.round("ph_m", 4))
 
 
 @query(FEATURE_SQL["f_source_ip"])
@@ -114,3 +123,29 @@ def st_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DUCK_WITH + " SELECT event_id, risk_score AS value FROM sc ORDER BY md5(event_id) LIMIT 400")
 def st_running_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.running_distribution(source(spark, sf_dir), "risk_score", "sample", 400)
+
+
+#: The batch that ``source`` puts each event in: four spans of days.
+SPANS = """, sp AS (SELECT min(ts_us // 86400000000) AS lo, max(ts_us // 86400000000) AS hi FROM sc),
+bt AS (SELECT sc.event_id, risk_score, CAST((ts_us // 86400000000 >= lo + (hi + 1 - lo) // 4) AS INTEGER) + CAST((ts_us // 86400000000 >= lo + (hi + 1 - lo) * 2 // 4) AS INTEGER) + CAST((ts_us // 86400000000 >= lo + (hi + 1 - lo) * 3 // 4) AS INTEGER) AS b FROM sc, sp),
+ct AS (SELECT b, count(*) AS n FROM bt GROUP BY 1)"""
+
+
+@query(DUCK_WITH + SPANS + """, u AS (SELECT b.b, p.risk_score AS v, count(*) AS k FROM (SELECT DISTINCT b FROM bt) b JOIN bt p ON p.b < b.b GROUP BY ALL),
+w AS (SELECT b, v, sum(k) OVER (PARTITION BY b ORDER BY v) AS at_most, sum(k) OVER (PARTITION BY b) AS n FROM u)
+SELECT bt.event_id, round(CASE WHEN coalesce((SELECT max(n) FROM w WHERE w.b = bt.b), 0) < 500 THEN 0.5 ELSE coalesce((SELECT max(at_most) FROM w WHERE w.b = bt.b AND w.v <= bt.risk_score), 0) / (SELECT max(n) FROM w WHERE w.b = bt.b) END, 8) AS rank FROM bt""")
+def st_online_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of scores among those of earlier batches, with warm-up; up to 20,000 values are held."""
+    return J.online_ranks(source(spark, sf_dir), "risk_score", "ranks")[0].withColumn("rank", F.round("rank", 8))
+
+
+@query()
+def st_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored as a stream with models fitted and saved beforehand; the alerts."""
+    ev = access_events(spark, sf_dir)
+    models, folder, path = (new_folder(spark, x) for x in ("models", "live", "replay"))
+    rows = M.feature_rows(ev)
+    M.fit_models(rows.where("split = 'train'"), models, labels(spark, sf_dir), rows.where("split = 'val'"))
+    J.write_steps(ev, path, steps=2)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ev.schema.fields)
+    return J.live_scores(J.replay(spark, path, schema), models, folder).where("is_alert").select("event_id", "risk_score", "band", "attack_type")

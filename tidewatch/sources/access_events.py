@@ -29,10 +29,14 @@ VOCABULARIES = {
 }
 RANGES = {"geo_lat": (-90.0, 90.0), "geo_lon": (-180.0, 180.0), "session_duration_s": (0.0, None), "bytes_transferred": (0, None)}
 
-#: The derived view, for Spark and DuckDB alike; the placeholders hold what differs.
+#: The derived view, for Spark and DuckDB alike; the placeholders hold what differs. A row per row of ``events``, an entity per user; every
+#: 24th user is new in the last days (what came before is its neighbour's), and about 24 users make a cohort, so entities and
+#: cohorts grow with the table.
 VIEW = """
-WITH r AS (SELECT event_id AS eid, user_id % 24 AS u, event_type, value, {us} AS us, CAST({k} AS BIGINT) AS k FROM {events}),
-b AS (SELECT eid, u, event_type, value, k, (us {div} 3600000000) * 3600000000 + (us % 3600000000) {div} 12 AS ts_us,
+WITH q AS (SELECT event_id AS eid, user_id, event_type, value, {us} AS us, CAST({k} AS BIGINT) AS k FROM {events}),
+o AS (SELECT *, CASE WHEN user_id % 24 = 3 AND (us - 1704067200000000) {div} 86400000000 < 21 THEN user_id + 1 ELSE user_id END AS w FROM q),
+r AS (SELECT *, w % 24 AS u FROM o),
+b AS (SELECT eid, w, u, event_type, value, k, (us {div} 3600000000) * 3600000000 + (us % 3600000000) {div} 12 AS ts_us,
        (us - 1704067200000000) {div} 86400000000 AS d,
        (u + CASE WHEN k % 13 = 0 THEN 1 + k % 3 ELSE 0 END) % 4 AS site,
        CASE WHEN k % 17 = 0 THEN k % 5 ELSE u % 3 END AS dev FROM r),
@@ -44,12 +48,12 @@ e AS (SELECT *, CASE WHEN event_type = 'error' AND k % 5 = 0 THEN 'brute_force'
             WHEN k % 19 = 0 THEN 'lateral_movement'
             WHEN k % 29 = 0 THEN 'low_and_slow_exfil'
             WHEN k % 31 = 0 THEN 'insider_drift' ELSE 'normal' END AS label
-      FROM b WHERE NOT (u = 3 AND d < 21))
+      FROM b)
 SELECT concat('e', CAST(eid AS {str})) AS event_id,
- CASE WHEN label <> 'normal' THEN concat('ep_', CAST(u AS {str}), '_', CAST(d AS {str}), '_', label) END AS episode_id,
- concat('usr_', CAST(u AS {str})) AS entity_id,
+ CASE WHEN label <> 'normal' THEN concat('ep_', CAST(w AS {str}), '_', CAST(d AS {str}), '_', label) END AS episode_id,
+ concat('usr_', CAST(w AS {str})) AS entity_id,
  CASE u % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'service_account' ELSE 'edge_device' END AS entity_type,
- concat('cohort_', CAST(u % 4 AS {str})) AS cohort,
+ concat('cohort_', CAST(w {div} 96 * 4 + u % 4 AS {str})) AS cohort,
  ts_us,
  concat('10.', CAST(10 + site AS {str}), '.', CAST(k % 5 AS {str}), '.', CAST(k % 3 AS {str})) AS source_ip,
  CASE site WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'SG' ELSE 'AU' END AS geo_country,
@@ -67,7 +71,7 @@ SELECT concat('e', CAST(eid AS {str})) AS event_id,
  CAST(10 + dev AS {str}) AS device_os_version,
  concat('aa:bb:0', CAST(dev AS {str}), ':00:00:', CAST(10 + u AS {str})) AS device_mac,
  CASE (u + dev) % 6 WHEN 0 THEN 'https' WHEN 1 THEN 'ssh' WHEN 2 THEN 'rdp' WHEN 3 THEN 'smb' WHEN 4 THEN 'modbus' ELSE 'mqtt' END AS device_protocol,
- concat('fp_', CAST(u AS {str}), '_', CAST(dev AS {str})) AS device_fingerprint,
+ concat('fp_', CAST(w AS {str}), '_', CAST(dev AS {str})) AS device_fingerprint,
  CAST(FLOOR(value * 1000) AS BIGINT) AS bytes_transferred,
  CASE WHEN d < 18 THEN 'train' WHEN d < 21 THEN 'val' ELSE 'test' END AS split,
  label
@@ -83,7 +87,7 @@ lb AS (SELECT event_id, episode_id, label, label IN {ATTACKS} AS is_anomaly,
    CASE WHEN label = 'benign_confounder' THEN 'legit_travel' END AS confounder_type,
    CASE WHEN label IN {ATTACKS} THEN CASE auth_result WHEN 'failure' THEN 'recon' ELSE 'action_on_objective' END END AS attack_stage FROM ev),
 sc AS (SELECT ev.* EXCLUDE (label), CAST((bytes_transferred * 7919) % 10000 AS DOUBLE) / 100 AS risk_score,
-   CASE WHEN label IN {ATTACKS} THEN label ELSE 'normal' END AS predicted_attack_type FROM ev)"""
+   CASE WHEN bytes_transferred % 11 = 0 THEN 'brute_force' WHEN bytes_transferred % 13 = 0 THEN 'normal' WHEN label IN {ATTACKS} THEN label ELSE 'normal' END AS predicted_attack_type FROM ev)"""
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +110,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a deterministic risk score and predicted type, for the alert and evaluation operators."""
+    """Events with a deterministic risk score and predicted type (wrong for some), for the alert and evaluation operators."""
     ev = labelled_events(spark, sf_dir)
     risk = ((F.col("bytes_transferred") * 7919) % 10000).cast("double") / 100
-    return ev.withColumn("risk_score", risk).withColumn("predicted_attack_type", F.when(F.col("label").isin(*ATTACKS), F.col("label")).otherwise("normal")).drop("label")
+    wrong = F.when(F.col("bytes_transferred") % 11 == 0, "brute_force").when(F.col("bytes_transferred") % 13 == 0, "normal")
+    return ev.withColumn("risk_score", risk).withColumn("predicted_attack_type", wrong.when(F.col("label").isin(*ATTACKS), F.col("label")).otherwise("normal")).drop("label")
 
 
 def declared(df: DataFrame) -> DataFrame:

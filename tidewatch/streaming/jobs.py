@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidewatch.operators import tables as T
 from tidewatch.sources.storage import new_folder
@@ -39,24 +41,39 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 4
     return rows.withColumn("ts", F.timestamp_micros("ts_us"))
 
 
-def run_all(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Run over all that is there now, then stop. The checkpoint is in the shared folder."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", new_folder(df.sparkSession, f"stream-{name}")).trigger(availableNow=True)
+def run_all(df: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Run over all that is there now, then stop. The checkpoint is below ``folder``: with the same folder a later run goes on
+    where this one stopped, also after a failure."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     query = (w.foreachBatch(each) if each else w.format("noop")).start()
     query.awaitTermination()
     return query
 
 
-def to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there and return what was written. In update and complete mode a batch's rows carry its
-    number, and the newest row of a key is the result."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+class Batches:
+    """A table in a shared folder, a part per micro-batch. A batch that is run again replaces its part, so each counts once; what
+    earlier batches left is read from storage, not remembered by the driver."""
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows and their ``batch``, of all batches or those before a number."""
+        rows = self.spark.read.schema(StructType([*self.schema.fields, StructField("batch", IntegerType())])).parquet(self.path)
+        return rows if before is None else rows.where(c("batch") < before)
 
-    run_all(df, name, mode, each)
-    return spark.read.schema(df.schema.add("batch", "integer")).parquet(path)
+
+def to_table(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run over all that is there and return what was written, by this run and those before it in the same ``folder``. Rows carry
+    their ``batch``; in update and complete mode the newest row of a key is the result."""
+    folder = folder or new_folder(df.sparkSession, name)
+    out = Batches(df.sparkSession, f"{folder}/out", df.schema)
+    run_all(df, folder, mode, out.write)
+    return out.read()
 
 
 def windowed_failures(stream: DataFrame, width: str = "1 hour", slide: str = "30 minutes", delay: str = "1 day") -> DataFrame:
@@ -88,16 +105,22 @@ def stateful_features(stream: DataFrame, key: str = "entity_id") -> DataFrame:
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, fails, last, lat, lon, seen = state.get if state.exists else (0, 0, None, 0.0, 0.0, [])
-        seen_ = set(seen or [])
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-        out = []
-        for e in rows.itertuples(index=False):
-            out.append((e.event_id, n, fails, None if last is None else (e.ts_us - last) / 1e6, lat / n if n else None, lon / n if n else None, int(e.resource_accessed not in seen_)))
-            n, last, lat, lon = n + 1, int(e.ts_us), lat + e.geo_lat, lon + e.geo_lon
-            fails = fails + 1 if e.auth_result == "failure" else 0
-            seen_.add(e.resource_accessed)
-        state.update((n, fails, last, lat, lon, sorted(seen_)))
-        yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in STATEFUL.split(", ")])
+        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"], ignore_index=True)
+        size, at = len(rows), np.arange(len(rows))
+        # failures in a row before each row: places since the last row that isn't one, or all and what went before
+        good = rows["auth_result"].to_numpy() != "failure"
+        reset = np.maximum.accumulate(np.where(good, at, -1))
+        run = np.where(reset >= 0, at - reset, at + 1 + fails)
+        ts = rows["ts_us"].to_numpy(np.int64)
+        sums = [np.concatenate([[x], x + rows[name].cumsum().to_numpy(float)]) for x, name in ((lat, "geo_lat"), (lon, "geo_lon"))]
+        count = n + at
+        known = set(seen or [])
+        new = ~rows["resource_accessed"].duplicated().to_numpy() & ~rows["resource_accessed"].isin(known).to_numpy()
+        gap = pd.Series(np.concatenate([[np.nan], np.diff(ts) / 1e6]), dtype="object")
+        gap[0] = None if last is None else (int(ts[0]) - last) / 1e6
+        mean = [pd.Series(np.where(count > 0, x[:-1] / np.maximum(count, 1), np.nan), dtype="object").where(count > 0, None) for x in sums]
+        state.update((n + size, int(run[-1]), int(ts[-1]), float(sums[0][-1]), float(sums[1][-1]), sorted(known | set(rows["resource_accessed"]))))
+        yield pd.DataFrame({"event_id": rows["event_id"], "n": count, "run": np.concatenate([[fails], run[:-1]]).astype(np.int64), "gap": gap, "mean_lat": mean[0], "mean_lon": mean[1], "new_resource": new.astype(np.int32)})
 
     rows = stream.select(key, "event_id", "ts_us", "geo_lat", "geo_lon", "auth_result", "resource_accessed")
     return rows.groupBy(key).applyInPandasWithState(step, STATEFUL, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -123,60 +146,93 @@ def stateful_drift(stream: DataFrame, delta: float = 0.005, threshold: float = 5
     return rows.groupBy("entity_id").applyInPandasWithState(step, "event_id string, ph_m double, ph_drift boolean", "n long, total double, m double", "append", GroupStateTimeout.NoTimeout)
 
 
-def batch_equal(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], key: str, name: str) -> DataFrame:
+def batch_equal(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], key: str | None, name: str, folder: str | None = None) -> DataFrame:
     """A batch plan as a stream: each micro-batch runs the plan over its rows and the history of their keys.
 
-    Only the touched keys' history is read (a semi join); the rows of the batch are returned.
+    Only the touched keys' history is read (a semi join; all of it without a key); the rows of the batch are returned. History and results are
+    stored by batch, so a batch that is run again, or a run that goes on in the same ``folder``, counts each row once.
     """
     spark = stream.sparkSession
-    history, out = new_folder(spark, f"{name}-history"), new_folder(spark, f"{name}-out")
-    schema = stream.schema
-    written: list[int] = []
+    folder = folder or new_folder(spark, name)
+    history = Batches(spark, f"{folder}/history", stream.schema)
+    out = Batches(spark, f"{folder}/out", plan(spark.createDataFrame([], stream.schema)).schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        past = spark.read.schema(schema).parquet(history).join(batch.select(key).distinct(), key, "left_semi") if written else None
-        rows = batch if past is None else past.select(*batch.columns).unionByName(batch)
-        result = plan(rows).join(batch.select("event_id"), "event_id", "left_semi")
-        result.write.mode("append").parquet(out)
-        batch.write.mode("append").parquet(history)
-        written.append(number)
-        batch.unpersist()
+        history.write(batch, number)
+        now = history.read().where(c("batch") == number).drop("batch")
+        past = history.read(before=number).drop("batch")
+        if key:
+            past = past.join(now.select(key).distinct(), key, "left_semi")
+        out.write(plan(past.select(*now.columns).unionByName(now)).join(now.select("event_id"), "event_id", "left_semi"), number)
+
+    run_all(stream, folder, each=each)
+    return out.read().drop("batch")
 
-    run_all(stream, name, each=each)
-    return spark.read.parquet(out)
 
+def live_scores(stream: DataFrame, models: str, folder: str, threshold: float = 50.0) -> DataFrame:
+    """Events scored as they come, with models saved by ``scoring.fit_models``: the scored rows of all batches so far.
+
+    Features look at all events before a row, so each micro-batch reads the history as the batch job does and scores its own rows
+    alone; nothing is fitted. The alert sink is what of it ``is_alert``.
+    """
+    from tidewatch.operators import scoring as M
 
-def split_late(stream: DataFrame, name: str, delay_us: int = DAY_US) -> tuple[DataFrame, DataFrame]:
+    spark = stream.sparkSession
+    history = Batches(spark, f"{folder}/history", stream.schema)
+    schema = "event_id string, entity_id string, ts_us long, risk_score double, calibrated double, band string, is_alert boolean, attack_type string, confidence double, narrative string"
+    out = Batches(spark, f"{folder}/out", StructType.fromDDL(schema))
+
+    def each(batch: DataFrame, number: int) -> None:
+        history.write(batch, number)
+        rows = M.feature_rows(history.read(before=number + 1).drop("batch"))
+        own = rows.join(history.read().where(c("batch") == number).select("event_id"), "event_id", "left_semi")
+        out.write(M.score_rows(own, models, threshold), number)
+
+    run_all(stream, folder, each=each)
+    return out.read().drop("batch")
+
+
+def split_late(stream: DataFrame, name: str, delay_us: int = DAY_US, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows in time, and rows more than ``delay_us`` older than the newest time of the batches before theirs."""
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, name)
-    newest = [None]
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, name)
+    out = Batches(spark, f"{folder}/out", stream.schema.add("late", "boolean"))
 
     def each(batch: DataFrame, number: int) -> None:
-        late = F.lit(False) if newest[0] is None else c("ts_us") < newest[0] - delay_us
-        batch.withColumn("late", late).write.mode("append").parquet(path)
-        top = batch.agg(F.max("ts_us")).first()[0]
-        newest[0] = top if newest[0] is None else max(newest[0], top or newest[0])
+        newest = out.read(before=number).agg(F.max("ts_us").alias("_newest"))
+        late = F.coalesce(c("ts_us") < c("_newest") - delay_us, F.lit(False))
+        out.write(batch.crossJoin(newest).withColumn("late", late), number)  # one row
 
-    run_all(stream, name, each=each)
-    got = spark.read.parquet(path)
+    run_all(stream, folder, each=each)
+    got = out.read().drop("batch")
     return got.where("NOT late").drop("late"), got.where("late").drop("late")
 
 
-def running_distribution(stream: DataFrame, value: str, name: str, size: int = 20_000) -> DataFrame:
+def running_distribution(stream: DataFrame, value: str, name: str, size: int = 20_000, folder: str | None = None) -> DataFrame:
     """A bounded sample of the values seen, kept by the smallest hashes of event ids, merged batch by batch.
 
     Where fewer than ``size`` rows were seen the sample is all of them.
     """
+    return online_ranks(stream, value, name, size, folder=folder)[1]
+
+
+def online_ranks(stream: DataFrame, value: str, name: str, size: int = 20_000, least: int = 500, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``event_id, rank``: each row's share of the values seen in batches before its own that are at most its value, from a bounded
+    sample of them; 0.5 until ``least`` were seen. And the sample after the last batch, ``event_id, value``."""
     spark = stream.sparkSession
-    paths: list[str] = []
+    folder = folder or new_folder(spark, name)
+    row = StructType([StructField("event_id", StringType()), StructField("value", DoubleType())])
+    sample = Batches(spark, f"{folder}/sample", row)
+    out = Batches(spark, f"{folder}/out", StructType([StructField("event_id", StringType()), StructField("rank", DoubleType())]))
 
     def each(batch: DataFrame, number: int) -> None:
-        own = batch.select("event_id", c(value).alias("value"))
-        both = own if not paths else spark.read.parquet(paths[-1]).unionByName(own)
-        target = new_folder(spark, f"{name}-{number}")
-        T.hash_sample(both.dropDuplicates(["event_id"]), size).write.parquet(target)
-        paths.append(target)
-
-    run_all(stream, name, each=each)
-    return spark.read.parquet(paths[-1])
+        own = batch.select("event_id", c(value).cast("double").alias("value"))
+        seen = sample.read().where(c("batch") == number - 1).drop("batch")
+        ranks = T.ecdf_rank(own, "value", seen, "value", "_p").crossJoin(seen.agg(F.count("*").alias("_n")))  # one row
+        out.write(ranks.select("event_id", F.when(c("_n") < least, 0.5).otherwise(F.coalesce("_p", F.lit(0.5))).alias("rank")), number)
+        sample.write(T.hash_sample(seen.unionByName(own).dropDuplicates(["event_id"]), size), number)
+
+    run_all(stream, folder, each=each)
+    kept = sample.read()
+    last = kept.agg(F.max("batch").alias("_last"))
+    return out.read().drop("batch"), kept.crossJoin(last).where(c("batch") == c("_last")).select("event_id", "value")  # one row
