@@ -112,7 +112,7 @@ def test_bands(spark, score, band):
 
 
 def vector(spark, **changes):
-    base = {n: 0.0 for n in X.NAMES} | {"entity_event_count": 100.0, "graph_peer_resource_count": 15.0, "graph_jaccard_vs_cohort": 0.7, "days_observed": 30.0} | changes
+    base = {n: 0.0 for n in X.NAMES} | {"entity_event_count": 240.0, "graph_peer_resource_count": 22.0, "graph_jaccard_vs_cohort": 0.55, "days_observed": 61.0} | changes
     return spark.createDataFrame([tuple(float(v) for v in base.values())], ", ".join(f"{n} double" for n in base))
 
 
@@ -169,12 +169,40 @@ def test_ecdf_without_fitted_rows(spark):
     assert T.ecdf_rank(df, "x", df.where("false"), "x", "p", "k").first().p is None
 
 
-def test_repository_runs_without_the_training_data_operators():
-    import ast
+def test_repository_runs_without_the_training_data_operators(tmp_path):
+    """A copy without the two folders, the pipeline and its tests imports, and registers and plans the other queries."""
     import pathlib
+    import shutil
+    import subprocess
+    import sys
 
-    for p in pathlib.Path(__file__).parents[1].joinpath("tidewatch").rglob("*.py"):
-        if "llm" not in p.parts:
-            for node in ast.walk(ast.parse(p.read_text())):
-                name = getattr(node, "module", None) or ",".join(a.name for a in getattr(node, "names", []) if isinstance(node, ast.Import))
-                assert ".llm" not in (name or ""), p
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "tidewatch", tmp_path / "tidewatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not [k for k in q if k.startswith('op') or k == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_a_subpackage_that_cannot_be_imported_takes_nothing_down(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "tidewatch", tmp_path / "tidewatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tidewatch" / "llm").mkdir()
+    (tmp_path / "tidewatch" / "llm" / "__init__.py").write_text("import no_such_module_anywhere")
+    (tmp_path / "tidewatch" / "llm" / "queries.py").write_text("")
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100"], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_shared_folder_on_a_cluster_must_be_set():
+    from types import SimpleNamespace
+
+    from tidewatch.sources import storage
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: ""), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(session)
