@@ -103,7 +103,7 @@ def subgroup(df: DataFrame, inside: DataFrame | None = None, alert: str = "is_al
 def baseline_types(df: DataFrame, pct: float = 1.0, benign: tuple[str, ...] = ("benign_confounder", "insider_drift"), score: str = "score") -> DataFrame:
     """``label, support, share``: of each attack type the share within the top ``pct`` percent of rows, of each benign group the share
     at or above the score that bounds them (the interpolated percentile)."""
-    n = df.agg(T.budget_size(F.count("*"), F.lit(pct)).alias("k"), F.percentile(score, 1 - pct / 100).alias("bound"))
+    n = df.agg(T.budget_size(F.count("*"), F.lit(pct)).alias("k")).crossJoin(T.percentiles(df, score, (1 - pct / 100,)).toDF("bound", "_mean"))  # one row
     ranked = T.budget_rank(df, score).crossJoin(n)  # one row
     hit = F.when(c("label").isin(*ATTACKS), c("position") <= c("k")).otherwise(c(score) >= c("bound"))
     return ranked.where(c("label").isin(*ATTACKS, *benign)).groupBy("label").agg(F.count("*").alias("support"), F.avg(hit.cast("double")).alias("share"))
@@ -116,7 +116,7 @@ def summary(df: DataFrame, cold: DataFrame, drift_us: int, held_out: str) -> Dat
     """
     one = df.agg(
         F.count("*").alias("events"), F.sum(c("is_anomaly").cast("long")).alias("anomalies"), F.sum(c("is_alert").cast("long")).alias("alerts"), F.avg(c("is_anomaly").cast("double")).alias("anomaly_rate"),
-        F.percentile("score", 0.99).alias("p99"), F.coalesce(F.avg(F.when(c("label") == held_out, c("is_alert").cast("double"))), F.lit(0.0)).alias("held_out_recall"),
+        F.coalesce(F.avg(F.when(c("label") == held_out, c("is_alert").cast("double"))), F.lit(0.0)).alias("held_out_recall"),
     )
     top = at_budgets(df, budgets=(1.0,)).select(c("precision").alias("precision_1pct"), c("recall").alias("recall_1pct"))
     k = T.budget_rank(df, "score").crossJoin(df.agg(T.budget_size(F.count("*"), F.lit(1.0)).alias("k"))).where("position = k").select(c("score").alias("threshold_1pct"))  # one row
@@ -124,6 +124,6 @@ def summary(df: DataFrame, cold: DataFrame, drift_us: int, held_out: str) -> Dat
     drift = subgroup(df.where(c("ts_us") >= drift_us)).select(c("precision").alias("drift_precision"), c("recall").alias("drift_recall"))
     delay = time_to_detect(df).agg((F.sum(c("episodes") * c("mean_minutes")) / F.sum("episodes")).alias("mean_minutes_to_detect"))
     out = one
-    for row in (pr_auc(df), roc_auc(df), top, k, false_positive_rates(df), cold_, drift, delay):
+    for row in (T.percentiles(df, "score", (0.99,)).select("p99"), pr_auc(df), roc_auc(df), top, k, false_positive_rates(df), cold_, drift, delay):
         out = out.crossJoin(row)  # one row each
     return out

@@ -96,7 +96,16 @@ def counts_long(ev: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    return df.agg(*[F.percentile(value, s).alias(f"p{int(s * 100)}") for s in shares], F.avg(value).alias("mean"))
+    """One row of exact, interpolated percentiles ``p<percent>`` and the ``mean``: from running counts over ranges of values, so that
+    no aggregate holds all values. Null values don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    t = with_running(counts, "v", {"upto": "c"})
+    at = lambda s: F.lit(s) * (F.col("upto_all") - 1)
+    first = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    ends = [x for s in shares for x in (first(F.floor(at(s))).alias(f"_lo{s}"), first(F.ceil(at(s))).alias(f"_hi{s}"), F.max(at(s) - F.floor(at(s))).alias(f"_part{s}"))]
+    col = lambda n: F.col(f"`{n}`")
+    out = t.agg(*ends, (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    return out.select(*[(col(f"_lo{s}") + (col(f"_hi{s}") - col(f"_lo{s}")) * col(f"_part{s}")).alias(f"p{int(s * 100)}") for s in shares], "mean")
 
 
 def bigram_counts(ev: DataFrame, *keys: str) -> DataFrame:

@@ -137,16 +137,20 @@ def with_last_events(df: DataFrame, fields: list[str], size: int, *keys: str, na
 def with_rolling_distinct(df: DataFrame, value: str, seconds: int, name: str, *keys: str) -> DataFrame:
     """Adds how many different values occurred before each row in the last ``seconds``.
 
-    Rows meet in buckets as wide as the window, a row's own and the one before, so that the join is on equal
-    keys and sees two windows' rows at most.
+    A row counts for the rows after it until its value occurs again (which then counts in its place) or its time is up: one more
+    after it, one less there. So the number is a running sum over rows and these changes together, in two levels as in
+    ``with_bucketed_past``: linear in the rows, and no task sees all rows of a busy key. Null values don't count.
     """
-    b = F.floor(F.col("ts_us") / (seconds * US))
-    now = df.select(*keys, *ORDER).withColumn("_b", F.explode(F.array(b, b - 1)))
-    was = df.select(*keys, F.col("ts_us").alias("_t"), F.col("event_id").alias("_i"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_t") / (seconds * US)))
-    earlier = (F.col("_t") < F.col("ts_us")) | ((F.col("_t") == F.col("ts_us")) & (F.col("_i") < F.col("event_id")))
-    hit = now.join(was, [*keys, "_b"]).where(earlier & (F.col("_t") >= F.col("ts_us") - seconds * US))
-    counts = hit.groupBy("event_id").agg(F.countDistinct("_v").alias(name))
-    return df.join(counts, "event_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    following = F.lead(F.struct(*ORDER)).over(ordered(*keys, value))
+    rows = df.select(*keys, *ORDER, value, following.alias("_next")).where(F.col(value).isNotNull())
+    until = F.col("ts_us") + seconds * US
+    soon = F.coalesce(F.col("_next.ts_us") <= until, F.lit(False))
+    more = rows.select(*keys, *ORDER, F.lit(1).alias("_kind"), F.lit(1).alias("_d"))
+    # a time that is up comes before the rows of the next microsecond
+    less = rows.select(*keys, F.when(soon, F.col("_next.ts_us")).otherwise(until + 1).alias("ts_us"), F.when(soon, F.col("_next.event_id")).otherwise("").alias("event_id"), F.lit(1).alias("_kind"), F.lit(-1).alias("_d"))
+    asked = df.select(*keys, *ORDER, F.lit(0).alias("_kind"), F.lit(0).alias("_d"))
+    counted = with_bucketed_past(asked.unionByName(more).unionByName(less), {name: F.col("_d")}, *keys, order=(*ORDER, "_kind")).where("_kind = 0")
+    return df.join(counted.select("event_id", F.col(name).cast("long").alias(name)), "event_id")
 
 
 def with_bucketed_past(df: DataFrame, sums: dict[str, Column], *keys: str, bucket_us: int = HOUR_US, order: tuple[str, ...] = ORDER) -> DataFrame:
