@@ -392,14 +392,14 @@ def a_entity_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(""" SELECT e.event_id, count(p.event_id) AS n, count(p.event_id) FILTER (p.ts_us >= e.ts_us - 3600000000) AS last_hour, CAST(coalesce(sum(p.bytes_transferred) FILTER (p.ts_us >= e.ts_us - 604800000000 AND p.auth_result = 'failure'), 0) AS BIGINT) AS failed_bytes_7d, count(DISTINCT p.resource_accessed) AS distinct_before,
- count(DISTINCT p.resource_accessed) FILTER (p.ts_us >= e.ts_us - 86400000000) AS distinct_24h, round(avg(p.geo_lat), 6) AS mean_lat, min(p.ts_us) AS first_us, max(p.ts_us) AS last_us
+ count(DISTINCT p.resource_accessed) FILTER (p.ts_us >= e.ts_us - 86400000000) AS distinct_24h, round(avg(p.geo_lat) + 1e-9, 6) AS mean_lat, min(p.ts_us) AS first_us, max(p.ts_us) AS last_us
  FROM ev e LEFT JOIN ev p ON p.entity_id = e.entity_id AND (p.ts_us, p.event_id) < (e.ts_us, e.event_id) GROUP BY 1""")
 def w_past_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past-only count, rolling count and sum, distinct so far, rolling distinct, running mean, first and last."""
     ev, e = access_events(spark, sf_dir), "entity_id"
     df = ev.withColumn("ft", W.first_touch(e, "resource_accessed"))
     failed = F.when(c("auth_result") == "failure", c("bytes_transferred")).otherwise(0)
-    df = df.select("event_id", e, "ts_us", "resource_accessed", W.past_count(e).alias("n"), W.rolling_count(3600, e).alias("last_hour"), W.rolling_sum(failed, 7 * 86400, e).alias("failed_bytes_7d"), W.running_distinct("ft", e).alias("distinct_before"), F.round(F.avg("geo_lat").over(W.past(e)), 6).alias("mean_lat"), F.min("ts_us").over(W.past(e)).alias("first_us"), F.max("ts_us").over(W.past(e)).alias("last_us"))
+    df = df.select("event_id", e, "ts_us", "resource_accessed", W.past_count(e).alias("n"), W.rolling_count(3600, e).alias("last_hour"), W.rolling_sum(failed, 7 * 86400, e).alias("failed_bytes_7d"), W.running_distinct("ft", e).alias("distinct_before"), F.round(F.avg("geo_lat").over(W.past(e)) + 1e-9, 6).alias("mean_lat"), F.min("ts_us").over(W.past(e)).alias("first_us"), F.max("ts_us").over(W.past(e)).alias("last_us"))
     return W.with_rolling_distinct(df, "resource_accessed", 86400, "distinct_24h", e).drop("ts_us", e, "resource_accessed")
 
 
@@ -411,10 +411,11 @@ def w_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "run", (W.first_touch("source_ip", "entity_id") == 1).alias("first_seen"))
 
 
-@query(", g AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6 AS gap FROM ev) SELECT event_id, round(gap, 6) AS gap, count(gap) OVER w AS gap_n, round(avg(gap) OVER w, 4) AS gap_mean, round(stddev_pop(gap) OVER w, 3) AS gap_std FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(", g AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6 AS gap FROM ev) SELECT event_id, round(gap, 6) AS gap, count(gap) OVER w AS gap_n, round(avg(gap) OVER w + 1e-7, 4) AS gap_mean, round(stddev_pop(gap) OVER w + 1e-7, 3) AS gap_std FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def w_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps and their statistics so far; a hair is added before rounding, so that exact ties go up in any order of summing."""
     df = W.with_gap_statistics(access_events(spark, sf_dir), "entity_id")
-    return df.select("event_id", F.round("gap", 6).alias("gap"), "gap_n", F.round("gap_mean", 4).alias("gap_mean"), F.round("gap_std", 3).alias("gap_std"))
+    return df.select("event_id", F.round("gap", 6).alias("gap"), "gap_n", F.round(c("gap_mean") + 1e-7, 4).alias("gap_mean"), F.round(c("gap_std") + 1e-7, 3).alias("gap_std"))
 
 
 @query(""", o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us, event_id) AS k FROM ev),
@@ -437,9 +438,9 @@ def w_last_16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""", o AS (SELECT *, row_number() OVER w AS k, avg(risk_score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM sc WINDOW w AS (PARTITION BY entity_id ORDER BY ts_us, event_id)),
 r AS (SELECT entity_id, k, event_id, greatest(0, risk_score - mean - 0.005) AS m FROM o WHERE k = 1 UNION ALL SELECT o.entity_id, o.k, o.event_id, greatest(0, r.m + o.risk_score - o.mean - 0.005) FROM r JOIN o ON o.entity_id = r.entity_id AND o.k = r.k + 1)
-SELECT event_id, round(m, 5) AS ph_m, k >= 30 AND m > 50 AS ph_drift FROM r""")
+SELECT event_id, round(m + 1e-8, 5) AS ph_m, k >= 30 AND m > 50 AS ph_drift FROM r""")
 def w_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.with_page_hinkley(scored(spark, sf_dir), "risk_score", "entity_id").select("event_id", F.round("ph_m", 5).alias("ph_m"), "ph_drift")
+    return W.with_page_hinkley(scored(spark, sf_dir), "risk_score", "entity_id").select("event_id", F.round(c("ph_m") + 1e-8, 5).alias("ph_m"), "ph_drift")
 
 
 @query(" SELECT event_id, count(*) OVER w AS n, CAST(coalesce(sum(bytes_transferred) OVER w, 0) AS BIGINT) AS bytes FROM ev WINDOW w AS (PARTITION BY cohort ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")

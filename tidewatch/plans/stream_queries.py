@@ -84,9 +84,9 @@ def st_cohort_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(spark, sf_dir, "cohort")
 
 
-@query(DUCK_WITH + PH + " SELECT event_id, round(m, 4) AS ph_m, drift AS ph_drift FROM pd")
+@query(DUCK_WITH + PH + " SELECT event_id, round(m + 1e-7, 4) AS ph_m, drift AS ph_drift FROM pd")
 def st_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.to_table(J.stateful_drift(source(spark, sf_dir)), "drift").drop("batch").withColumn("ph_m", F.round("ph_m", 4))
+    return J.to_table(J.stateful_drift(source(spark, sf_dir)), "drift").drop("batch").withColumn("ph_m", F.round(c("ph_m") + 1e-7, 4))
 
 
 RESET = """, oo AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us, event_id) AS k FROM sc),
@@ -97,9 +97,9 @@ ph AS (SELECT entity_id, k, event_id, CAST(1 AS BIGINT) AS n, risk_score AS tota
  FROM ph JOIN oo ON oo.entity_id = ph.entity_id AND oo.k = ph.k + 1)"""
 
 
-@query(DUCK_WITH + RESET + " SELECT event_id, round(m, 4) AS ph_m, drift AS ph_drift FROM ph")
+@query(DUCK_WITH + RESET + " SELECT event_id, round(m + 1e-7, 4) AS ph_m, drift AS ph_drift FROM ph")
 def st_page_hinkley_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.to_table(J.stateful_drift(source(spark, sf_dir), reset=True), "drift-reset").drop("batch").withColumn("ph_m", F.round("ph_m", 4))
+    return J.to_table(J.stateful_drift(source(spark, sf_dir), reset=True), "drift-reset").drop("batch").withColumn("ph_m", F.round(c("ph_m") + 1e-7, 4))
 
 
 @query(FEATURE_SQL["f_source_ip"])
