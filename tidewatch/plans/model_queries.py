@@ -278,16 +278,16 @@ def _shown_sql(n: str) -> str:
     if n.startswith(("entity_failure_count_", "ip_failure_count_")):
         return "CAST(floor(v) AS BIGINT) || ' failures'"
     if n in ("offhours_bytes_rolling_7d", "bytes_zscore"):
-        return "printf('%.1f', v)"
+        return "printf('%.1f', round(v, 1))"
     if n in FLAGS and n not in ("source_ip_novelty",):
         return "CASE WHEN v > 0.5 THEN 'yes' ELSE 'no' END"
     if "zscore" in n:
-        return "printf('%+.2f', v) || 'σ'"
+        return "printf('%+.2f', round(v, 2)) || 'σ'"
     if n == "geo_centroid_distance_km":
         return f"{whole} || ' km'"
     if n == "transfer_to_duration_ratio":
         return f"{whole} || ' B/s'"
-    return "printf('%.3f', v)"
+    return "printf('%.3f', round(v, 3))"
 
 
 def _phrase_sql(n: str) -> str:
