@@ -266,7 +266,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
             sizes = [len(k) for k in keys]
             yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64), sizes)})
 
-    keyed = nodes.select("fingerprint", "node").mapInPandas(run, "key long, node long")
+    keyed = cut(nodes.select("fingerprint", "node").mapInPandas(run, "key long, node long"))
     payload = lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", F.col("fingerprint").alias("data"))
     named = buckets.linked(keyed, payload, alike, forest, CROWDED, BLOCK)
     roots = cut(nodes.join(named, "node", "left").select("fingerprint", "first", F.coalesce("component", "node").alias("root")))
