@@ -30,7 +30,7 @@ CELLS = 2_000_000
 #: Chance that digits of different characters agree.
 CHANCE = 1 / 16
 #: Characters in a bucket of neighbouring ids, about; likeness of near copies; bands and their digits; growth of lengths from one level to the next.
-BUCKET, LEAST, BANDS, DIGITS, LEVEL = 1 << 28, 0.8, 12, 5, 1.25
+BUCKET, LEAST, BANDS, DIGITS, LEVEL = 1 << 28, 0.8, 16, 7, 1.25
 #: Members of a band's bucket up to which all its pairs are verified, and in a block of a larger one.
 CROWDED, BLOCK = 16, 128
 
@@ -255,7 +255,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
 
     Fingerprints with a likeness of LEAST or more are linked, equal ones are one. Bit-sampled banding: a band is DIGITS digits at
     times drawn evenly from a walk's length, so two walks that are alike at a share p of all times agree on a band with a chance
-    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.99. Members of a bucket are
+    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.98. Members of a bucket are
     verified as in ``buckets.linked``: none is left out of one that is large. Null ids name no group.
     """
     nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fingerprint")))
