@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, edit_fingerprint, html_text, language_id, line_dedup, packing, quote_links, simhash, transport_stream, warc
+from tidewatch.llm import bpe, edit_fingerprint, html_text, language_id, lexical_search, line_dedup, packing, periodic_runs, quote_links, simhash, token_counts, transport_stream, warc
 from tidewatch.llm.shared import new_folder
 
 
@@ -66,13 +66,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "lexical-index")
+    lexical_search.build_index(table(spark, sf_dir, "documents"), path)
+    return lexical_search.search(spark, path, table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quote_links, op3_bpe, op4_language_id, op5_warc, op6_simhash, op7_transport_stream, op8_html_text, op9_edit_fingerprint, op10_packing)
+    f.__name__: f for f in (op1_line_dedup, op2_quote_links, op3_bpe, op4_language_id, op5_warc, op6_simhash, op7_transport_stream, op8_html_text, op9_edit_fingerprint, op10_packing, op11_lexical_search, op12_periodic_runs, op13_token_counts)
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_quote_links": quote_links.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
     "op5_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
