@@ -34,7 +34,8 @@ def fit_profiles(train: DataFrame, names: tuple[str, ...] = NAMES) -> tuple[Data
 def profile_scores(rows: DataFrame, entities: DataFrame, cohorts: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     """Adds ``z array`` (shrunk z-scores, clipped), ``rms_z`` and ``profile`` (rms_z / 5, at most 1).
 
-    An entity's statistics weigh n / (n + 20) against its cohort's; what isn't known counts as 0.
+    An entity's statistics weigh n / (n + 20) against its cohort's; what isn't known counts as 0. Detectors' scores are rounded, since they are
+    ranked and sums differ in their last bits from run to run.
     """
     e = entities.select("entity_id", c("n").alias("_n"), c("mean").alias("_em"), c("var").alias("_ev"))
     k = cohorts.select("cohort", c("mean").alias("_cm"), c("var").alias("_cv"))
@@ -49,14 +50,14 @@ def profile_scores(rows: DataFrame, entities: DataFrame, cohorts: DataFrame, nam
 
     out = out.withColumn("z", F.array(*[z(i, n) for i, n in enumerate(names)])).drop("_n", "_em", "_ev", "_cm", "_cv")
     out = out.withColumn("rms_z", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x) / len(names)))
-    return out.withColumn("profile", F.least(F.lit(1.0), c("rms_z") / 5))
+    return out.withColumn("profile", F.least(F.lit(1.0), F.round("rms_z", 6) / 5))
 
 
 def sequence_scores(rows: DataFrame, train: DataFrame, value: str = "command_surprisal") -> DataFrame:
     """Adds ``sequence``: the share of the cohort's training values at most this one; else of all; else 0.5."""
     own = T.ecdf_rank(rows, value, train, value, "_own", "cohort")
     both = T.ecdf_rank(rows, value, train, value, "_all", onto=own)
-    return both.withColumn("sequence", F.coalesce("_own", "_all", F.lit(0.5))).drop("_own", "_all")
+    return both.withColumn("sequence", F.round(F.coalesce("_own", "_all", F.lit(0.5)), 9)).drop("_own", "_all")
 
 
 def graph_scores(rows: DataFrame, train: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def graph_scores(rows: DataFrame, train: DataFrame) -> DataFrame:
         unit((F.abs(c("graph_entity_degree_deviation")) + 3) / 6 - 0.5),
     )
     total = sum((w * p for w, p in zip(GRAPH_WEIGHTS[1:], parts[1:])), GRAPH_WEIGHTS[0] * parts[0])
-    return out.withColumn("graph", total).drop("_pm", "_ps", "_jm", "_js", "_gpm", "_gps", "_gjm", "_gjs")
+    return out.withColumn("graph", F.round(total, 9)).drop("_pm", "_ps", "_jm", "_js", "_gpm", "_gps", "_gjm", "_gjs")
 
 
 def active_weights(detectors: tuple[str, ...], redistribute: bool = True) -> dict[str, float]:

@@ -1,19 +1,29 @@
-"""Isolation forests per cohort: trees are grown in parallel on bounded samples and kept as a table."""
+"""Isolation forests per cohort: trees are grown in parallel on bounded samples and kept as a table.
+
+Nothing depends on the order of rows or sums: features become whole numbers, thresholds are whole numbers, and what is drawn at random is taken from
+checksums of (cohort, tree, node). The same rows give the same trees on every run, and SQL can grow and walk them too.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
 
 #: Trees per cohort and rows a tree is grown on.
 TREES, SAMPLE = 200, 4096
+#: Steps that a unit of a feature is divided into, and the modulus of the draws.
+STEPS, PRIME = 1 << 20, 2_147_483_647
 #: Rows of a cohort that are scored together, so that a cohort with very many is dealt over tasks.
-TOGETHER = 100_000
-NODE = "cohort string, tree int, node int, feature int, threshold double, left int, right int, size long"
+TOGETHER = 20_000
+#: Trees that are grown together, so that a row of a small cohort is sent once for all of them.
+BLOCK = 25
+NODE = "cohort string, tree int, node int, feature int, threshold long, left int, right int, size long"
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -22,44 +32,67 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def quantised(name: str) -> Column:
+    """A feature as a whole number of steps, the nearest; unknown values as 0, beyond a million cut there."""
+    return F.floor(S.clean(F.col(name), 1e6) * float(STEPS) + 0.5).cast("long")
+
+
+def drawn_by(u, tree, n, sample: int):
+    """Whether a tree draws a row with the checksum ``u`` (below PRIME) of a cohort of n: so that about ``sample`` are. For columns and for arrays."""
+    times = (48_271 * (tree + 1)) % PRIME + 1
+    return ((u * times + 12_345 * (tree + 1)) % PRIME) * (n * 1.0) < float(sample) * PRIME
+
+
+def node_draw(cohort: str, tree: int, node: int, seed: int) -> tuple[int, int]:
+    """Two numbers below 2 ** 60 for a node: for the choice of its feature and of its threshold."""
+    digest = hashlib.md5(f"{seed}|{cohort}|{tree}|{node}".encode()).hexdigest()
+    return int(digest[:15], 16), int(digest[16:31], 16)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys to as many tasks as there are shuffle partitions, few bytes or not: growing and walking trees takes time, not room."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fit(train: DataFrame, names: tuple[str, ...], trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """The forest as a table, a row per node (feature -1: leaf).
+    """The forest as a table, a row per node (feature -1: leaf); node i has the children 2 i and 2 i + 1.
 
-    Every tree draws its rows by a hash of row and tree, about ``sample`` of them, so a group that one
-    task grows a tree on is bounded whatever the cohort's size. A row is repeated only for the trees that draw it.
+    Every tree draws its rows by a checksum of row and tree, about ``sample`` of them, so what one task grows BLOCK trees on is bounded whatever the
+    cohort's size. A row is sent to the blocks of trees that draw it. A node splits on one of the features that differ within it, at a threshold from its least value to below its
+    largest, so no side is empty.
     """
     counts = train.groupBy("cohort").agg(F.count("*").alias("_n"))
-    rows = train.select("cohort", "event_id", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).join(counts, "cohort")
-    draw = lambda t: F.pmod(F.xxhash64("event_id", t, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(float(sample)) / F.col("_n"))
-    drawn = rows.withColumn("tree", F.explode(own)).select("cohort", "tree", "event_id", *names)
+    check = F.conv(F.substring(F.md5("event_id"), 1, 15), 16, 10).cast("long") % PRIME
+    rows = train.select("cohort", check.alias("_u"), *[quantised(n).alias(n) for n in names]).join(counts, "cohort")
+    of = lambda b: F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.lit(trees)).cast("long") - 1)
+    own = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(-(-trees // BLOCK) - 1).cast("long")), lambda b: F.exists(of(b), lambda t: drawn_by(F.col("_u"), t, F.col("_n"), sample)))
+    drawn = rows.withColumn("block", F.explode(own))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id").head(2 * sample)
-        x, tree = pdf[list(names)].to_numpy(float), int(pdf["tree"].iloc[0])
-        rng = np.random.RandomState(seed * 100_003 + tree)
-        limit, out = int(np.ceil(np.log2(max(2, len(x))))), []
-        todo = [(0, np.arange(len(x)), 0)]
-        free = 1
-        while todo:
-            node, own, depth = todo.pop()
-            lo, hi = x[own].min(0), x[own].max(0)
-            able = np.flatnonzero(hi > lo)
-            if depth >= limit or len(own) < 2 or not len(able):
-                out.append((node, -1, 0.0, -1, -1, len(own)))
-                continue
-            f = int(rng.choice(able))
-            t = float(rng.uniform(lo[f], hi[f]))
-            left = x[own, f] <= t
-            out.append((node, f, t, free, free + 1, len(own)))
-            todo += [(free, own[left], depth + 1), (free + 1, own[~left], depth + 1)]
-            free += 2
-        made = pd.DataFrame(out, columns=["node", "feature", "threshold", "left", "right", "size"])
-        made.insert(0, "tree", tree)
-        made.insert(0, "cohort", pdf["cohort"].iloc[0])
+        x, u, n = pdf[list(names)].to_numpy(np.int64), pdf["_u"].to_numpy(np.int64), int(pdf["_n"].iloc[0])
+        cohort, first, out = pdf["cohort"].iloc[0], int(pdf["block"].iloc[0]) * BLOCK, []
+        for tree in range(first, min(first + BLOCK, trees)):
+            own = x[drawn_by(u, tree, n, sample)]
+            limit = (max(2, len(own)) - 1).bit_length()
+            todo = [(1, own, 0)] if len(own) else []
+            while todo:
+                node, own, depth = todo.pop()
+                lo, hi = own.min(0), own.max(0)
+                able = np.flatnonzero(hi > lo)
+                if depth >= limit or not len(able):
+                    out.append((tree, node, -1, 0, -1, -1, len(own)))
+                    continue
+                which, where = node_draw(cohort, tree, node, seed)
+                f = int(able[which % len(able)])
+                t = int(lo[f]) + where % int(hi[f] - lo[f])
+                left = own[:, f] <= t
+                out.append((tree, node, f, t, 2 * node, 2 * node + 1, len(own)))
+                todo += [(2 * node, own[left], depth + 1), (2 * node + 1, own[~left], depth + 1)]
+        made = pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+        made.insert(0, "cohort", cohort)
         return made
 
-    return drawn.groupBy("cohort", "tree").applyInPandas(grow, NODE)
+    return spread(drawn, "cohort", "block").groupBy("cohort", "block").applyInPandas(grow, NODE)
 
 
 def path_scores(rows: DataFrame, forest: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -69,7 +102,7 @@ def path_scores(rows: DataFrame, forest: DataFrame, names: tuple[str, ...]) -> D
     sample nodes), and it is sent once a group, not to every task.
     """
     parts = rows.groupBy("cohort").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts"))
-    salted = rows.select("event_id", "cohort", *[S.clean(F.col(n), 1e6).alias(n) for n in names]).join(parts, "cohort")
+    salted = rows.select("event_id", "cohort", *[quantised(n).alias(n) for n in names]).join(parts, "cohort")
     salted = salted.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int")).drop("_parts")
     trees = forest.join(parts, "cohort").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
@@ -79,11 +112,12 @@ def path_scores(rows: DataFrame, forest: DataFrame, names: tuple[str, ...]) -> D
         score = [None] * len(pdf)
         if len(table):
             table = table.sort_values(["tree", "node"])
-            base = np.cumsum([0, *table.groupby("tree").size().tolist()])
-            shift, roots = np.repeat(base[:-1], np.diff(base)), base[:-1]
+            roots = np.flatnonzero(table["node"].to_numpy() == 1)
             feature, threshold, size = table["feature"].to_numpy(), table["threshold"].to_numpy(), table["size"].to_numpy()
-            left, right = table["left"].to_numpy() + shift, table["right"].to_numpy() + shift
-            x, total = pdf[list(names)].to_numpy(float), np.zeros(len(pdf))
+            key = table["tree"].to_numpy(np.int64) << 32  # children's places: trees in order, nodes within
+            place = key | table["node"].to_numpy(np.int64)
+            left, right = (np.searchsorted(place, key | table[n].to_numpy(np.int64).clip(0)) for n in ("left", "right"))
+            x, total = pdf[list(names)].to_numpy(np.int64), np.zeros(len(pdf))
             for r in roots:
                 at, depth = np.full(len(pdf), r), np.zeros(len(pdf))
                 k = np.arange(len(pdf))
@@ -95,7 +129,7 @@ def path_scores(rows: DataFrame, forest: DataFrame, names: tuple[str, ...]) -> D
             score = 2.0 ** (-total / len(roots) / max(float(average_path(np.array(size[roots].mean()))), 1e-9))
         return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "cohort": pdf["cohort"].to_numpy(), "anomaly": score})
 
-    return salted.groupBy("cohort", "_part").cogroup(trees.groupBy("cohort", "_part")).applyInPandas(run, "event_id string, cohort string, anomaly double")
+    return spread(salted, "cohort", "_part").groupBy("cohort", "_part").cogroup(spread(trees, "cohort", "_part").groupBy("cohort", "_part")).applyInPandas(run, "event_id string, cohort string, anomaly double")
 
 
 def isolation_scores(rows: DataFrame, forest: DataFrame, train_scores: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -103,7 +137,7 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, train_scores: DataFrame
     span = train_scores.groupBy("cohort").agg(F.min("anomaly").alias("_lo"), F.max("anomaly").alias("_hi"))
     out = path_scores(rows, forest, names).join(span, "cohort", "left")
     unit = F.when(F.col("anomaly").isNull(), F.lit(None)).when(F.col("_hi") - F.col("_lo") < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("anomaly") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))))
-    return out.select("event_id", F.coalesce(unit, F.lit(0.5)).alias("isolation"))
+    return out.select("event_id", F.round(F.coalesce(unit, F.lit(0.5)), 9).alias("isolation"))
 
 
 def importances(forest: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -96,29 +96,28 @@ def detector_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     entities, cohorts = D.fit_profiles(train)
     rows = D.graph_scores(D.sequence_scores(D.profile_scores(ff, entities, cohorts), train), train)
     # fitting and scoring both read the scores, so they are written once
-    rows = rows.withColumns({"profile": F.least(F.lit(1.0), F.round("rms_z", 6) / 5), "sequence": F.round("sequence", 9), "graph": F.round("graph", 9)})
     return stored(rows, "detector-scores"), entities, cohorts
 
 
-@query(PROFILES + " SELECT event_id, round(rms_z, 5) AS rms_z, round(least(1, rms_z / 5), 5) AS profile, round(z_geo_velocity_kmh, 5) AS z_velocity FROM rz")
+@query(PROFILES + " SELECT event_id, round(rms_z, 5) AS rms_z, least(1, round(rms_z, 6) / 5) AS profile, round(z_geo_velocity_kmh, 5) AS z_velocity FROM rz")
 def m_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shrunk z-scores and their root mean square."""
     ff = feature_frame(spark, sf_dir)
     entities, cohorts = D.fit_profiles(ff.where("split = 'train'"))
     rows = D.profile_scores(ff, entities, cohorts)
-    return rows.select("event_id", F.round("rms_z", 5).alias("rms_z"), F.round("profile", 5).alias("profile"), F.round(F.get("z", F.lit(NAMES.index("geo_velocity_kmh"))), 5).alias("z_velocity"))
+    return rows.select("event_id", F.round("rms_z", 5).alias("rms_z"), "profile", F.round(F.get("z", F.lit(NAMES.index("geo_velocity_kmh"))), 5).alias("z_velocity"))
 
 
-@query(FF + SEQUENCE + " SELECT event_id, round(sequence, 6) AS sequence FROM sq")
+@query(FF + SEQUENCE + " SELECT event_id, round(sequence, 9) AS sequence FROM sq")
 def m_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ff = feature_frame(spark, sf_dir)
-    return D.sequence_scores(ff, ff.where("split = 'train'")).select("event_id", F.round("sequence", 6).alias("sequence"))
+    return D.sequence_scores(ff, ff.where("split = 'train'")).select("event_id", "sequence")
 
 
-@query(FF + GRAPH + " SELECT event_id, round(graph, 6) AS graph FROM gr")
+@query(FF + GRAPH + " SELECT event_id, round(graph, 9) AS graph FROM gr")
 def m_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     ff = feature_frame(spark, sf_dir)
-    return D.graph_scores(ff, ff.where("split = 'train'")).select("event_id", F.round("graph", 6).alias("graph"))
+    return D.graph_scores(ff, ff.where("split = 'train'")).select("event_id", "graph")
 
 
 @query(RISK + " SELECT event_id, round(profile_logodds, 4) AS profile_logodds, round(risk, 4) AS risk FROM rk")
@@ -180,18 +179,45 @@ def m_naive_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.naive_baseline(access_events(spark, sf_dir))
 
 
-@query()
+#: The forest in SQL: rows go down level by level (a tree of at most 2 x SAMPLE rows has 13 at most), each node drawing its split as ``isolation.fit`` does.
+LEVELS = (2 * I.SAMPLE - 1).bit_length()
+_QUANTISED = ", ".join(f"CAST(floor(greatest(-1e6, least(1e6, {n})) * {I.STEPS}.0 + 0.5) AS BIGINT) AS q{i}" for i, n in enumerate(NAMES))
+_MD5 = "md5('7|' || cohort || '|' || tree || '|' || node)"
+FOREST = FF + f""", qf AS MATERIALIZED (SELECT event_id, cohort, split = 'train' AS fits, ('0x' || substr(md5(event_id), 1, 15))::BIGINT % {I.PRIME} AS u, {_QUANTISED} FROM ff),
+qn AS (SELECT cohort, count(*) AS n FROM qf WHERE fits GROUP BY 1),
+l0 AS MATERIALIZED (SELECT qf.event_id, qf.cohort, tree, 1 AS node, fits AND ((u * ((48271 * (tree + 1)) % {I.PRIME} + 1) + 12345 * (tree + 1)) % {I.PRIME})::DOUBLE * n < {I.SAMPLE}.0 * {I.PRIME} AS own FROM qf JOIN qn ON qn.cohort = qf.cohort, (SELECT CAST(unnest(range({I.TREES})) AS BIGINT) AS tree)),
+tl AS MATERIALIZED (SELECT cohort, tree, count(*) AS n, length(bin(CAST(greatest(2, count(*)) - 1 AS BIGINT))) AS deepest FROM l0 WHERE own GROUP BY ALL)""" + "".join(
+    f""", m{k} AS (SELECT l.cohort, l.tree, node, count(*) AS size, [{", ".join(f"min(q{i})" for i in range(len(NAMES)))}] AS lo, [{", ".join(f"max(q{i})" for i in range(len(NAMES)))}] AS hi FROM l{k} l JOIN qf ON qf.event_id = l.event_id WHERE own GROUP BY ALL),
+a{k} AS (SELECT m.*, CASE WHEN {k} < deepest THEN [i for i in range({len(NAMES)}) if hi[i + 1] > lo[i + 1]] ELSE [] END AS able FROM m{k} m JOIN tl ON tl.cohort = m.cohort AND tl.tree = m.tree),
+f{k} AS (SELECT *, CASE WHEN len(able) > 0 THEN able[(('0x' || substr({_MD5}, 1, 15))::BIGINT % len(able)) + 1] ELSE -1 END AS feature FROM a{k}),
+n{k} AS MATERIALIZED (SELECT cohort, tree, node, size, feature, CASE WHEN feature >= 0 THEN lo[feature + 1] + ('0x' || substr({_MD5}, 17, 15))::BIGINT % (hi[feature + 1] - lo[feature + 1]) END AS threshold FROM f{k}),
+l{k + 1} AS MATERIALIZED (SELECT l.event_id, l.cohort, l.tree, 2 * l.node + CASE WHEN [{", ".join(f"q{i}" for i in range(len(NAMES)))}][feature + 1] <= threshold THEN 0 ELSE 1 END AS node, own FROM l{k} l JOIN n{k} n ON n.cohort = l.cohort AND n.tree = l.tree AND n.node = l.node AND feature >= 0 JOIN qf ON qf.event_id = l.event_id)"""
+    for k in range(LEVELS + 1)
+)
+_MEAN_PATH = "CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+
+
+@query(
+    FOREST + ", pt AS (" + " UNION ALL ".join(f"SELECT l.event_id, {k} + {_MEAN_PATH.format(n='size')} AS path FROM l{k} l JOIN n{k} n ON n.cohort = l.cohort AND n.tree = l.tree AND n.node = l.node AND feature < 0" for k in range(LEVELS + 1))
+    + f"""), rt AS (SELECT cohort, avg(n) AS n FROM tl GROUP BY 1), an AS (SELECT pt.event_id, any_value(qf.cohort) AS cohort, bool_or(fits) AS fits, pow(2.0, -sum(path) / {I.TREES} / greatest(any_value({_MEAN_PATH.format(n="rt.n")}), 1e-9)) AS anomaly FROM pt JOIN qf ON qf.event_id = pt.event_id JOIN rt ON rt.cohort = qf.cohort GROUP BY 1),
+sp AS (SELECT cohort, min(anomaly) AS lo, max(anomaly) AS hi FROM an WHERE fits GROUP BY 1)
+SELECT qf.event_id, round(CASE WHEN anomaly IS NULL OR hi - lo < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (anomaly - lo) / (hi - lo))) END, 9) AS isolation FROM qf LEFT JOIN an ON an.event_id = qf.event_id LEFT JOIN sp ON sp.cohort = qf.cohort"""
+)
 def m_isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation forests per cohort on the train split, and every event's score."""
-    ff = feature_frame(spark, sf_dir)
+    """Isolation forests per cohort on the train split, and every event's score. The SQL grows the same trees level by level."""
+    ff = stored(feature_frame(spark, sf_dir), "features")
     train = ff.where("split = 'train'")
     forest = stored(I.fit(train, NAMES), "forest")
     return I.isolation_scores(ff, forest, I.path_scores(train, forest, NAMES), NAMES)
 
 
-@query()
+@query(
+    FOREST + ", sf AS (" + " UNION ALL ".join(f"SELECT cohort, feature FROM n{k} WHERE feature >= 0" for k in range(LEVELS + 1))
+    + f"""), nm AS (SELECT unnest(range({len(NAMES)})) AS i, unnest({list(NAMES)}) AS feature)
+SELECT qn.cohort, nm.feature, round(coalesce(c * 1.0 / t, {1 / len(NAMES)}), 6) AS importance FROM qn CROSS JOIN nm LEFT JOIN (SELECT cohort, count(*) AS t FROM sf GROUP BY 1) s ON s.cohort = qn.cohort LEFT JOIN (SELECT c.cohort, i, count(sf.feature) AS c FROM qn c CROSS JOIN nm LEFT JOIN sf ON sf.cohort = c.cohort AND sf.feature = i GROUP BY ALL) k ON k.cohort = s.cohort AND k.i = nm.i"""
+)
 def m_isolation_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.importances(I.fit(feature_frame(spark, sf_dir).where("split = 'train'"), NAMES), NAMES)
+    return rounded(I.importances(I.fit(stored(feature_frame(spark, sf_dir), "features").where("split = 'train'"), NAMES), NAMES))
 
 
 @query()
