@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import features as X
+from tidewatch.operators import incremental as N
 from tidewatch.operators import isolation as I
 from tidewatch.operators import scoring as M
 from tidewatch.operators import tables as T
@@ -59,6 +61,36 @@ def test_online_ranks_warm_up_and_resume(spark):
     assert len(got) == 110 and all(got[f"e{i}"] == pytest.approx((i % 10 + 1) / 10) for i in range(100, 110)) and sample.count() == 110
 
 
+def test_features_from_state_equal_the_batch_job(spark, sf_dir):
+    ev, early, late, _ = spans(spark, sf_dir, access_events)
+    state = N.FeatureState(spark, new_folder(spark, "state"))
+    got = {r.event_id: r for part, number in ((early, 0), (late, 1)) for r in N.advance(part, state, number).collect()}
+    again = {r.event_id: r for r in N.advance(late, N.FeatureState(spark, state.path), 1).collect()}
+    want = X.all_features(ev).collect()
+    assert len(want) == len(got)
+    for r in want:
+        assert list(r)[1:] == pytest.approx(list(got[r.event_id])[1:], abs=1e-6) and (r.event_id not in again or list(again[r.event_id]) == pytest.approx(list(got[r.event_id])))
+    # an empty batch changes nothing
+    assert N.advance(late.where("false"), state, 2).count() == 0
+    key = lambda n: sorted(map(tuple, state.newest("totals", N.TOTALS, N.KEYS, n).collect()))
+    assert key(2) == key(3)
+
+
+def test_state_tables_read_back_to_the_last_whole_one(spark):
+    state = N.FeatureState(spark, new_folder(spark, "state"))
+    want = {}
+    for number in range(18):
+        rows = [("e", f"k{number % 5}", "a", str(number % 3), number), ("c", "x", "a", "", number)]
+        want |= {r[:4]: r[4] for r in rows}
+        state.write("totals", N.TOTALS, N.KEYS, spark.createDataFrame(rows, "scope string, key string, attr string, value string, total long"), number, N.total_bucket())
+        if number in (0, 7, 8, 17):
+            assert {tuple(r)[:4]: r.total for r in state.newest("totals", N.TOTALS, N.KEYS, number + 1).collect()} == want
+    read = {int(f.split("version=")[1].split("/")[0]) for f in state._versions("totals", N.TOTALS, 18).inputFiles()}
+    assert min(read) == 15 and max(read) == 17  # what came before isn't read
+    one = state._versions("totals", N.TOTALS, 18).where("bucket = 3").inputFiles()
+    assert state.newest("totals", N.TOTALS, N.KEYS, 18, []).count() == 0 and one
+
+
 @pytest.fixture(scope="module")
 def models(spark, sf_dir):
     """Feature rows, and a folder of models fitted on their training split with few trees."""

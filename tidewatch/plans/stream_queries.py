@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features as X
+from tidewatch.operators import incremental as N
 from tidewatch.operators import scoring as M
 from tidewatch.plans.feature_queries import ORACLES as FEATURE_SQL
 from tidewatch.plans.feature_queries import rounded
@@ -108,6 +109,32 @@ def st_batch_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(J.batch_equal(source(spark, sf_dir), X.ip_features, "source_ip", "ip-features"))
 
 
+def _steps(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
+    ev = access_events(spark, sf_dir)
+    path = new_folder(spark, "replay")
+    J.write_steps(ev, path, steps=steps)
+    return J.replay(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ev.schema.fields), 4)
+
+
+@query(FEATURE_SQL["f_all"])
+def st_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 43 features from saved state, in three batches of a stream, equal those of the batch job."""
+    return rounded(J.feature_stream(_steps(spark, sf_dir, 3), new_folder(spark, "feature-state")))
+
+
+@query(DUCK_WITH + """, f AS (SELECT *, row_number() OVER (PARTITION BY entity_id, resource_accessed ORDER BY ts_us, event_id) AS k FROM ev), w AS (SELECT entity_id, cohort, unnest(command_sequence) AS a FROM ev)
+SELECT 'e' AS scope, entity_id AS key, 'resource' AS attr, resource_accessed AS value, count(*) AS total FROM ev GROUP BY ALL UNION ALL SELECT 'e', entity_id, 'hour', CAST((ts_us // 3600000000) % 24 AS VARCHAR), count(*) FROM ev GROUP BY ALL
+UNION ALL SELECT 'c', cohort, 'users', resource_accessed, count(*) FROM f WHERE k = 1 GROUP BY ALL UNION ALL SELECT 'e', entity_id, 'breadth', '', count(*) FROM f WHERE k = 1 GROUP BY ALL UNION ALL SELECT 'c', cohort, 'peers', '', count(DISTINCT entity_id) FROM ev GROUP BY ALL
+UNION ALL SELECT 'g', '', 'token', a, count(*) FROM w GROUP BY ALL UNION ALL SELECT 'c', cohort, 'vocab', '', count(DISTINCT a) FROM w GROUP BY ALL UNION ALL SELECT 'i', source_ip, 'entities', '', count(DISTINCT entity_id) FROM ev GROUP BY ALL""")
+def s_feature_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that a stream saved, loaded again: totals, first uses and sets by entity, cohort, address and over all."""
+    folder = new_folder(spark, "feature-state")
+    J.feature_stream(_steps(spark, sf_dir, 2), folder)
+    loaded = N.FeatureState(spark, f"{folder}/state").newest("totals", N.TOTALS, N.KEYS, 2)
+    some = F.concat("scope", F.lit("."), "attr").isin("e.resource", "e.hour", "c.users", "e.breadth", "c.peers", "g.token", "c.vocab", "i.entities")
+    return loaded.where(some)
+
+
 @query()
 def st_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows routed aside as late when every tenth day's file comes two days on."""

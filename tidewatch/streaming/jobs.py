@@ -12,8 +12,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from tidewatch.operators import incremental as N
 from tidewatch.operators import tables as T
-from tidewatch.sources.storage import new_folder
+from tidewatch.operators.features import NAMES
+from tidewatch.sources.storage import new_folder, stored
 
 c = F.col
 DAY_US = 86_400_000_000
@@ -169,24 +171,34 @@ def batch_equal(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], key:
     return out.read().drop("batch")
 
 
+def feature_stream(stream: DataFrame, folder: str) -> DataFrame:
+    """All features of events as they come, from state saved below ``folder``: the rows of all batches so far.
+
+    A batch reads the state of the keys it touches and the last week's events, not the history (``operators.incremental``). A run in the same folder goes on where the
+    one before stopped, and a batch that runs again counts once.
+    """
+    spark = stream.sparkSession
+    state = N.FeatureState(spark, f"{folder}/state")
+    out = Batches(spark, f"{folder}/out", StructType.fromDDL("event_id string, " + ", ".join(f"{n} double" for n in NAMES)))
+    run_all(stream, folder, each=lambda batch, number: out.write(N.advance(batch, state, number), number))
+    return out.read().drop("batch")
+
+
 def live_scores(stream: DataFrame, models: str, folder: str, threshold: float = 50.0) -> DataFrame:
     """Events scored as they come, with models saved by ``scoring.fit_models``: the scored rows of all batches so far.
 
-    Features look at all events before a row, so each micro-batch reads the history as the batch job does and scores its own rows
-    alone; nothing is fitted. The alert sink is what of it ``is_alert``.
+    Features come from state as in ``feature_stream``, so a batch costs what its own rows and keys do; nothing is fitted. The alert sink is what of it ``is_alert``.
     """
     from tidewatch.operators import scoring as M
 
     spark = stream.sparkSession
-    history = Batches(spark, f"{folder}/history", stream.schema)
+    state = N.FeatureState(spark, f"{folder}/state")
     schema = "event_id string, entity_id string, ts_us long, risk_score double, calibrated double, band string, is_alert boolean, attack_type string, confidence double, narrative string"
     out = Batches(spark, f"{folder}/out", StructType.fromDDL(schema))
 
     def each(batch: DataFrame, number: int) -> None:
-        history.write(batch, number)
-        rows = M.feature_rows(history.read(before=number + 1).drop("batch"))
-        own = rows.join(history.read().where(c("batch") == number).select("event_id"), "event_id", "left_semi")
-        out.write(M.score_rows(own, models, threshold), number)
+        own = stored(batch, "live")
+        out.write(M.score_rows(stored(M.with_keys(own, N.advance(own, state, number)), "features"), models, threshold), number)
 
     run_all(stream, folder, each=each)
     return out.read().drop("batch")
