@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import features as X
 from tidewatch.operators import incremental as N
 from tidewatch.operators import isolation as I
+from tidewatch.operators import isotonic
 from tidewatch.operators import scoring as M
 from tidewatch.operators import tables as T
 from tidewatch.operators import windows as W
@@ -154,6 +155,35 @@ def test_values_a_last_bit_apart_are_one(spark):
     assert sorted(forest.collect()) == sorted(again.collect())
 
 
+def test_ranks_of_equal_scores_are_split(spark):
+    rows = [(f"e{i:05d}", 7.0 if i % 50 else float(i % 9)) for i in range(6000)] + [("x", None)]
+    df = spark.createDataFrame(rows, "event_id string, score double").repartition(3)
+    got = {r.event_id: r.position for r in T.budget_rank(df, "score").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in df.repartitionByRange(n, F.desc("score"), F.asc("event_id")).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.6 * len(rows)  # though 98 of 100 rows have one score
+
+
+def test_isotonic_blocks_equal_the_min_max_formula(spark):
+    rng = random.Random(8)
+    for n, values in ((1, 3), (300, 40), (400, 10_000)):
+        rows = [(float(rng.randrange(values)), float(rng.random() < 0.3 + 0.5 * (i % 7 > 3))) for i in range(n)] + [(None, 1.0), (1.0, None)]
+        df = spark.createDataFrame(rows, "x double, y double")
+        kept = [r for r in rows if None not in r]
+        xs = sorted({x for x, _ in kept})
+        y, w = [sum(b for a, b in kept if a == x) for x in xs], [sum(a == x for a, _ in kept) for x in xs]
+        mean = lambda a, b: sum(y[a : b + 1]) / sum(w[a : b + 1])
+        few = range(len(xs)) if len(xs) < 60 else range(0, len(xs), 25)
+        want = {xs[i]: max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in few}
+        got = {r.x: r.p for r in isotonic.predict(df, isotonic.fit(df, "x", "y"), "x", "p").collect()}
+        assert got[None] is None and all(got[x] == pytest.approx(v) for x, v in want.items())
+    line = isotonic.fit(spark.createDataFrame([(1.0, 0.0), (3.0, 1.0)], "x double, y double"), "x", "y")
+    ends = isotonic.predict(spark.createDataFrame([(0.0,), (1.0,), (1.5,), (3.0,), (9.0,)], "x double"), line, "x", "p").orderBy("x").collect()
+    assert [r.p for r in ends] == pytest.approx([0, 0, 0.25, 1, 1])
+
+
 def test_ewma_of_very_long_histories(spark):
     day = 86_400_000_000
     rows = [("a", f"e{i:04d}", i * day, float(i % 7)) for i in range(400)]

@@ -132,15 +132,18 @@ def command_totals(ev: DataFrame) -> DataFrame:
 
 
 def budget_rank(df: DataFrame, score: str, tie: str = "event_id") -> DataFrame:
-    """Adds ``position``: 1 for the highest score, ties by ``tie``, over all rows without one task seeing them all.
+    """Adds ``position``: 1 for the highest score (null last), ties by ``tie``, over all rows without one task seeing them all.
 
-    Scores are counted by value; running counts over ranges of values say how many rows rank before each,
-    and rows are numbered within their value.
+    Rows are dealt by ranges of (score, tie) together, so equal scores, however many, are split as well; a window over a row per range says what
+    comes before it.
     """
-    counts = df.groupBy(score).agg(F.count("*").alias("_c"))
-    starts = with_running(counts, score, {"_upto": "_c"}, descending=True).select(score, (F.col("_upto") - F.col("_c")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    return df.withColumn("_in", inside).join(starts, score).withColumn("position", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    order = (F.desc(score), F.asc(tie))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    per = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    per = per.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_in", inside).join(per, "_range").withColumn("position", F.col("_in") + F.col("_before")).drop("_in", "_before", "_range")
 
 
 def budget_size(n: Column, pct: Column) -> Column:

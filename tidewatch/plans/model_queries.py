@@ -220,11 +220,16 @@ def m_isolation_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.importances(I.fit(stored(feature_frame(spark, sf_dir), "features").where("split = 'train'"), NAMES), NAMES))
 
 
-@query()
+#: The rising step function by its definition: at each value the largest, over beginnings at or before it, of the least mean over ends at or after it.
+@query(""", v AS (SELECT risk_score AS x, count(*) FILTER (is_anomaly) AS y, count(*) AS w FROM sc JOIN lb ON lb.event_id = sc.event_id WHERE split = 'val' GROUP BY 1),
+s AS MATERIALIZED (SELECT x, row_number() OVER o AS i, sum(y) OVER o AS yy, sum(w) OVER o AS ww, sum(y) OVER o - y AS y0, sum(w) OVER o - w AS w0 FROM v WINDOW o AS (ORDER BY x)),
+m AS (SELECT a.i AS a, b.i AS b, min((b.yy - a.y0) * 1.0 / (b.ww - a.w0)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM s a JOIN s b ON b.i >= a.i),
+g AS MATERIALIZED (SELECT s.x, t.g, lead(s.x) OVER (ORDER BY s.x) AS x1, lead(t.g) OVER (ORDER BY s.x) AS g1 FROM s JOIN (SELECT b AS i, max(least) AS g FROM m GROUP BY 1) t ON t.i = s.i)
+SELECT sc.event_id, risk_score, round(CASE WHEN g.x IS NULL THEN (SELECT min_by(g, x) FROM g) WHEN risk_score > g.x AND x1 IS NOT NULL THEN g.g + (g1 - g.g) * (risk_score - g.x) / (x1 - g.x) ELSE g.g END, 6) AS calibrated FROM sc ASOF LEFT JOIN g ON sc.risk_score >= g.x""")
 def m_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotonic calibration fitted on the validation split."""
     df = scored(spark, sf_dir).join(labels(spark, sf_dir).select("event_id", "is_anomaly"), "event_id")
-    return M.calibrate(df, M.fit_calibrator(df.where("split = 'val'"))).select("event_id", "risk_score", "calibrated")
+    return rounded(M.calibrate(df, M.fit_calibrator(df.where("split = 'val'"))).select("event_id", "risk_score", "calibrated"))
 
 
 @query()
