@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import boosting
 from tidewatch.operators import features as X
 from tidewatch.operators import incremental as N
 from tidewatch.operators import isolation as I
@@ -184,6 +185,34 @@ def test_isotonic_blocks_equal_the_min_max_formula(spark):
     assert [r.p for r in ends] == pytest.approx([0, 0, 0.25, 1, 1])
 
 
+def test_boosted_trees_learn_and_equal_a_walk_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        a, b = rng.random(), rng.random()
+        rows.append((f"e{i:04d}", "x" if a > 0.6 else "y" if b > 0.5 else "z", a, b, rng.random()))
+    df = spark.createDataFrame(rows, "event_id string, label string, a double, b double, noise double")
+    names = ("a", "b", "noise")
+    trees = stored(boosting.fit(df.where("event_id < 'e0600'"), "label", names, rounds=40), "trees")
+    assert sorted(trees.collect()) == sorted(boosting.fit(df.where("event_id < 'e0600'").repartition(3), "label", names, rounds=40).collect())
+    got = {r.event_id: r for r in df.select("event_id", "label", boosting.predict(trees, names).alias("p")).collect()}
+    held = [r for r in got.values() if r.event_id >= "e0600"]
+    assert sum(r.label == r.p.attack_type for r in held) > 0.95 * len(held)
+    con = duckdb.connect()
+    con.register("t", trees.toPandas())
+    con.register("d", df.toPandas())
+    sql = f"""WITH RECURSIVE q AS (SELECT event_id, [floor(a * {I.STEPS} + 0.5), floor(b * {I.STEPS} + 0.5), floor(noise * {I.STEPS} + 0.5)] AS x FROM d),
+    w AS (SELECT event_id, class, tree, node, feature, threshold, value, x FROM q, t WHERE node = 1 UNION ALL
+      SELECT w.event_id, w.class, w.tree, t.node, t.feature, t.threshold, t.value, x FROM w JOIN t ON t.class = w.class AND t.tree = w.tree AND t.node = 2 * w.node + CASE WHEN x[w.feature + 1] > w.threshold THEN 1 ELSE 0 END WHERE w.feature >= 0),
+    s AS (SELECT event_id, class, 1 / (1 + exp(-sum(value))) AS p FROM w WHERE feature < 0 GROUP BY ALL)
+    SELECT event_id, max_by(class, p), max(p) / sum(p) FROM s GROUP BY 1"""
+    for i, name, p in con.execute(sql).fetchall():
+        assert got[i].p.attack_type == name and got[i].p.confidence == pytest.approx(p)
+    assert boosting.fit(df.where("label = 'x'"), "label", names) is None and boosting.fit(df.where("false"), "label", names) is None
+
+
 def test_ewma_of_very_long_histories(spark):
     day = 86_400_000_000
     rows = [("a", f"e{i:04d}", i * day, float(i % 7)) for i in range(400)]

@@ -234,8 +234,9 @@ def m_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ff = feature_frame(spark, sf_dir)
-    out = M.classify(ff, M.fit_classifier(ff.where("split = 'train'")))
+    ff = stored(feature_frame(spark, sf_dir), "features")
+    trees = M.fit_classifier(ff.where("split = 'train'"))
+    out = M.classify(ff, None if trees is None else stored(trees, "trees"))
     return out.select("event_id", c("tree.attack_type").alias("tree_type"), c("named.attack_type").alias("attack_type"), c("named.confidence").alias("confidence"), c("named.is_novel").alias("is_novel"))
 
 
