@@ -152,18 +152,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with multiplicities that use up the histogram.
+def exact_complements(n: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that fill a sequence exactly, with multiplicities; ``n``, the counts by length, are taken down by what they use.
 
-    For each length, longest first and of any size, the gap it leaves is looked up among the single lengths no
-    longer, then the sums of two, then of three, as far as such pieces are still there; a hit is taken as often as
-    the counts allow. What finds no exact complement goes best-fit, longest first.
+    For each length, longest first and of any size, the gap it leaves is looked up among the single lengths no longer; once all lengths have had their singles, among the
+    sums of two, then of three, as far as such pieces are still there. A hit is taken as often as the counts allow. Small pieces that fill one gap alone aren't used up
+    in threes before longer ones have had them.
     """
-    n = np.zeros(capacity + 1, np.int64)
-    for length, count in hist.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length} is outside 1..{capacity}")
-        n[length] += count
+    capacity = len(n) - 1
     done: list[tuple[tuple[int, ...], int]] = []
 
     def take(lengths: tuple[int, ...]) -> None:
@@ -182,33 +178,42 @@ def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int
         for x in a[(n[a] > 0) & (n[gap - a] > 0)].tolist():
             yield x, gap - x
 
-    # four pieces of the longest length left fill a sequence at best, so shorter ones have no exact complement; longer
-    # pieces than ``length`` have had all of theirs
-    for length in range(capacity, (capacity + 3) // 4 - 1, -1):
-        gap = capacity - length
-        if not n[length]:
-            continue
-        if not gap:
-            take((length,))
-            continue
+    def single(length: int, gap: int) -> None:
         if gap <= length and n[gap]:
-            take((length, gap))
+            take((length, gap) if gap else (length,))
+
+    def two(length: int, gap: int) -> None:
         for p in pairs(gap, length):
             if not n[length]:
                 break
             take((length, *p))
-        if n[length] and gap >= 3:
-            there = (n[: gap + 1] > 0).astype(np.int64)
-            there[length + 1 :] = 0
-            sums = np.convolve(there, there)[: gap + 1] > 0
-            for a in range(min(gap - 2, length), (gap + 2) // 3 - 1, -1):
-                if not n[length]:
-                    break
-                if n[a] and sums[gap - a]:
-                    for b, c in pairs(gap - a, a):
-                        if not n[length] or not n[a]:
-                            break
-                        take((length, a, b, c))
+
+    def three(length: int, gap: int) -> None:
+        there = (n[: gap + 1] > 0).astype(np.int64)
+        there[length + 1 :] = 0
+        sums = np.convolve(there, there)[: gap + 1] > 0
+        for a in range(min(gap - 2, length), (gap + 2) // 3 - 1, -1):
+            if not n[length]:
+                break
+            if n[a] and sums[gap - a]:
+                for b, c in pairs(gap - a, a):
+                    if not n[length] or not n[a]:
+                        break
+                    take((length, a, b, c))
+
+    n[0] = 1  # a gap of nothing is filled by nothing
+    for many, fill in enumerate((single, two, three), 1):
+        # the pieces beside a longest one are no longer than it
+        for length in range(capacity, -(-capacity // (many + 1)) - 1, -1):
+            if n[length] and (many == 1 or capacity - length >= many):
+                fill(length, capacity - length)
+    n[0] = 0
+    return done
+
+
+def best_fit(n: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with multiplicities for all pieces, longest first, each into the fullest sequence that it fits."""
+    capacity = len(n) - 1
     bins: dict[int, list[list]] = {}
     for length in range(capacity, 0, -1):
         left = int(n[length])
@@ -229,21 +234,41 @@ def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int
             if not bins[gap]:
                 del bins[gap]
             bins.setdefault(gap - length, []).append([(*pattern, length), k])
-        n[length] = 0
-    return done + [(tuple(p), k) for held in bins.values() for p, k in held]
+    return [(tuple(p), k) for held in bins.values() for p, k in held]
+
+
+def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with multiplicities that use up the histogram.
+
+    Exact complements first, then best fit, longest first, for what finds none; with complements of one, of up to two and of up to three pieces, and with none at all, of which the
+    plan of the fewest sequences counts (the most complements, if several). So it is never worse than best fit.
+    """
+    n = np.zeros(capacity + 1, np.int64)
+    for length, count in hist.items():
+        if not 0 < length <= capacity:
+            raise ValueError(f"length {length} is outside 1..{capacity}")
+        n[length] += count
+    plans, exact = [], exact_complements(n.copy())
+    for most in (4, 3, 2, 0):
+        done, rest = [p for p in exact if len(p[0]) <= most], n.copy()
+        for lengths, k in done:
+            for x in lengths:
+                rest[x] -= k
+        plans.append(done + best_fit(rest))
+    return min(plans, key=lambda p: sum(k for _, k in p))
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
-    ``pieces`` should be materialised: it is read for the histogram and again for the placing. Only
+    ``pieces`` are written with the number of a bucket, as they are read for the histogram and again for the placing. Only
     the histogram (at most ``capacity`` numbers) goes to the driver and only the patterns come
     back. Rows of one length are ranked by bucket, so that a very common length is shared by all
     tasks. Equal rows get different places. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     buckets = max(8, parts(spark))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)).cast("int"))
+    keyed = cut(pieces.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)).cast("int")))
     counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     patterns = plan(hist, capacity)
@@ -283,4 +308,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     Null texts count as empty. Repeated rows are packed as often as they occur. A word of any length is encoded whole; words
     are remembered up to MAX_WORDS and MAX_CHARS a worker.
     """
-    return place(cut(token_pieces(docs, path, capacity, end_id)), capacity)
+    return place(token_pieces(docs, path, capacity, end_id), capacity)
