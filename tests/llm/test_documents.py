@@ -209,6 +209,24 @@ def test_packing_plan_against_exhaustive_search():
     assert over <= 3
 
 
+def test_packing_is_never_worse_than_best_fit():
+    rng = random.Random(12)
+    for trial in range(40):
+        hist = {rng.randint(1, 2048): rng.randint(1, 30) for _ in range(rng.randint(5, 60))}
+        n = np.zeros(2049, np.int64)
+        for length, count in hist.items():
+            n[length] += count
+        patterns, used = packing.plan(hist, 2048), collections.Counter()
+        assert sum(k for _, k in patterns) <= sum(k for _, k in packing.best_fit(n))
+        for lengths, k in patterns:
+            assert sum(lengths) <= 2048
+            for x in lengths:
+                used[x] += k
+        assert used == hist
+        rest = n.copy()
+        assert all(sum(p) == 2048 for p, _ in packing.exact_complements(rest)) and (rest >= 0).all()
+
+
 def test_packing_of_rows_that_are_alike(spark):
     rows = spark.createDataFrame([(None, 0, 700)] * 400, "doc_id long, piece int, length long").repartition(6)
     out = packing.place(rows).collect()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import buckets
-from tidewatch.llm.shared import cut, parts, stored
+from tidewatch.llm.shared import bit_map, cut, marked, parts, stored
 
 #: Sampled times in each octave of time; the walk's coins repeat after PERIOD times and tell CLASSES of characters apart.
 PER_OCTAVE, PERIOD, CLASSES = 64, 4096, 64
@@ -250,28 +250,36 @@ def forest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """``fingerprint, near_group``: every fingerprint of ``prints(doc_id, fingerprint)`` once, with the smallest doc_id among those
-    linked with it.
+    """``node, near_group``: every node of ``prints(doc_id, fingerprint, node)`` once, with the smallest doc_id among those linked with it; and ``shared``, whether
+    others are. A node is the hash of a fingerprint. ``prints`` should be materialised.
 
     Fingerprints with a likeness of LEAST or more are linked, equal ones are one. Bit-sampled banding: a band is DIGITS digits at
     times drawn evenly from a walk's length, so two walks that are alike at a share p of all times agree on a band with a chance
-    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.98. Members of a bucket are
+    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.98. Keys that one fingerprint alone has, which are nearly all, are told by their
+    least and largest node and go no further. Members of a bucket are
     verified as in ``buckets.linked``: none is left out of one that is large. Null ids name no group.
     """
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fingerprint")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            pdf = pdf.drop_duplicates("node")
             keys = band_keys(pdf["fingerprint"].tolist())
             sizes = [len(k) for k in keys]
             yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64), sizes)})
 
-    keyed = cut(nodes.select("fingerprint", "node").mapInPandas(run, "key long, node long"))
-    payload = lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", F.col("fingerprint").alias("data"))
-    named = buckets.linked(keyed, payload, alike, forest, CROWDED, BLOCK)
-    roots = cut(nodes.join(named, "node", "left").select("fingerprint", "first", F.coalesce("component", "node").alias("root")))
+    firsts = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    keyed = stored(prints.select("fingerprint", "node").mapInPandas(run, "key long, node long"), "keys")
+    met = cut(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
+    kept = cut(marked(keyed, "key", bit_map(met, "key"), "_met").where("_met").drop("_met").join(met, "key").distinct())
+
+    def payload(wanted: DataFrame) -> DataFrame:
+        few = marked(prints.select("node", "fingerprint"), "node", bit_map(wanted, "node"), "_asked").where("_asked").drop("_asked")
+        return few.groupBy("node").agg(F.min("fingerprint").alias("data")).join(wanted, "node", "left_semi")
+
+    named = buckets.linked(kept, payload, alike, forest, CROWDED, BLOCK)
+    roots = cut(firsts.join(named, "node", "left").select("node", "first", ((F.col("rows") > 1) | F.col("component").isNotNull()).alias("shared"), F.coalesce("component", "node").alias("root")))
     least = cut(roots.groupBy("root").agg(F.min("first").alias("near_group")))
-    return roots.join(least, "root").select("fingerprint", "near_group")
+    return roots.join(least, "root").select("node", "near_group", "shared")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -356,7 +364,10 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 def near_edits(docs: DataFrame) -> DataFrame:
     """``edit_fingerprints`` and ``near_group``, the smallest doc_id of the documents linked by fingerprints with a likeness of LEAST or
     more (null where none of them has an id). Every row has one; texts like no other name their own."""
-    rows = stored(edit_fingerprints(docs), "prints")
-    # materialised, so that a fingerprint with very many rows can be split
-    groups = cut(near_groups(rows.select("doc_id", "fingerprint")))
-    return rows.join(groups, "fingerprint").select(*rows.columns, "near_group")
+    rows = stored(edit_fingerprints(docs).withColumn("node", F.xxhash64("fingerprint")), "prints")
+    # materialised, so that a fingerprint with very many rows can be split; rows like no other stay where they are
+    groups = cut(near_groups(rows).where("shared"))
+    names = [x for x in rows.columns if x != "node"]
+    rows = marked(rows, "node", bit_map(groups, "node"), "_shared")
+    named = rows.where("_shared").join(groups, "node", "left").select(*names, F.when(F.col("shared"), F.col("near_group")).otherwise(F.col("doc_id")).alias("near_group"))
+    return named.unionByName(rows.where("NOT _shared").select(*names, F.col("doc_id").alias("near_group")))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources.storage import new_folder, shared_dir, stored
 
-__all__ = ["components", "cut", "new_folder", "parts", "shared_dir", "stored"]
+__all__ = ["bit_map", "components", "cut", "marked", "new_folder", "parts", "shared_dir", "stored"]
+
+#: Bits of a bit map: at most SLOTS / 64 rows of two numbers, whatever it is made from.
+SLOTS = 1 << 25
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +23,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bit_map(df: DataFrame, column: str) -> DataFrame:
+    """A table of SLOTS bits, those of the values of a long column set."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS))
+    bits = df.groupBy(F.floor(slot / 64).cast("int").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("_bits"))
+    return stored(bits, "bits")
+
+
+def marked(df: DataFrame, column: str, bits: DataFrame, name: str) -> DataFrame:
+    """Adds whether a value may be among those of a bit map: true for all that are, and for some more as the map fills. Broadcast, as its size is bounded."""
+    word = F.floor(F.pmod(F.col(column), F.lit(SLOTS)) / 64).cast("int")
+    out = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    return out.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod(F.col(column), F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, component)`` per node of an edge,
     ``component`` the smallest node reachable.
