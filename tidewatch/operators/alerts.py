@@ -33,15 +33,20 @@ def alert_details(scored: DataFrame, threshold: float = 65.0) -> DataFrame:
     return out.na.fill(0, ["n_similar"])
 
 
-def entity_details(scored: DataFrame, threshold: float = 65.0) -> DataFrame:
-    """Per entity: events by hour, share of alerts, mean bytes against the cohort's median entity, drift."""
+def entity_details(scored: DataFrame, threshold: float = 65.0, points: int = 200) -> DataFrame:
+    """Per entity: busiest hour, share of alerts, mean bytes and duration against the cohort's median entity, drift, ``top_resources`` (array of resource, n, is_new; most used first) and
+    ``timeline`` (array of ts_us, risk_score: the newest ``points``, oldest first)."""
     hours = T.hour_histogram(scored, "entity_id", alpha=0.0)
     busiest = hours.groupBy("entity_id").agg(F.max_by("hour", F.struct("weight", -c("hour"))).alias("busiest_hour"))
     summary = T.entity_summary(scored, threshold)
-    own = scored.groupBy("entity_id", "cohort").agg(F.avg("bytes_transferred").alias("mean_bytes"))
-    medians = own.groupBy("cohort").agg(F.median("mean_bytes").alias("cohort_median_bytes"))
+    own = scored.groupBy("entity_id", "cohort").agg(F.avg("bytes_transferred").alias("mean_bytes"), F.avg("session_duration_s").alias("mean_duration"))
+    medians = own.groupBy("cohort").agg(F.median("mean_bytes").alias("cohort_median_bytes"), F.median("mean_duration").alias("cohort_median_duration"))
+    top = T.top_resources(scored).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct((-c("n")).alias("k"), "resource", "n", "is_new"))).alias("_t"))
+    top = top.select("entity_id", F.transform("_t", lambda x: F.struct(x["resource"].alias("resource"), x["n"].alias("n"), x["is_new"].alias("is_new"))).alias("top_resources"))
+    line = T.newest(scored, points, "entity_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("ts_us", "event_id", "risk_score"))).alias("_l"))
+    line = line.select("entity_id", F.transform("_l", lambda x: F.struct(x["ts_us"].alias("ts_us"), x["risk_score"].alias("risk_score"))).alias("timeline"))
     out = summary.select("entity_id", "cohort", "events", (c("alerts") / c("events")).alias("alert_rate")).join(own.drop("cohort"), "entity_id").join(medians, "cohort").join(busiest, "entity_id")
-    return out.join(drift_states(scored), "entity_id", "left")
+    return out.join(drift_states(scored), "entity_id", "left").join(top, "entity_id").join(line, "entity_id")
 
 
 def feedback_thresholds(verdicts: DataFrame, base: float = 40.0, step: float = -5.0) -> DataFrame:
@@ -51,9 +56,10 @@ def feedback_thresholds(verdicts: DataFrame, base: float = 40.0, step: float = -
 
 
 def drift_states(scored: DataFrame, value: str = "risk_score") -> DataFrame:
-    """``entity_id, drifting, drift_since_us``: whether the newest event is in drift, and when drift first showed."""
+    """``entity_id, drifting, drift_since_us, adapted``: whether the newest event is in drift, when drift first showed, and whether the entity came out of it since."""
     df = W.with_page_hinkley(scored, value, "entity_id")
-    return df.groupBy("entity_id").agg(F.max_by("ph_drift", F.struct("ts_us", "event_id")).alias("drifting"), F.min(F.when(c("ph_drift"), c("ts_us"))).alias("drift_since_us"))
+    out = df.groupBy("entity_id").agg(F.max_by("ph_drift", F.struct("ts_us", "event_id")).alias("drifting"), F.min(F.when(c("ph_drift"), c("ts_us"))).alias("drift_since_us"))
+    return out.withColumn("adapted", c("drift_since_us").isNotNull() & ~c("drifting"))
 
 
 def learn_decisions(scored: DataFrame, verdicts: DataFrame, recent: int = 500, most: float = 65.0) -> DataFrame:

@@ -494,11 +494,33 @@ ph AS (SELECT entity_id, k, event_id, ts_us, greatest(0, risk_score - mean - 0.0
 pd AS (SELECT *, k >= 30 AND m > 50 AS drift, row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) AS age FROM ph)"""
 
 
-@query(PH + """, h AS (SELECT entity_id, (ts_us // 3600000000) % 24 AS hour, count(*) AS n FROM sc GROUP BY ALL), mb AS (SELECT entity_id, cohort, avg(bytes_transferred) AS b FROM sc GROUP BY ALL)
+@query(PH + """, h AS (SELECT entity_id, (ts_us // 3600000000) % 24 AS hour, count(*) AS n FROM sc GROUP BY ALL), mb AS (SELECT entity_id, cohort, avg(bytes_transferred) AS b, avg(session_duration_s) AS d FROM sc GROUP BY ALL),
+rs AS (SELECT entity_id, resource_accessed AS r, count(*) AS n, min(ts_us) AS f FROM sc GROUP BY ALL), lt AS (SELECT entity_id, max(ts_us) AS l FROM sc GROUP BY 1),
+rt AS (SELECT rs.*, f >= l - 604800000000 AS new, row_number() OVER (PARTITION BY rs.entity_id ORDER BY n DESC, r) AS k FROM rs JOIN lt ON lt.entity_id = rs.entity_id),
+tp AS (SELECT entity_id, string_agg(r || '=' || n || CASE WHEN new THEN '*' ELSE '' END, ';' ORDER BY k) AS t FROM rt WHERE k <= 10 GROUP BY 1),
+tl AS (SELECT entity_id, string_agg(ts_us || ':' || CAST(round(risk_score * 100) AS BIGINT), ';' ORDER BY ts_us, event_id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us DESC, event_id DESC) AS k FROM sc) WHERE k <= 200 GROUP BY 1)
 SELECT sc.entity_id, any_value(sc.cohort) AS cohort, count(*) AS events, round(count(*) FILTER (risk_score >= 65) / count(*), 6) AS alert_rate, round(avg(bytes_transferred), 6) AS mean_bytes, round((SELECT median(b) FROM mb WHERE mb.cohort = any_value(sc.cohort)), 6) AS cohort_median_bytes,
- (SELECT CAST(hour AS INTEGER) FROM h WHERE h.entity_id = sc.entity_id ORDER BY n DESC, hour LIMIT 1) AS busiest_hour, (SELECT drift FROM pd WHERE pd.entity_id = sc.entity_id AND age = 1) AS drifting, (SELECT min(ts_us) FROM pd WHERE pd.entity_id = sc.entity_id AND drift) AS drift_since_us FROM sc GROUP BY sc.entity_id""")
+ round(avg(session_duration_s), 6) AS mean_duration, round((SELECT median(d) FROM mb WHERE mb.cohort = any_value(sc.cohort)), 6) AS cohort_median_duration, any_value(tp.t) AS top_resources, any_value(tl.t) AS timeline,
+ (SELECT CAST(hour AS INTEGER) FROM h WHERE h.entity_id = sc.entity_id ORDER BY n DESC, hour LIMIT 1) AS busiest_hour, (SELECT drift FROM pd WHERE pd.entity_id = sc.entity_id AND age = 1) AS drifting, (SELECT min(ts_us) FROM pd WHERE pd.entity_id = sc.entity_id AND drift) AS drift_since_us,
+ (SELECT bool_or(drift) AND NOT max(drift) FILTER (age = 1) FROM pd WHERE pd.entity_id = sc.entity_id) AS adapted FROM sc JOIN tp ON tp.entity_id = sc.entity_id JOIN tl ON tl.entity_id = sc.entity_id GROUP BY sc.entity_id""")
 def v_entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(L.entity_details(scored(spark, sf_dir)))
+    out = L.entity_details(scored(spark, sf_dir))
+    top = F.array_join(F.transform("top_resources", lambda x: F.concat(x["resource"], F.lit("="), x["n"].cast("string"), F.when(x["is_new"], "*").otherwise(""))), ";")
+    line = F.array_join(F.transform("timeline", lambda x: F.concat(x["ts_us"].cast("string"), F.lit(":"), F.round(x["risk_score"] * 100).cast("long").cast("string"))), ";")
+    return rounded(out.withColumns({"top_resources": top, "timeline": line}))
+
+
+@query(""", h AS (SELECT entity_id, cohort, (ts_us // 3600000000) % 24 AS hour FROM ev), e AS (SELECT entity_id, any_value(cohort) AS cohort, count(*) AS n FROM ev GROUP BY 1), k AS (SELECT cohort, count(*) AS n FROM ev GROUP BY 1), g AS (SELECT unnest(range(24)) AS hour)
+SELECT e.entity_id, CAST(g.hour AS INTEGER) AS hour, round(e.n / (e.n + 20.0) * ((SELECT count(*) FROM h WHERE h.entity_id = e.entity_id AND h.hour = g.hour) + 0.1) / (e.n + 2.4) + 20.0 / (e.n + 20.0) * ((SELECT count(*) FROM h WHERE h.cohort = e.cohort AND h.hour = g.hour) + 0.1) / (k.n + 2.4), 8) AS share
+ FROM e JOIN k ON k.cohort = e.cohort, g""")
+def sc_shrunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's histogram of hours, drawn towards its cohort's by how few events it has."""
+    ev = access_events(spark, sf_dir)
+    listed = lambda key: T.hour_histogram(ev, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "weight"))), lambda x: x["weight"]).alias(key + "_h"), (F.sum("weight") - 2.4).alias(key + "_n"))
+    shares = lambda h, n: F.transform(h, lambda x: x / (c(n) + 2.4))
+    both = ev.select("entity_id", "cohort").distinct().join(listed("entity_id"), "entity_id").join(listed("cohort"), "cohort")
+    mixed = S.shrink_histogram(shares("entity_id_h", "entity_id_n"), shares("cohort_h", "cohort_n"), c("entity_id_n"))
+    return both.select("entity_id", F.posexplode(mixed).alias("hour", "share")).select("entity_id", "hour", F.round("share", 8).alias("share"))
 
 
 VERDICTS = ", ve AS (SELECT event_id, entity_id, CASE WHEN bytes_transferred % 2 = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict FROM sc WHERE risk_score >= 90)"
@@ -518,7 +540,7 @@ def v_learn_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.learn_decisions(scored(spark, sf_dir), verdicts(spark, sf_dir))
 
 
-@query(PH + " SELECT entity_id, max(drift) FILTER (age = 1) AS drifting, min(ts_us) FILTER (drift) AS drift_since_us FROM pd GROUP BY 1")
+@query(PH + " SELECT entity_id, max(drift) FILTER (age = 1) AS drifting, min(ts_us) FILTER (drift) AS drift_since_us, bool_or(drift) AND NOT max(drift) FILTER (age = 1) AS adapted FROM pd GROUP BY 1")
 def v_drift_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.drift_states(scored(spark, sf_dir))
 

@@ -43,10 +43,19 @@ def newest(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("r", rank).where("r = 1").drop("r", "batch")
 
 
-@query(DUCK_WITH + ", w AS (SELECT entity_id, unnest([ts_us // 1800000000 * 1800000000, ts_us // 1800000000 * 1800000000 - 1800000000]) AS start_us FROM ev WHERE auth_result = 'failure') SELECT start_us, entity_id, count(*) AS failures FROM w GROUP BY ALL")
+@query(DUCK_WITH + ", wm AS (SELECT max(ts_us) // 1000 * 1000 - 86400000000 AS closed FROM ev), s(width, slide) AS (VALUES " + ", ".join(f"({w}::BIGINT, {s}::BIGINT)" for w, s in J.FAILURE_WINDOWS) + """),
+w AS (SELECT width, entity_id, unnest(range(0, width, slide)) * -1000000 + ts_us // (slide * 1000000) * (slide * 1000000) AS start_us FROM ev, s WHERE auth_result = 'failure')
+SELECT CAST(width AS INTEGER) AS width, start_us, entity_id, count(*) AS failures FROM w, wm WHERE start_us + width * 1000000 <= closed GROUP BY ALL""")
 def st_windowed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures in sliding windows; update mode, newest count of a window."""
-    return newest(J.to_table(J.windowed_failures(source(spark, sf_dir), delay="60 days"), "windows", "update"), "start_us", "entity_id")
+    """Failures in windows of 5 minutes, an hour and a day, each written once when the watermark closes it."""
+    outs = [J.to_table(J.windowed_failures(source(spark, sf_dir), w, s), f"windows-{w}").drop("batch") for w, s in J.FAILURE_WINDOWS]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+@query(DUCK_WITH + " SELECT ts_us // 86400000000 * 86400000000 AS start_us, count(*) AS events, count(*) FILTER (risk_score >= 65) AS alerts FROM sc GROUP BY 1")
+def st_live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and alerts by day, refreshed every few seconds."""
+    return J.live_counters(source(spark, sf_dir), new_folder(spark, "live-counters"), every="1 second")
 
 
 @query(DUCK_WITH + " SELECT entity_id, count(*) AS events, count(*) FILTER (risk_score >= 65) AS alerts, max(risk_score) AS max_risk, max(ts_us) AS last_us FROM sc GROUP BY 1")
@@ -158,6 +167,12 @@ bt AS (SELECT sc.event_id, risk_score, CAST((ts_us // 86400000000 >= lo + (hi +
 ct AS (SELECT b, count(*) AS n FROM bt GROUP BY 1)"""
 
 
+@query(DUCK_WITH + SPANS + ", tm AS (SELECT b, max(sc.ts_us) AS newest FROM bt JOIN sc ON sc.event_id = bt.event_id GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY ct.b) - 1 AS INTEGER) AS batch, n AS rows, CAST(sum(n) OVER (ORDER BY ct.b) AS BIGINT) AS position, (SELECT count(*) FROM sc) AS total, newest AS newest_us FROM ct JOIN tm ON tm.b = ct.b")
+def st_replay_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, position and total of each batch of a replay."""
+    return J.replay_progress(source(spark, sf_dir), scored(spark, sf_dir).count(), new_folder(spark, "progress"))
+
+
 @query(DUCK_WITH + SPANS + """, u AS (SELECT b.b, p.risk_score AS v, count(*) AS k FROM (SELECT DISTINCT b FROM bt) b JOIN bt p ON p.b < b.b GROUP BY ALL),
 w AS (SELECT b, v, sum(k) OVER (PARTITION BY b ORDER BY v) AS at_most, sum(k) OVER (PARTITION BY b) AS n FROM u)
 SELECT bt.event_id, round(CASE WHEN coalesce((SELECT max(n) FROM w WHERE w.b = bt.b), 0) < 500 THEN 0.5 ELSE coalesce((SELECT max(at_most) FROM w WHERE w.b = bt.b AND w.v <= bt.risk_score), 0) / (SELECT max(n) FROM w WHERE w.b = bt.b) END, 8) AS rank FROM bt""")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -78,10 +78,54 @@ def to_table(df: DataFrame, name: str, mode: str = "append", folder: str | None
     return out.read()
 
 
-def windowed_failures(stream: DataFrame, width: str = "1 hour", slide: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    """Failures per entity in sliding windows, closed by the watermark."""
-    fails = stream.where("auth_result = 'failure'").withWatermark("ts", delay)
-    return fails.groupBy(F.window("ts", width, slide).alias("w"), "entity_id").agg(F.count("*").alias("failures")).select(F.unix_micros("w.start").alias("start_us"), "entity_id", "failures")
+#: Seconds of the windows that failures are counted in, and of the steps they slide by.
+FAILURE_WINDOWS = ((300, 300), (3600, 300), (86_400, 7200))
+
+
+def windowed_failures(stream: DataFrame, width: int = 300, slide: int = 300, delay: str = "1 day") -> DataFrame:
+    """``width, start_us, entity_id, failures`` in windows of ``width`` seconds that slide by ``slide``, in append mode: a window comes out once, when the watermark (the newest time less
+    ``delay``) has passed its end.
+
+    All widths rest on one count by 5 minutes, whose windows' own time goes on to the wider ones, so state is a row per entity and open window, not per event.
+    """
+    fails = stream.withWatermark("ts", delay).where("auth_result = 'failure'")
+    out = fails.groupBy(F.window("ts", "300 seconds").alias("w"), "entity_id").agg(F.count("*").alias("failures"))
+    if (width, slide) != (300, 300):
+        out = out.groupBy(F.window(F.window_time("w"), f"{width} seconds", f"{slide} seconds").alias("w"), "entity_id").agg(F.sum("failures").alias("failures"))
+    return out.select(F.lit(width).alias("width"), F.unix_micros("w.start").alias("start_us"), "entity_id", "failures")
+
+
+def live_counters(stream: DataFrame, folder: str, threshold: float = 65.0, width: str = "1 day", every: str = "5 seconds") -> DataFrame:
+    """``start_us, events, alerts`` by windows of event time, refreshed on a processing-time trigger in update mode until what is there now is counted: the newest count of each window. A run
+    in the same folder goes on."""
+    spark = stream.sparkSession
+    counts = stream.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("events"), F.sum((c("risk_score") >= threshold).cast("long")).alias("alerts"))
+    counts = counts.select(F.unix_micros("w.start").alias("start_us"), "events", "alerts")
+    out = Batches(spark, f"{folder}/out", counts.schema)
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).foreachBatch(out.write).start()
+    query.processAllAvailable()
+    query.stop()
+    newest = out.read().groupBy("start_us").agg(F.max_by(F.struct("events", "alerts"), "batch").alias("x"))
+    return newest.select("start_us", "x.*")
+
+
+def replay_progress(stream: DataFrame, total: int, folder: str) -> DataFrame:
+    """``batch, rows, position, total, newest_us``: how many rows each batch of a replay took, how far it then was, and of how many. Counts are observed as the batches are written, and kept with them."""
+    from pyspark.sql import Observation
+
+    spark = stream.sparkSession
+    done = Batches(spark, f"{folder}/done", StructType.fromDDL("rows long, newest_us long"))
+    events = Batches(spark, f"{folder}/events", stream.schema)
+
+    def each(batch: DataFrame, number: int) -> None:
+        seen = Observation(f"batch-{number}")
+        events.write(batch.observe(seen, F.count("*").alias("rows"), F.max("ts_us").alias("newest_us")), number)
+        got = seen.get
+        done.write(spark.createDataFrame([(got["rows"], got["newest_us"])], done.schema), number)
+
+    run_all(stream, folder, each=each)
+    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row per batch
+    return done.read().where("rows > 0").select("batch", "rows", F.sum("rows").over(upto).alias("position"), F.lit(total).cast("long").alias("total"), "newest_us")
 
 
 def entity_counters(stream: DataFrame, threshold: float = 65.0) -> DataFrame:
