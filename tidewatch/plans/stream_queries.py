@@ -43,7 +43,7 @@ def newest(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("r", rank).where("r = 1").drop("r", "batch")
 
 
-@query(DUCK_WITH + ", wm AS (SELECT max(ts_us) // 1000 * 1000 - 86400000000 AS closed FROM ev), s(width, slide) AS (VALUES " + ", ".join(f"({w}::BIGINT, {s}::BIGINT)" for w, s in J.FAILURE_WINDOWS) + """),
+@query(DUCK_WITH + ", wm AS (SELECT max(ts_us) // 1000 * 1000 - 86400000000 AS closed FROM ev WHERE auth_result = 'failure'), s(width, slide) AS (VALUES " + ", ".join(f"({w}::BIGINT, {s}::BIGINT)" for w, s in J.FAILURE_WINDOWS) + """),
 w AS (SELECT width, entity_id, unnest(range(0, width, slide)) * -1000000 + ts_us // (slide * 1000000) * (slide * 1000000) AS start_us FROM ev, s WHERE auth_result = 'failure')
 SELECT CAST(width AS INTEGER) AS width, start_us, entity_id, count(*) AS failures FROM w, wm WHERE start_us + width * 1000000 <= closed GROUP BY ALL""")
 def st_windowed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

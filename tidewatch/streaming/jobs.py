@@ -83,12 +83,12 @@ FAILURE_WINDOWS = ((300, 300), (3600, 300), (86_400, 7200))
 
 
 def windowed_failures(stream: DataFrame, width: int = 300, slide: int = 300, delay: str = "1 day") -> DataFrame:
-    """``width, start_us, entity_id, failures`` in windows of ``width`` seconds that slide by ``slide``, in append mode: a window comes out once, when the watermark (the newest time less
+    """``width, start_us, entity_id, failures`` in windows of ``width`` seconds that slide by ``slide``, in append mode: a window comes out once, when the watermark (the newest failure's time less
     ``delay``) has passed its end.
 
     All widths rest on one count by 5 minutes, whose windows' own time goes on to the wider ones, so state is a row per entity and open window, not per event.
     """
-    fails = stream.withWatermark("ts", delay).where("auth_result = 'failure'")
+    fails = stream.where("auth_result = 'failure'").withWatermark("ts", delay)
     out = fails.groupBy(F.window("ts", "300 seconds").alias("w"), "entity_id").agg(F.count("*").alias("failures"))
     if (width, slide) != (300, 300):
         out = out.groupBy(F.window(F.window_time("w"), f"{width} seconds", f"{slide} seconds").alias("w"), "entity_id").agg(F.sum("failures").alias("failures"))
