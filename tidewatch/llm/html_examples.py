@@ -36,6 +36,18 @@ PAGES = {
     "asides": "main/h1 4/0 +, main/p 36/0 +, main/aside/p 28/0 -, main/p 41/0 +, main/div.widget/p 17/1 -, main/p 5/0 +, div/p 19/0 -, div/p 33/0 -",
     "crumbs": "div/p 3/3 -, div/p 4/2 -, article/p 60/0 +, article/p 48/1 +, div/p 4/4 -, div/p 52/2 -",
     "jump": "div/p 2/2 -, div/p 2/2 -, main/p 71/2 +, main/p 45/0 +, main/p 57/0 +, div/li 6/6 -, div/p 44/0 -",
+    "menu": "ul/li 1/1 -, ul/li 2/2 -, p 30/0 +, p 2/0 +",
+    "note": "ul/li 1/1 -, ul/li 2/2 -, p 14/0 +, p 8/0 +, p 21/0 +",
+    "card": "ul/li 2/2 -, ul/li 1/1 -, ul/li 1/1 -, p 19/0 +, p 3/0 +, ul/li 2/2 -, ul/li 1/1 -, p 4/0 -",
+    "plain": "ul/li 1/1 -, ul/li 1/1 -, ul/li 3/3 -, p 46/0 +, p 27/1 +, p 3/0 +, p 38/0 +, p 6/0 +",
+    "headed": "div/li 2/2 -, div/li 1/1 -, div/h1 4/0 +, div/p 25/0 +, div/p 7/0 +, div/p 33/2 +, div/p 4/0 +",
+    "pointers": "div/p 30/0 +, div/p 6/3 +, div/p 30/0 +, div/p 52/1 +, div/p 4/4 +, div/p 36/0 +",
+    "brief": "div/p 14/0 +, div/p 5/3 +, div/p 12/0 +, div/p 7/5 +, div/p 22/0 +, div/p 6/4 +, div/p 18/1 +",
+    "within": "div/h1 5/0 +, div/p 34/0 +, div/p 5/5 +, div/p 41/2 +, div/p 7/4 +, div/p 28/0 +, div/p 5/0 +",
+    "back": "div/a 5/5 -, div/a 1/1 -, article/p 30/0 +, article/p 20/0 +",
+    "steps": "div/a 4/4 -, div/a 1/1 -, main/h1 3/0 +, main/p 35/0 +, main/p 22/0 +, div/a 1/1 -, div/a 5/5 -",
+    "turns": "div/a 1/1 -, div/a 1/1 -, div/h1 6/0 +, div/p 58/0 +, div/p 31/0 +, div/a 2/2 -, div/a 2/2 -",
+    "letter": "div/p 4/0 +, div/p 44/0 +, div/p 62/0 +, div/p 2/0 +, div/p 2/0 +",
     "index": "article/li 3/3 +, article/li 4/4 +, article/li 2/2 +, article/p 9/1 +",
 }
 
