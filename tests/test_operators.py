@@ -1,5 +1,6 @@
 """Folds against windows, leakage, guards and unit cases of the behavioural operators."""
 
+import math
 import random
 
 import pytest
@@ -81,6 +82,24 @@ def test_empty_events_give_empty_features(spark, ev):
         assert f(none).count() == 0
 
 
+def test_divergence_of_an_entity_that_changes_its_cohort(spark, monkeypatch):
+    """Its own counts go on, those of either cohort hold what was accessed there; all by a plain loop. Resources may be null."""
+    monkeypatch.setattr(X, "SPAN", 4)
+    names = ["x", "y", "z", None]
+    data = [(f"e{i:02}", "moves" if i % 3 == 0 else f"u{i % 5}", "a" if i % 2 == 0 or i % 3 and i % 5 < 3 else "b", i * i % 97, names[i * 7 % 11 % 4]) for i in range(60)]
+    got = {r.event_id: r.resource_js_divergence for r in X.divergence_feature(spark.createDataFrame(data, "event_id string, entity_id string, cohort string, ts_us long, resource_accessed string")).collect()}
+    past, want = [], {}
+    for event, entity, cohort, _, resource in sorted(data, key=lambda r: (r[3], r[0])):
+        mine, all_ = [r for _, e, _, _, r in past if e == entity], [r for _, _, c, _, r in past if c == cohort]
+        js = 0.5 if mine else 0.0
+        for r in set(mine):
+            p, q = mine.count(r) / len(mine), all_.count(r) / max(len(all_), 1)
+            js += (p * math.log2(2 * p / (p + q)) + (q * math.log2(2 * q / (p + q)) if q else 0) - q) / 2
+        want[event] = max(js, 0.0)
+        past.append((event, entity, cohort, _, resource))
+    assert got == pytest.approx(want)
+
+
 def test_register_feature(spark, ev):
     @X.register_feature("is_weekend", "Weekend")
     def weekend():

@@ -5,6 +5,7 @@ import os
 import pytest
 from compare import connection, same
 
+from tidewatch.operators import features
 from tidewatch.plans import catalogue
 
 QUICK = (
@@ -24,6 +25,13 @@ def test_matches_sql(spark, sf_dir, con, name):
     same(catalogue.QUERIES[name](spark, sf_dir), con, catalogue.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["f_jaccard", "f_divergence"])
+def test_matches_sql_over_many_spans(spark, sf_dir, con, name, monkeypatch):
+    """A cohort's events in spans of 7 events give what one span gives."""
+    monkeypatch.setattr(features, "SPAN", 7)
+    same(catalogue.QUERIES[name](spark, sf_dir), con, catalogue.ORACLES[name])
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from tidewatch.sources.storage import stored
 
 SHRINK_K, HALF_LIFE_DAYS, COLD_START, MIN_FAILURES, SMOOTHING, CENTROID_SHARE = 20.0, 14.0, 25, 3, 0.5, 10
 DAY, HOUR = 86_400, 3_600
+#: Events of a cohort that one task goes through in order.
+SPAN = 20_000
 
 
 @dataclass(frozen=True)
@@ -213,58 +217,109 @@ def edges(ev: DataFrame) -> DataFrame:
     return ev.groupBy("cohort", "entity_id", F.col("resource_accessed").alias("resource")).agg(F.min(F.struct("ts_us", "event_id")).alias("at"))
 
 
-def jaccard_feature(ev: DataFrame) -> DataFrame:
-    """Jaccard similarity of what the entity has accessed and the cohort's centroid: resources that a tenth of
-    the peers, at least one, have accessed.
+def _marked(ev: DataFrame) -> DataFrame:
+    """Events with what they add: ``first`` for an entity's first access of a resource in its cohort, ``new_peers`` for its first event there."""
+    first = edges(ev).select(F.col("at.event_id").alias("event_id"), F.lit(1).alias("first"))
+    peers = ev.groupBy("cohort", "entity_id").agg(F.min(F.struct("ts_us", "event_id")).alias("at")).select(F.col("at.event_id").alias("event_id"), F.lit(1).alias("new_peers"))
+    out = ev.select("event_id", "entity_id", "cohort", "ts_us", F.col("resource_accessed").alias("resource")).join(first, "event_id", "left").join(peers, "event_id", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("first", "new_peers")})
+
 
-    With m the number of peers needed at an event, the centroid's size is how many resources had their m-th
-    peer before it, and the overlap how many of the entity's. Both are running counts over events and
-    first accesses together; no table of pairs is made.
+def _against_cohort(ev: DataFrame) -> DataFrame:
+    """``event_id, cohort, ts_us, peers, own, m, divergence, overlap``: how each event's entity stands to its cohort just before it.
+
+    A cohort's events are cut in the order of time into spans of SPAN events. Counts before a span are running sums over rows by
+    (entity, resource, span) and (cohort, resource, span); each span then goes once through its events, with its entities' counts as vectors
+    (``_walk_span``). So a row an event is shuffled, and a row per span and resource of an entity that is active in it, but none per
+    event and resource; no task has more than SPAN events and the resources of their entities. An entity that changes its cohort has its
+    events in the spans of all its cohorts, where those of others add to its own counts alone.
     """
-    e = edges(ev)
-    rank = F.row_number().over(Window.partitionBy("cohort", "resource").orderBy("at"))
-    ranked = e.select("*", rank.alias("m"))
-    firsts = e.groupBy("cohort", "entity_id").agg(F.min("at").alias("at"))
-    marks = firsts.groupBy("cohort", F.col("at.event_id").alias("event_id")).agg(F.count("*").alias("new_peers")).drop("cohort")
-    own = e.groupBy(F.col("at.event_id").alias("event_id")).agg(F.count("*").alias("new_edges"))
-    probe = ev.select("event_id", "entity_id", "cohort", "ts_us").join(marks, "event_id", "left").join(own, "event_id", "left")
-    probe = W.with_bucketed_past(probe, {"peers": F.coalesce("new_peers", F.lit(0))}, "cohort")
-    probe = probe.withColumn("own", W.past_sum(F.coalesce("new_edges", F.lit(0)), "entity_id"))
-    probe = probe.withColumn("m", F.greatest(F.lit(1), F.floor(F.col("peers") / CENTROID_SHARE)).cast("int"))
-    used = probe.select("cohort", "m").distinct()
-    reached = ranked.join(used, ["cohort", "m"]).select("cohort", "m", "resource", F.col("at").alias("reached"))
-
-    def counted(points: DataFrame, keys: list[str], name: str) -> DataFrame:
-        rows = points.select(*keys, F.col("at.ts_us").alias("ts_us"), F.col("at.event_id").alias("event_id"), F.lit(1).alias("one"), F.lit(1).alias("kind"))
-        rows = rows.unionByName(probe.select(*keys, "ts_us", "event_id", F.lit(0).alias("one"), F.lit(0).alias("kind")))
-        return W.with_bucketed_past(rows, {name: F.col("one")}, *keys, order=("ts_us", "event_id", "kind")).where("kind = 0").select("event_id", name)
-
-    centroid = counted(reached.withColumnRenamed("reached", "at"), ["cohort", "m"], "centroid")
-    both = e.join(reached, ["cohort", "resource"]).select("entity_id", "m", F.greatest("at", "reached").alias("at"))
-    both = counted(both, ["entity_id", "m"], "overlap")
-    out = probe.join(centroid, "event_id").join(both, "event_id")
+    homes = ev.select("entity_id", F.col("cohort").alias("home")).distinct()
+    rows = _marked(ev).join(homes, "entity_id").withColumn("here", (F.col("cohort") == F.col("home")).cast("int"))
+    rows = rows.select("event_id", "entity_id", F.col("home").alias("cohort"), "ts_us", "resource", "here", (F.col("first") * F.col("here")).alias("first"), (F.col("new_peers") * F.col("here")).alias("new_peers"), F.col("first").alias("edge"))
+    rows = W.with_bucketed_past(rows, {"c_n": F.col("here"), "peers": F.col("new_peers"), "place": F.lit(1)}, "cohort")
+    mine = ("cohort", "entity_id")
+    rows = rows.withColumns({"e_n": W.past_count(*mine), "own": W.past_sum(F.col("edge"), *mine), "span": F.floor(F.col("place") / SPAN), "m": F.greatest(F.lit(1), F.floor(F.col("peers") / CENTROID_SHARE)).cast("int")})
+    rows = stored(rows.drop("place", "edge", "new_peers"), "spans")
+    added = rows.groupBy("cohort", "entity_id", "resource", "span").agg(F.count("*").alias("a"), F.sum("here").alias("c"), F.sum("first").alias("p"))
+    since = added.groupBy("cohort", "entity_id", "resource").agg(F.min("span").alias("since"))
+    asked = added.select("cohort", "entity_id", "span").distinct().join(since, list(mine)).where("since < span").drop("since")
+    so_far = lambda *keys: Window.partitionBy("cohort", *keys, "resource").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
+    held = asked.withColumns({"a": F.lit(0), "kind": F.lit(0)}).unionByName(added.drop("c", "p").withColumn("kind", F.lit(2)))
+    held = held.withColumn("a", F.sum("a").over(so_far("entity_id"))).where("kind = 0").withColumn("b", F.lit(0))
+    shared = added.drop("a", "entity_id").unionByName(asked.drop("entity_id").withColumns({"c": F.lit(0), "p": F.lit(0)})).groupBy("cohort", "resource", "span").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    shared = shared.select("cohort", "resource", "span", F.lit(1).alias("kind"), *[F.coalesce(F.sum(n).over(so_far()), F.lit(0)).alias(k) for n, k in (("c", "a"), ("p", "b"))])
+    events = rows.select("cohort", "entity_id", "resource", "span", "event_id", "ts_us", "c_n", "e_n", "m", F.col("here").alias("a"), F.col("first").alias("b"), F.lit(2).alias("kind"))
+    parts = events.unionByName(held, allowMissingColumns=True).unionByName(shared, allowMissingColumns=True)
+    walked = parts.groupBy("cohort", "span").applyInPandas(_walk_span, "event_id string, divergence double, overlap long")
+    return rows.where("here = 1").select("event_id", "cohort", "ts_us", "peers", "own", "m").join(walked, "event_id")
+
+
+def _walk_span(g: pd.DataFrame) -> pd.DataFrame:
+    """The events of a span in order: kind 0 has an entity's count of a resource before the span, 1 the cohort's and the number of peers,
+    2 the events. Vectors are over the resources that an entity has here."""
+    resource = pd.factorize(g["resource"], use_na_sentinel=False)[0]
+    entity = pd.factorize(g["entity_id"])[0]
+    kind, a, b = (g[n].to_numpy(np.int64) for n in ("kind", "a", "b"))
+    width = resource.max() + 1
+    total, peers = np.zeros(width), np.zeros(width, np.int64)
+    total[resource[kind == 1]], peers[resource[kind == 1]] = a[kind == 1], b[kind == 1]
+    cell = entity * width + resource
+    cells = np.unique(cell[kind != 1])
+    column, begins = cells % width, np.searchsorted(cells, np.arange(entity.max() + 2) * width)
+    slot = np.searchsorted(cells, cell)
+    counts = np.zeros(len(cells))
+    counts[slot[kind == 0]] = a[kind == 0]
+    events = g[kind == 2]
+    order = np.flatnonzero(kind == 2)[np.lexsort((events["event_id"].to_numpy(str), events["ts_us"].to_numpy(np.int64)))]
+    e_n, c_n, m = (g[n].fillna(0).to_numpy(np.int64) for n in ("e_n", "c_n", "m"))
+    divergence, overlap = np.zeros(len(g)), np.zeros(len(g), np.int64)
+    for i in order.tolist():
+        if a[i]:
+            at = slice(begins[entity[i]], begins[entity[i] + 1])
+            has = np.flatnonzero(counts[at])
+            if len(has):
+                met = column[at][has]
+                overlap[i] = np.count_nonzero(peers[met] >= m[i])
+                p, q = counts[at][has] / e_n[i], total[met] / max(c_n[i], 1)
+                terms = p * np.log2(2 * p / (p + q)) + q * np.log2(np.where(q > 0, 2 * q / (p + q), 1.0)) - q
+                divergence[i] = max(terms.sum() / 2 + 0.5, 0.0)
+        counts[slot[i]] += 1
+        total[resource[i]] += a[i]
+        peers[resource[i]] += b[i]
+    out = order[a[order] == 1]
+    return pd.DataFrame({"event_id": g["event_id"].to_numpy()[out], "divergence": divergence[out], "overlap": overlap[out]})
+
+
+def _jaccard(ev: DataFrame, stand: DataFrame) -> DataFrame:
+    """With m the number of peers needed at an event, the centroid's size is how many resources had their m-th peer before it: running counts
+    over events and first accesses together."""
+    ranked = edges(ev).withColumn("m", F.row_number().over(Window.partitionBy("cohort", "resource").orderBy("at")))
+    reached = ranked.join(stand.select("cohort", "m").distinct(), ["cohort", "m"])
+    rows = reached.select("cohort", "m", "at.ts_us", "at.event_id", F.lit(1).alias("one"), F.lit(1).alias("kind")).unionByName(stand.select("cohort", "m", "ts_us", "event_id", F.lit(0).alias("one"), F.lit(0).alias("kind")))
+    centroid = W.with_bucketed_past(rows, {"centroid": F.col("one")}, "cohort", "m", order=("ts_us", "event_id", "kind")).where("kind = 0").select("event_id", "centroid")
     union = F.col("own") + F.col("centroid") - F.col("overlap")
-    return _doubles(out, graph_jaccard_vs_cohort=F.when((F.col("peers") > 0) & (union > 0), F.col("overlap") / union))
+    return _doubles(stand.join(centroid, "event_id"), graph_jaccard_vs_cohort=F.when((F.col("peers") > 0) & (union > 0), F.col("overlap") / union))
+
+
+def jaccard_feature(ev: DataFrame) -> DataFrame:
+    """Jaccard similarity of what the entity has accessed and the cohort's centroid: resources that a tenth of
+    the peers, at least one, have accessed."""
+    return _jaccard(ev, stored(_against_cohort(ev), "stand"))
 
 
 def divergence_feature(ev: DataFrame) -> DataFrame:
     """Jensen-Shannon divergence of the entity's resource counts and its cohort's, both before the event.
 
-    Only resources the entity has accessed need rows; the others add their cohort share. Counts as of an
-    event are running sums over accesses and such probe rows together.
+    Only resources the entity has accessed have terms of their own; the others add their cohort share.
     """
-    e = edges(ev).select("entity_id", "resource", "at")
-    base = W.with_bucketed_past(ev.select("event_id", "entity_id", "cohort", "ts_us", "resource_accessed"), {"c_n": F.lit(1)}, "cohort").withColumn("e_n", W.past_count("entity_id"))
-    probes = base.join(e, "entity_id").where(W.before(F.col("at.ts_us"), F.col("at.event_id"), F.col("ts_us"), F.col("event_id")))
-    probes = probes.select("event_id", "entity_id", "cohort", "ts_us", "resource", F.lit(0).alias("one"))
-    rows = probes.unionByName(ev.select("event_id", "entity_id", "cohort", "ts_us", F.col("resource_accessed").alias("resource"), F.lit(1).alias("one")))
-    order = ("ts_us", "event_id", "one")
-    rows = rows.withColumn("e", F.coalesce(F.sum("one").over(W.past("entity_id", "resource", order=order)), F.lit(0)))
-    rows = W.with_bucketed_past(rows, {"c": F.col("one")}, "cohort", "resource", order=order).where("one = 0")
-    rows = rows.select("event_id", "e", "c").join(base.select("event_id", "e_n", "c_n"), "event_id")
-    p, q = F.col("e") / F.col("e_n"), F.col("c") / F.col("c_n")
-    per = rows.groupBy("event_id").agg((F.sum(p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)) - q) / 2 + 0.5).alias("js"))
-    return _doubles(base.select("event_id").join(per, "event_id", "left"), resource_js_divergence=F.greatest(F.col("js"), F.lit(0.0)))
+    return _doubles(_against_cohort(ev), resource_js_divergence=F.col("divergence"))
+
+
+def cohort_overlap_features(ev: DataFrame) -> DataFrame:
+    """``jaccard_feature`` and ``divergence_feature`` from one pass over the events."""
+    stand = stored(_against_cohort(ev), "stand")
+    return _jaccard(ev, stand).join(_doubles(stand, resource_js_divergence=F.col("divergence")), "event_id")
 
 
 def extra_features(ev: DataFrame) -> DataFrame | None:
@@ -277,7 +332,7 @@ def all_features(ev: DataFrame) -> DataFrame:
     The events are written once, so that what they are derived from is read and parsed once for all families.
     """
     ev = stored(ev, "events")
-    frames = [entity_features(ev), ip_features(ev), cohort_features(ev), command_features(ev), jaccard_feature(ev), divergence_feature(ev)]
+    frames = [entity_features(ev), ip_features(ev), cohort_features(ev), command_features(ev), cohort_overlap_features(ev)]
     if (extra := extra_features(ev)) is not None:
         frames.append(extra)
     return W.join_all(frames).select("event_id", *NAMES, *EXTRA)
