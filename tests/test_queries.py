@@ -11,7 +11,7 @@ from tidewatch.plans import catalogue
 QUICK = (
     "entry_alert_queue f_temporal f_geo f_auth f_source_ip f_cohort f_commands f_jaccard f_divergence s_event_roundtrip s_validation s_json_ingest s_budget_thresholds p_anomaly p_risk_band p_clean j_ecdf_lookup j_counts_as_of j_similar_alerts "
     "j_distance_band a_entity_profile a_hour_histogram a_manifest a_episodes w_past_windows w_run_length w_ewma w_last_16 w_page_hinkley w_two_level t_budget_top t_top_resources u_overlap sc_scalars sc_js_divergence m_signatures m_resolution m_isolation_scores m_isolation_importances m_calibration q_baseline_report "
-    "m_naive_baseline q_areas q_budgets q_time_to_detect v_alert_details v_learn_decisions st_entity_state"
+    "m_naive_baseline q_areas q_summary q_budgets q_time_to_detect v_alert_details v_learn_decisions st_entity_state"
 ).split()
 
 

@@ -6,11 +6,12 @@ running sums over distinct scores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import tables as T
 from tidewatch.sources.access_events import ATTACKS
+from tidewatch.sources.storage import stored
 
 BUDGETS = (0.5, 1.0, 2.0, 3.0, 5.0)
 MINUTES_AN_ALERT = 12
@@ -25,19 +26,27 @@ def score_table(df: DataFrame, score: str = "score", truth: str = "is_anomaly",
     return t.withColumnsRenamed({"tp_all": "pos", "fp_all": "neg", "i_all": "m"}).drop("one")
 
 
+def _precision_sum() -> Column:
+    step = F.when(c("pos") > 0, c("p") / c("pos") * c("tp") / (c("tp") + c("fp"))).otherwise(0.0)
+    return F.coalesce(F.sum(step), F.lit(0.0))
+
+
+def _won_share() -> Column:
+    won = F.sum(c("p") * (c("neg") - c("fp") + c("n") / 2.0)) / F.max(c("pos") * c("neg"))
+    return F.when(F.coalesce(F.max(c("pos") * c("neg")), F.lit(0)) > 0, won).otherwise(0.5)
+
+
 def pr_auc(df: DataFrame, keys: tuple[str, ...] = (), **names: str) -> DataFrame:
     """Average precision, equal scores together: ``pr_auc``; 0 without positives."""
     t = score_table(df, keys=keys, **names)
-    step = F.when(c("pos") > 0, c("p") / c("pos") * c("tp") / (c("tp") + c("fp"))).otherwise(0.0)
-    agg = F.coalesce(F.sum(step), F.lit(0.0)).alias("pr_auc")
+    agg = _precision_sum().alias("pr_auc")
     return t.groupBy(*keys).agg(agg) if keys else t.agg(agg)
 
 
 def roc_auc(df: DataFrame, keys: tuple[str, ...] = (), **names: str) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half: ``roc_auc``; 0.5 with one class only."""
     t = score_table(df, keys=keys, **names)
-    won = F.sum(c("p") * (c("neg") - c("fp") + c("n") / 2.0)) / F.max(c("pos") * c("neg"))
-    agg = F.when(F.coalesce(F.max(c("pos") * c("neg")), F.lit(0)) > 0, won).otherwise(0.5).alias("roc_auc")
+    agg = _won_share().alias("roc_auc")
     return t.groupBy(*keys).agg(agg) if keys else t.agg(agg)
 
 
@@ -114,16 +123,26 @@ def summary(df: DataFrame, cold: DataFrame, drift_us: int, held_out: str) -> Dat
 
     ``cold``: entities without history; ``drift_us``: the time from which behaviour is taken to have changed.
     """
+    df = stored(df.select("event_id", "entity_id", "episode_id", "ts_us", "label", "score", "is_anomaly", "is_alert"), "evaluated")
     one = df.agg(
         F.count("*").alias("events"), F.sum(c("is_anomaly").cast("long")).alias("anomalies"), F.sum(c("is_alert").cast("long")).alias("alerts"), F.avg(c("is_anomaly").cast("double")).alias("anomaly_rate"),
         F.coalesce(F.avg(F.when(c("label") == held_out, c("is_alert").cast("double"))), F.lit(0.0)).alias("held_out_recall"),
+        F.coalesce(F.avg(F.when(c("label") == "benign_confounder", c("is_alert").cast("double"))), F.lit(0.0)).alias("confounder_rate"),
+        F.coalesce(F.avg(F.when(c("label") == "insider_drift", c("is_alert").cast("double"))), F.lit(0.0)).alias("drift_rate"),
     )
-    top = at_budgets(df, budgets=(1.0,)).select(c("precision").alias("precision_1pct"), c("recall").alias("recall_1pct"))
-    k = T.budget_rank(df, "score").crossJoin(df.agg(T.budget_size(F.count("*"), F.lit(1.0)).alias("k"))).where("position = k").select(c("score").alias("threshold_1pct"))  # one row
+    # areas and the percentile from one table of running counts; a place from below is one from above in all rows
+    t, n = score_table(df), c("pos") + c("neg")
+    place = F.lit(0.99) * (n - 1)
+    at = lambda k: F.min(F.when(n - (c("tp") + c("fp")) + c("p") + c("n") > k, c("score")))
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    curve = t.agg(_precision_sum().alias("pr_auc"), _won_share().alias("roc_auc"), (low + (high - low) * F.max(place - F.floor(place))).alias("p99"))
+    ranked = T.budget_rank(df, "score").crossJoin(df.agg(T.budget_size(F.count("*"), F.lit(1.0)).alias("k"), F.sum(c("is_anomaly").cast("long")).alias("pos"))).where("position <= k")  # one row
+    hits = F.sum(c("is_anomaly").cast("long"))
+    top = ranked.agg((hits / F.count("*")).alias("precision_1pct"), F.when(F.max("pos") > 0, hits / F.max("pos")).otherwise(0.0).alias("recall_1pct"), F.max_by("score", "position").alias("threshold_1pct"))
     cold_ = subgroup(df, cold).select(c("precision").alias("cold_precision"), c("recall").alias("cold_recall"))
     drift = subgroup(df.where(c("ts_us") >= drift_us)).select(c("precision").alias("drift_precision"), c("recall").alias("drift_recall"))
     delay = time_to_detect(df).agg((F.sum(c("episodes") * c("mean_minutes")) / F.sum("episodes")).alias("mean_minutes_to_detect"))
     out = one
-    for row in (T.percentiles(df, "score", (0.99,)).select("p99"), pr_auc(df), roc_auc(df), top, k, false_positive_rates(df), cold_, drift, delay):
+    for row in (curve, top, cold_, drift, delay):
         out = out.crossJoin(row)  # one row each
     return out
