@@ -39,13 +39,15 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_line_dedup_cases(odd):
-    out = line_dedup.dedup_lines(odd)
+    out = line_dedup.dedup_lines(odd, least=0)
     assert out.columns == [*odd.columns, "n_removed"] and out.count() == len(ODD)
     by_text = {r.doc_id: (r.text, r.n_removed) for r in out.collect() if r.doc_id not in (5, 6)}
     assert by_text[1] == (None, 0) and by_text[2] == ("", 0) and by_text[None] == ("x", 4)
     assert sorted((r.text, r.n_removed) for r in out.where("doc_id = 5").collect()) == [("a\nb\nc\nd", 0)] * 2
     assert sorted((r.text, r.n_removed) for r in out.where("doc_id = 6").collect()) == [("other", 0), ("q", 4)]
     assert line_dedup.dedup_lines(odd.where("false")).count() == 0
+    # too short for passages
+    assert {r.n_removed for r in line_dedup.dedup_lines(odd).collect()} == {0}
 
 
 def removed(spark, texts, **how):
@@ -63,23 +65,51 @@ def test_line_dedup_finds_passages_of_any_length_at_any_place(spark):
             before, after = [line() for _ in range(rng.randrange(4))], [line() for _ in range(rng.randrange(4))]
             texts.append("\n".join([*before, *passage, *after]))
             want.append(texts[-1] if copy == 0 else "\n".join([*before, *after]))
-    assert removed(spark, texts) == want
+    assert removed(spark, texts, least=0) == want
 
 
 def test_line_dedup_keeps_each_passage_in_one_piece(spark):
     # b-c is repeated and first in the second text, where a copy of a-b ends
     texts = ["a\nb\n1", "a\nb\nc\n2", "b\nc\n3", "b\n4"]
-    assert removed(spark, texts) == ["a\nb\n1", "b\nc\n2", "3", "b\n4"]
+    assert removed(spark, texts, least=0) == ["a\nb\n1", "b\nc\n2", "3", "b\n4"]
     words = " ".join(f"w{i}" for i in range(51))
-    assert removed(spark, [f"x\n{words}", f"{words}\ny", words, "x", "y"]) == [f"x\n{words}", "y", "", "x", "y"]
-    assert removed(spark, ["p\n\nq\n1\n\n\n\n2", "p\n \nq\n\n\n\n3"]) == ["p\n\nq\n1\n\n\n\n2", "\n\n\n3"]
-    assert removed(spark, ["s\n" * 5]) == ["s\ns\n"]
+    assert removed(spark, [f"x\n{words}", f"{words}\ny", words, "x", "y"], least=0) == [f"x\n{words}", "y", "", "x", "y"]
+    assert removed(spark, ["p\n\nq\n1\n\n\n\n2", "p\n \nq\n\n\n\n3"], least=0) == ["p\n\nq\n1\n\n\n\n2", "\n\n\n3"]
+    assert removed(spark, ["s\n" * 5], least=0) == ["s\ns\n"]
 
 
 def test_a_hash_of_different_lines_removes_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "line_hash", lambda x: F.length(x).cast("long"))
     texts = ["aa\nbbb\ncccc", "xx\nyyy\ncccc\nddddd", "zzzzzzz\ncccc\nddddd", "kkkkkkkk\nkkkkkkkkk", "kkkkkkkk\nkkkkkkkkk"]
-    assert removed(spark, texts) == [*texts[:2], "zzzzzzz\ncccc\nddddd", "kkkkkkkk\nkkkkkkkkk", ""] or removed(spark, texts) == [*texts[:2], "zzzzzzz", "kkkkkkkk\nkkkkkkkkk", ""]
+    assert removed(spark, texts, least=0) == [*texts[:2], "zzzzzzz\ncccc\nddddd", "kkkkkkkk\nkkkkkkkkk", ""] or removed(spark, texts, least=0) == [*texts[:2], "zzzzzzz", "kkkkkkkk\nkkkkkkkkk", ""]
+
+
+def test_line_dedup_removes_passages_and_leaves_pairs_that_texts_share_by_chance(spark):
+    rng = random.Random(7)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts, want = [], []
+    for words in ((9, 9, 9, 9, 9, 9), (40, 12), (1, 1, 50), (5,) * 12, (1,) * 60, (3, 1) * 20, (2, 2, 5, 4, 1)):
+        passage = [line(n) for n in words]
+        for copy in range(3):
+            before, after = [line(1), "Yes.", "No.", line(rng.randrange(1, 9))], [line(rng.randrange(1, 9)), "Yes.", "No."]
+            texts.append("\n".join([*before, *passage, *after]))
+            want.append(texts[-1] if copy == 0 else "\n".join([*before, *after]))
+    assert removed(spark, texts) == want
+
+
+def test_line_dedup_equals_its_sql_on_few_words(spark):
+    # few different lines, of few words: windows, chunks of all scales, ties and stretches that touch
+    rng = random.Random(11)
+    few = [" ".join(rng.choice("uvwxyz") for _ in range(rng.choice((1, 1, 2, 2, 3, 8)))) for _ in range(40)] + ["", " \t", "\r", "k " * 60]
+    texts = [(i, "\n".join(rng.choice(few) for _ in range(rng.randrange(60)))) for i in range(150)]
+    for i in range(0, 150, 5):
+        part = texts[rng.randrange(150)][1].split("\n")[2:30]
+        texts.append((200 + i, "\n".join(["top", *part, "end"])))
+    documents = pd.DataFrame(texts, columns=["doc_id", "text"])
+    want = duckdb.connect().register("documents", documents).sql(line_dedup.ORACLE).fetchall()
+    got = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and sum(r[2] for r in want) > 100
+    assert line_dedup.chunks(spark.createDataFrame(texts, "doc_id long, text string")).where("NOT window").select(F.col("b") % 16).distinct().count() == 2
 
 
 def test_line_dedup_of_a_very_long_text_is_linear(spark):
