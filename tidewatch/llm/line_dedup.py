@@ -159,7 +159,8 @@ def dedup_lines(docs: DataFrame, long: int = LONG, least: int = LEAST, text: str
     hits = found.join(counts, (F.col("a") == F.col("x")) & F.col("b").eqNullSafe(F.col("y"))).select("row", "doc_id", "number", "upto", "a", "b", "seed", "window", (place == F.col("first")).alias("is_first"))
     marked = stored(_marked(source, hits, text), "marked")
     # the bytes of all lines in repeated windows: a hash of two different lines is told apart here
-    seen = marked.where("_ld_old IS NOT NULL").select(lines_of(body_of(text)).alias("l"), F.explode(F.array_union("_ld_old", "_ld_new")).alias("i")).select(F.get("l", F.col("i") - 1).alias("line"))
+    repeated = once(marked.where("_ld_old IS NOT NULL").select("_ld_old", "_ld_new", body_of(text).alias("t")), "l", lines_of(F.col("t")))
+    seen = repeated.select(F.explode(F.transform(F.array_union("_ld_old", "_ld_new"), lambda i: F.get("l", i - 1))).alias("line"))
     mixed = cut(seen.distinct().select(line_hash(F.col("line")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     if not mixed.isEmpty():
         hits = hits.join(mixed, F.col("a") == F.col("h"), "left_anti").join(mixed, F.col("b").eqNullSafe(F.col("h")), "left_anti")
