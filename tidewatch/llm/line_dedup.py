@@ -10,7 +10,8 @@ go with it. A line of over LONG words is a passage alone. Blank lines count for
 Lines are removed after a comparison of their bytes. All steps are built-in expressions.
 
 What is found: any repeated passage with two neighbouring lines of LEAST words, thus any of over 50 words in at most 12 lines;
-of longer ones of nothing but very short lines those that hold two bounds of a coarser scale, all but some 5 in 1,000 of 13 lines and ever more with their length.
+of longer ones of nothing but very short lines those that hold a chunk of a coarser scale. Drawn at random, 4 in 1,000 of 13 lines
+of four words hold none, 12 in 1,000 of 51 lines of one word, none of 20,000 with 17 lines of three words or 26 of two. Equal lines in a row hold no bound.
 """
 
 from __future__ import annotations
