@@ -593,6 +593,33 @@ def test_near_groups_against_all_pairs(spark, monkeypatch, crowded, block):
     assert all(want[i] == want[g] for i, g in got.items())  # and no link that isn't one
 
 
+def test_unlike_texts_that_share_bands_are_not_verified(spark, monkeypatch):
+    """Texts of few frequent letters agree on bands by chance; sketches tell them before any fingerprint is fetched."""
+    rng, seen = random.Random(6), []
+    texts = ["".join(rng.choices("eatonrsh ", [40, 9, 8, 7, 6, 5, 5, 5, 15], k=rng.randrange(500, 900))) for _ in range(400)]
+    verified = buckets.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(buckets, "verified", counted)
+    out = edit_fingerprint.near_edits(spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id long, text string")).collect()
+    assert len(out) == 401 and sum(r.near_group != r.doc_id for r in out) == 1
+    assert len(seen) == 1 and seen[0] < 100
+
+
+def test_sketches_keep_all_that_are_alike():
+    w, texts = edit_fingerprint.walker(), edit_family(9)
+    prints = w.fingerprints(texts)
+    rows = edit_fingerprint.band_rows(prints, np.arange(len(texts)))
+    both = rows.merge(rows, on="key", suffixes=("", "_m"))
+    apart = sum(np.bitwise_count((lambda x: x & np.uint64(0x1111111111111111))((lambda x: x | x >> np.uint64(2))((lambda x: x | x >> np.uint64(1))((both[s] ^ both[s + "_m"]).to_numpy().view(np.uint64))))) for s in ("s1", "s2"))
+    passed = set(zip(both["node"][apart <= edit_fingerprint.UNLIKE], both["node_m"][apart <= edit_fingerprint.UNLIKE]))
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if edit_fingerprint.likeness(prints[i], prints[j]) >= edit_fingerprint.LEAST}
+    assert len(near) > 100 and len(near - passed) <= 0.01 * len(near)
+
+
 def test_a_bucket_of_mixed_clusters_loses_no_link(spark):
     """One bucket of many members: clusters, chains and single members, joined as by all pairs."""
     rng = random.Random(2)

@@ -30,7 +30,11 @@ CELLS = 2_000_000
 #: Chance that digits of different characters agree.
 CHANCE = 1 / 16
 #: Characters in a bucket of neighbouring ids, about; likeness of near copies; bands and their digits; growth of lengths from one level to the next.
-BUCKET, LEAST, BANDS, DIGITS, LEVEL = 1 << 28, 0.8, 16, 7, 1.25
+BUCKET, LEAST, BANDS, DIGITS, LEVEL = 1 << 28, 0.8, 21, 8, 1.25
+#: Digits of a sketch, 16 to a number, and how many of two sketches may differ: at the bound more do with a chance of 1 in 70,000.
+SKETCH, UNLIKE = 32, 16
+#: Bytes of text walked together, at most (but for one very long text).
+STEP = 16_000_000
 #: Members of a band's bucket up to which all its pairs are verified, and in a block of a larger one.
 CROWDED, BLOCK = 16, 128
 
@@ -191,41 +195,55 @@ def add_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.drop("fingerprint").withColumn("fingerprint", run(F.col("text").cast("string")))
 
 
-def sampled_digits(level: int) -> np.ndarray:
-    """A row of places in a fingerprint per band: times drawn evenly below LEVEL ** level, the same for all fingerprints."""
-    end = max(1.0, LEVEL**level)
-    at = np.random.RandomState(level).random_sample((BANDS, DIGITS)) * end
+def sampled_digits(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of places in a fingerprint per band, and the places of a sketch: times drawn evenly below LEVEL ** level, the same for all fingerprints."""
+    end, draws = max(1.0, LEVEL**level), np.random.RandomState(level)
+    bands = _places_of(draws.random_sample((BANDS, DIGITS)) * end)
+    return bands, _places_of((np.arange(SKETCH) + draws.random_sample(SKETCH)) / SKETCH * end)
+
+
+def _places_of(at: np.ndarray) -> np.ndarray:
     octave = np.where(at < FIRST, 0, np.floor(np.log2(np.maximum(at, FIRST) / FIRST)).astype(int) + 1)
     begin = np.where(octave == 0, 0, FIRST * 2.0 ** (octave - 1))
     size = np.where(octave == 0, FIRST, begin)
     return octave * PER_OCTAVE + np.minimum(((at - begin) / size * PER_OCTAVE).astype(int), PER_OCTAVE - 1)
 
 
-def band_keys(fingerprints: list[str]) -> list[np.ndarray]:
-    """A 64-bit key per band of each fingerprint, in its level of length and the next: two whose lengths differ by up to a
-    factor of LEVEL share a level. None for the empty fingerprint."""
+def band_rows(fingerprints: list[str], nodes: np.ndarray) -> pd.DataFrame:
+    """``key, node, s1, s2``: a 64-bit key per band of each fingerprint, in its level of length and the next, and its sketch in
+    that level. Two whose lengths differ by up to a factor of LEVEL share a level. None for the empty fingerprint."""
+    width = max(map(len, fingerprints), default=0) + 1
+    digits = np.frombuffer("".join(f.ljust(width, "-") for f in fingerprints).encode(), np.uint8).reshape(-1, width)
+    shown = np.array([len(f.rstrip("-")) for f in fingerprints], np.int64)
     times = walker().sampled(1 << 40)
-    out = []
-    for f in fingerprints:
-        digits = np.frombuffer(f.encode(), np.uint8)
-        shown = np.flatnonzero(digits != 45)
-        keys = []
-        if len(shown):
-            level = int(np.log(times[shown[-1]] + 1.0) / np.log(LEVEL))
-            for k in (level, level + 1):
-                if k not in _places:
-                    _places[k] = sampled_digits(k)
-                at = _places[k]
-                got = np.where(at < len(digits), digits[np.minimum(at, len(digits) - 1)], 45).astype(np.uint64)
-                code = np.zeros(BANDS, np.uint64)
-                for column in got.T:
-                    code = _mix(code * np.uint64(31) + column + np.uint64(1))
-                keys.append(_mix(code + np.arange(BANDS, dtype=np.uint64) + np.uint64(k * BANDS)).view(np.int64))
-        out.append(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-    return out
-
-
-_places: dict[int, np.ndarray] = {}
+    level = np.where(shown > 0, np.log(times[shown - 1] + 1.0) / np.log(LEVEL), -9).astype(int)
+    out = [np.zeros((4, 0), np.int64)]
+    for k in sorted({x for n in set(level[shown > 0].tolist()) for x in (n, n + 1)}):
+        own = np.flatnonzero((shown > 0) & ((level == k) | (level == k - 1)))
+        bands, sketch = (np.minimum(x, width - 1) for x in sampled_digits(k))
+        code = np.zeros((len(own), BANDS), np.uint64)
+        for at in bands.T:
+            code = _mix(code * np.uint64(31) + digits[own][:, at] + np.uint64(1))
+        keys = _mix(code + np.arange(BANDS, dtype=np.uint64) + np.uint64(k * BANDS)).view(np.int64)
+        shifted = VALUE[digits[own][:, sketch]] << (np.arange(SKETCH, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
+        s1, s2 = (x.sum(1, dtype=np.uint64).view(np.int64) for x in np.split(shifted, 2, axis=1))
+        out.append(np.stack([keys.ravel(), *(np.repeat(x, BANDS) for x in (nodes[own], s1, s2))]))
+    return pd.DataFrame(dict(zip(("key", "node", "s1", "s2"), np.concatenate(out, axis=1))))
+
+
+#: By the byte of a digit: its value, 0 past the end.
+VALUE = np.zeros(256, np.uint64)
+VALUE[HEX[:16]] = np.arange(16)
+
+
+def sketched(n, m):
+    """Whether sketches ``n`` and ``m`` (columns of two numbers) differ in UNLIKE digits or fewer."""
+    differ = F.lit(0)
+    for s in ("s1", "s2"):
+        x = n[s].bitwiseXOR(m[s])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= UNLIKE
 
 
 def alike(x: pd.Series, y: pd.Series) -> np.ndarray:
@@ -255,7 +273,8 @@ def near_groups(prints: DataFrame) -> DataFrame:
 
     Fingerprints with a likeness of LEAST or more are linked, equal ones are one. Bit-sampled banding: a band is DIGITS digits at
     times drawn evenly from a walk's length, so two walks that are alike at a share p of all times agree on a band with a chance
-    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.98. Keys that one fingerprint alone has, which are nearly all, are told by their
+    of p ** DIGITS; at the bound p is 0.81 and one of the BANDS bands meets with 0.988. Unlike texts that meet by chance are told by
+    their sketches, digits at other times, before fingerprints are fetched. Keys that one fingerprint alone has, which are nearly all, are told by their
     least and largest node and go no further. Members of a bucket are
     verified as in ``buckets.linked``: none is left out of one that is large. Null ids name no group.
     """
@@ -263,20 +282,18 @@ def near_groups(prints: DataFrame) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             pdf = pdf.drop_duplicates("node")
-            keys = band_keys(pdf["fingerprint"].tolist())
-            sizes = [len(k) for k in keys]
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64), sizes)})
+            yield band_rows(pdf["fingerprint"].tolist(), pdf["node"].to_numpy(np.int64))
 
     firsts = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
-    keyed = stored(prints.select("fingerprint", "node").mapInPandas(run, "key long, node long"), "keys")
+    keyed = stored(prints.select("fingerprint", "node").mapInPandas(run, "key long, node long, s1 long, s2 long"), "keys")
     met = cut(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    kept = cut(marked(keyed, "key", bit_map(met, "key"), "_met").where("_met").drop("_met").join(met, "key").distinct())
+    kept = cut(marked(keyed, "key", bit_map(met, "key"), "_met").where("_met").join(met, "key").select("key", "node", F.struct("s1", "s2").alias("n")).distinct())
 
     def payload(wanted: DataFrame) -> DataFrame:
         few = marked(prints.select("node", "fingerprint"), "node", bit_map(wanted, "node"), "_asked").where("_asked").drop("_asked")
         return few.groupBy("node").agg(F.min("fingerprint").alias("data")).join(wanted, "node", "left_semi")
 
-    named = buckets.linked(kept, payload, alike, forest, CROWDED, BLOCK)
+    named = buckets.linked(kept, payload, alike, forest, CROWDED, BLOCK, sketched)
     roots = cut(firsts.join(named, "node", "left").select("node", "first", ((F.col("rows") > 1) | F.col("component").isNotNull()).alias("shared"), F.coalesce("component", "node").alias("root")))
     least = cut(roots.groupBy("root").agg(F.min("first").alias("near_group")))
     return roots.join(least, "root").select("node", "near_group", "shared")
@@ -340,7 +357,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         unpack = ZstdDecompressor().decompress
         w, held = walker(), None  # the row that waits for its successor: bucket, id, text, fingerprint
         for pdf in it:
-            step = max(1, min(len(pdf), 2_000_000 // max(1, 3 * int(pdf["body"].str.len().mean()))))
+            step = max(1, min(len(pdf), STEP // max(1, 3 * int(pdf["body"].str.len().mean()))))
             for b in range(0, len(pdf), step):
                 part = pdf.iloc[b : b + step]
                 texts = [unpack(x).decode() for x in part["body"]]
