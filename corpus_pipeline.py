@@ -39,7 +39,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a shingle Jaccard of 0.8 or more: that with the smallest doc_id (null ids after
+    """One document of each group linked by a shingle Jaccard of 0.8 or more (SimHash candidates first, then MinHash bands for those
+    beyond its reach, all verified by whole sets): that with the smallest doc_id (null ids after
     all others). Documents are told apart by id and text together, so rows that share an id are each kept or not by their
     own text."""
     return near_copies.one_of_each(docs.select(*COLUMNS), shingle=SHINGLE)

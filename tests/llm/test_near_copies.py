@@ -64,3 +64,31 @@ def test_repeated_and_null_ids_lose_no_text(spark):
     kept = corpus_pipeline.dedup_near(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text, r.source) for r in kept) == [("5", "A", "r"), ("6", "B", "r"), ("7", "", "r"), ("None", "C", "r")]
     assert corpus_pipeline.dedup_near(spark, docs.where("false"), "").count() == 0
+
+
+def small_edits():
+    """Texts of 900 words and copies with one to four changed words."""
+    rng, docs = random.Random(4), []
+    for k in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        docs += [(10 * k + c, " ".join("changed" if i % 200 == 99 and i < 200 * c else w for i, w in enumerate(base))) for c in range(5)]
+    return docs
+
+
+def test_simhash_candidates_are_the_pairs_within_reach(spark):
+    rows = near_copies.hashed(spark.createDataFrame(small_edits() + family(), "doc_id long, text string"), 5).where("n > 0").select("node", "n", "fingerprint").distinct().collect()
+    far = lambda x, y: ((x.fingerprint ^ y.fingerprint) & (2**64 - 1)).bit_count()
+    fit = [(x, y) for x in rows for y in rows if x.node < y.node and 5 * min(x.n, y.n) >= 4 * max(x.n, y.n)]
+    want = {(x.node, y.node) for x, y in fit if 0 < far(x, y) <= near_copies.MOST}
+    same = {(x.node, y.node) for x, y in fit if far(x, y) == 0}
+    got = {(r.a, r.b) for r in near_copies.simhash_candidates(spark.createDataFrame(rows)).collect()}
+    heads = {min(r.node for r in rows if r.fingerprint == x.fingerprint) for x in rows}
+    assert len(want) > 10 and got <= want | same and {(a, b) for a, b in want if a in heads and b in heads} <= got
+
+
+def test_simhash_alone_finds_copies_with_small_edits(spark, monkeypatch):
+    """Without the bands, texts of which a few words in 900 differ are still one group each."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: np.zeros(0, np.int64))
+    docs = small_edits()
+    got = near_copies.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(docs) == {i: i // 10 * 10 for i, _ in docs}

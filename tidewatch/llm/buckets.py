@@ -27,7 +27,7 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike: Callable, forest: Callable[[pd.DataFrame], pd.DataFrame], crowded: int, block: int, fits=None) -> DataFrame:
+def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike: Callable, forest: Callable[[pd.DataFrame], pd.DataFrame], crowded: int, block: int, fits=None, known: DataFrame | None = None) -> DataFrame:
     """``node, component`` for the nodes that are alike to others with which they share a bucket.
 
     ``keyed`` is ``key, node`` and what ``fits`` needs, each once; ``payload_of(nodes)`` gives ``node, data`` of the nodes
@@ -35,7 +35,8 @@ def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike
     larger one are held against a pivot, another in every bucket, so that members of several buckets meet several. Where that leaves more than one component, those outside of the
     bucket's most common component are searched against all its members in blocks of ``block``, a pair of blocks a task, by
     ``forest`` (``node, component, data`` to links). So no link is lost, no task or row grows with a bucket, and what is dealt grows with
-    the members that no pivot links. An empty table gives none.
+    the members that no pivot links. Links ``known(a, b)`` from elsewhere count like those found, and pairs that they join already
+    aren't verified. An empty table gives none.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("members > 1"))
     shared = cut(keyed.join(sizes, "key"))
@@ -43,10 +44,17 @@ def linked(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], alike
     other = few.select("key", F.col("node").alias("b"), *([F.col("n").alias("m")] if fits else []))
     near = few.join(other, "key").where(F.col("node") < F.col("b"))
     near = near.where(fits(F.col("n"), F.col("m"))) if fits else near
-    pairs = cut(_ordered(near, "node", "b").unionByName(_ordered(large.where("node <> pivot"), "pivot", "node")).distinct())
+    pairs = _ordered(near, "node", "b").unionByName(_ordered(large.where("node <> pivot"), "pivot", "node")).distinct()
+    if known is not None:
+        before = cut(components(known))
+        for end in ("a", "b"):
+            pairs = pairs.join(before.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     payload = cut(payload_of(wanted))
-    edges = cut(verified(pairs, payload, alike))
+    edges = verified(pairs, payload, alike)
+    edges = cut(edges if known is None else edges.unionByName(known.select("a", "b")))
     named = cut(components(edges))
     inside = cut(large.select("key", "node", "members").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
     counted = inside.groupBy("key", "component").agg(F.count("*").alias("c"))

@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets verify them.
+"""Near copies by the Jaccard similarity of word shingles, verified by whole sets.
+
+Candidates are first those whose SimHash fingerprints differ in MOST bits or fewer, by the pigeonhole search of
+``simhash``. A Jaccard similarity of 0.8 is a distance of about 10 bits, which that search can't reach, so
+MinHash bands then find what it left apart.
 
 Two sets of similarity J agree on a band of ROWS minima with probability J^ROWS, so a pair of similarity
 0.8 shares none of BANDS bands with probability (1 - 0.8^4)^24, 3 in a million, a more alike pair less.
@@ -13,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import buckets
+from tidewatch.llm import buckets, simhash
 from tidewatch.llm.shared import cut
 
 BANDS, ROWS = 24, 4
+#: Differing bits of SimHash fingerprints up to which they are candidates: beyond it three groups need two flips each, some 700 probes a row.
+MOST = 5
 #: Two sets are near copies if their Jaccard similarity is ALIKE / WHOLE or more.
 ALIKE, WHOLE = 4, 5
 #: Members of a bucket up to which all its pairs are joined; larger ones are searched in blocks of BLOCK.
@@ -65,19 +71,19 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def hashed(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, mark, node, n, keys``: a row per row of ``docs``. Rows of equal shingle sets have one ``node``."""
+    """``doc_id, mark, node, n, fingerprint, keys``: a row per row of ``docs``. Rows of equal shingle sets have one ``node`` and one SimHash ``fingerprint``."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             found = []
             for text in pdf["text"]:
                 s = shingle_hashes(text, shingle)
-                found.append((_node(s), len(s), band_keys(s)))
+                found.append((_node(s), len(s), simhash.majority(s, np.array([len(s)]))[0], band_keys(s)))
             names = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             nodes = np.array([x[0] for x in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": names, "mark": pdf["mark"], "node": nodes, "n": np.array([x[1] for x in found], np.int64), "keys": [x[2] for x in found]})
+            yield pd.DataFrame({"doc_id": names, "mark": pdf["mark"], "node": nodes, "n": np.array([x[1] for x in found], np.int64), "fingerprint": np.array([x[2] for x in found], np.int64), "keys": [x[3] for x in found]})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, mark long, node long, n long, keys array<long>")
+    return _texts(docs).mapInPandas(run, "doc_id long, mark long, node long, n long, fingerprint long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -103,6 +109,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return again.groupBy("node", "mark").agg(F.first("data").alias("data")).join(wanted, ["node", "mark"]).select("node", "data")
 
 
+def _fits(n, m):
+    """Whether sets of ``n`` and ``m`` members can be near copies at all."""
+    return WHOLE * F.least(n, m) >= ALIKE * F.greatest(n, m)
+
+
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``nodes(node, n, fingerprint)`` whose fingerprints are linked by MOST differing bits or fewer and whose sizes fit.
+
+    A fingerprint stands for its smallest node, with which its other nodes are paired; fingerprints in very large
+    buckets are linked by a spanning forest, as ``simhash.linked`` gives it. What these pairs leave apart is for the bands to find.
+    """
+    full = nodes.where("n > 0")
+    heads = cut(full.groupBy("fingerprint").agg(F.min_by(F.struct("node", "n"), "node").alias("head")))
+    own = full.join(heads, "fingerprint").select(F.col("head").alias("x"), F.struct("node", "n").alias("y"))
+    links = simhash.linked(heads.select("fingerprint"), MOST)
+    links = links.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b")
+    pairs = own.unionByName(links.select("x", "y")).where((F.col("x.node") != F.col("y.node")) & _fits(F.col("x.n"), F.col("y.n")))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def alike_sets(x: pd.Series, y: pd.Series) -> np.ndarray:
     keep = np.zeros(len(x), bool)
     for i, (a, b) in enumerate(zip(x, y)):
@@ -145,16 +171,18 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     are null after all others; so exactly one text of a group is first, whatever ids repeat.
 
     Rows whose shingle sets have a Jaccard similarity of 0.8 or more are linked, and only these; equal sets are
-    one node. Buckets are searched as in ``buckets.linked``; no candidate is dropped. Rows without a doc_id are grouped but never
+    one node. SimHash candidates are verified first, then those of the bands that no link joins yet. Buckets are searched as in
+    ``buckets.linked``; no candidate is dropped. Rows without a doc_id are grouped but never
     name a group. An empty table gives none.
     """
     rows = cut(hashed(docs, shingle))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    nodes = cut(rows.groupBy("node").agg(F.min(place).alias("first"), F.min("mark").alias("mark")))
+    nodes = cut(rows.groupBy("node").agg(F.min(place).alias("first"), F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("fingerprint").alias("fingerprint")))
     keyed = rows.select("node", "n", F.explode("keys").alias("key")).distinct()
-    fits = lambda n, m: WHOLE * F.least(n, m) >= ALIKE * F.greatest(n, m)
     sets = lambda wanted: sets_of(docs, cut(nodes.join(wanted, "node", "left_semi").select("node", "mark")), shingle)
-    named = buckets.linked(keyed, sets, alike_sets, forest, CROWDED, BLOCK, fits)
+    asked = cut(simhash_candidates(nodes))
+    close = cut(buckets.verified(asked, cut(sets(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct())), alike_sets))
+    named = buckets.linked(keyed, sets, alike_sets, forest, CROWDED, BLOCK, _fits, known=close)
 
     roots = cut(nodes.join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")))
     # both sides of these joins come from plain shuffles, so that a group or a set with very many rows can be split

@@ -20,12 +20,22 @@ from tidewatch.llm.bpe import chunks
 from tidewatch.llm.shared import components, cut
 
 BITS = 64
+WEIGHTS = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
 #: Fingerprints from which candidate counts are estimated; bears on cost alone, never on what is found.
 SAMPLE = 2048
 #: Index rows of a bucket up to which it is joined; larger ones are searched in blocks of BLOCK.
 CROWDED, BLOCK = 128, 4096
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``counts`` of the unsigned ``hashes``: the bits set in over half of them (of none: zero)."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    total = np.zeros((len(counts), BITS), np.int64)
+    if full := np.flatnonzero(counts).tolist():
+        total[full] = np.add.reduceat(bits, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.int64)
+    return ((2 * total > counts[:, None]) * WEIGHTS).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fingerprint``: the 64-bit SimHash (a signed long) of each whole text.
 
@@ -37,7 +47,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
-        weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
         for pdf in it:
             texts, out = pdf["text"].fillna("").tolist(), []
             for b, e in chunks(texts):
@@ -48,12 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
                     h = [xxh64_intdigest(b" ".join(g), seed) for g in grams]
                     hashes += h
                     counts.append(len(h))
-                n = np.array(counts, np.int64)
-                bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                total = np.zeros((len(n), BITS), np.int64)
-                if full := np.flatnonzero(n).tolist():
-                    total[full] = np.add.reduceat(bits, (np.cumsum(n) - n)[full], axis=0, dtype=np.int64)
-                out.append(((2 * total > n[:, None]) * weights).sum(1, dtype=np.uint64).view(np.int64))
+                out.append(majority(np.array(hashes, np.uint64), np.array(counts, np.int64)))
             names = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             yield pd.DataFrame({"doc_id": names, "fingerprint": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
