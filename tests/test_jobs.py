@@ -63,6 +63,18 @@ def test_online_ranks_warm_up_and_resume(spark):
     assert len(got) == 110 and all(got[f"e{i}"] == pytest.approx((i % 10 + 1) / 10) for i in range(100, 110)) and sample.count() == 110
 
 
+def test_online_ranks_are_of_all_values_seen(spark):
+    """More values than the sample holds: ranks are among all of them."""
+    path = new_folder(spark, "in")
+    value = lambda i: float(i * 7919 % 1009)
+    for a, b in ((0, 900), (900, 1800)):
+        spark.createDataFrame([(f"e{i}", i, value(i)) for i in range(a, b)], "event_id string, ts_us long, x double").coalesce(1).write.mode("append").parquet(path)
+    ranks, sample = J.online_ranks(J.replay(spark, path, "event_id string, ts_us long, x double", 1), "x", "r", size=50, least=50)
+    got = {r.event_id: r["rank"] for r in ranks.collect()}
+    assert len(got) == 1800 and sample.count() == 50
+    assert all(got[f"e{i}"] == pytest.approx(sum(value(j) <= value(i) for j in range(900)) / 900) for i in range(900, 1800))
+
+
 def test_features_from_state_equal_the_batch_job(spark, sf_dir):
     ev, early, late, _ = spans(spark, sf_dir, access_events)
     state = N.FeatureState(spark, new_folder(spark, "state"))
