@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 from compare import connection, same
 
@@ -39,3 +40,16 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", ["m_score_events", "st_live_alerts", "st_late_rows"])
 def test_rows_only(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_sequence_of_few_training_values(spark, sf_dir, tmp_path):
+    """Values below all of a cohort's training values, and a cohort without any, come out as in SQL."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    # few users a cohort, and one cohort of late events alone
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (user_id * 96 AS user_id) FROM read_parquet('{sf_dir}/events.parquet') WHERE user_id > 0 OR ts >= TIMESTAMP '2024-01-23'")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    sql = catalogue.ORACLES["m_sequence"]
+    nulls, n = con.execute(f"SELECT count(*) FILTER (sequence IS NULL), count(*) FROM ({sql})").fetchone()
+    assert nulls > 0 and n < con.execute("SELECT count(*) FROM events").fetchone()[0]
+    same(catalogue.QUERIES["m_sequence"](spark, str(tmp_path)), con, sql)
