@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,38 @@ def test_isolation_forest_ranks_an_outlier_first(spark):
     assert I.isolation_scores(other, forest, scores, ("a", "b")).first().isolation == 0.5
 
 
+def test_many_draws_equal_single_ones():
+    rng = random.Random(2)
+    some = [(rng.randrange(200), rng.randrange(1, 20_000)) for _ in range(400)]
+    a, b = I.node_draws("cohort_é", np.array([t for t, _ in some]), np.array([n for _, n in some]), 7)
+    assert list(zip(a.tolist(), b.tolist())) == [I.node_draw("cohort_é", t, n, 7) for t, n in some]
+
+
+def test_trees_of_a_cohort_take_seconds():
+    rng = np.random.default_rng(1)
+    x, u = rng.integers(0, 101, (1000, 43)) << 20, rng.integers(0, I.PRIME, 1000)
+    began = time.process_time()
+    nodes = sum(len(t.node) for t in I.grown(x, u, 1000, "c", range(200), 4096, 7))
+    assert nodes > 100_000 and time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("together", [40, 20_000])
+def test_scores_without_a_table_equal_those_with_one(spark, monkeypatch, together):
+    """Cohorts that are scored where their trees grow, and those that go by a table; one has no rows to fit on."""
+    monkeypatch.setattr(I, "TOGETHER", together)
+    rng = random.Random(4)
+    rows = [(f"e{i}", f"c{i % 3 if i % 40 else 9}", i % 40 > 0 and i % 5 < 3, rng.gauss(0, 1), float(rng.randrange(3))) for i in range(240)]
+    df = spark.createDataFrame(rows, "event_id string, cohort string, fits boolean, a double, b double")
+    train, kind = df.where("fits"), {"trees": 30, "sample": 64}
+    forest = I.fit(train, ("a", "b"), **kind)
+    want = {r.event_id: r.anomaly for r in I.path_scores(df, forest, ("a", "b")).collect()}
+    got = {r.event_id: r for r in I.fitted_scores(df, "fits", ("a", "b"), **kind).collect()}
+    assert {k: r.anomaly for k, r in got.items()} == pytest.approx(want) and None in want.values()
+    assert {k for k, r in got.items() if r.fits} == {r.event_id for r in train.collect()}
+    key = lambda f: sorted((r.cohort, r.feature, round(r.importance, 9)) for r in I.importances(f, ("a", "b")).collect())
+    assert key(I.split_counts(train, ("a", "b"), **kind)) == key(forest) == key(I.grow(train, ("a", "b"), **kind))
+
+
 def test_ecdf_without_fitted_rows(spark):
     df = spark.createDataFrame([("a", 1.0)], "k string, x double")
     assert T.ecdf_rank(df, "x", df.where("false"), "x", "p", "k").first().p is None
