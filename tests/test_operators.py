@@ -15,7 +15,9 @@ from tidewatch.operators import features as X
 from tidewatch.operators import isolation as I
 from tidewatch.operators import tables as T
 from tidewatch.operators import windows as W
+from tidewatch.plans.model_queries import detector_frame
 from tidewatch.sources import access_events as A
+from tidewatch.sources.storage import stored
 
 H = 3_600_000_000
 
@@ -168,6 +170,24 @@ def test_weights_are_redistributed():
     assert abs(sum(w.values()) - sum(D.WEIGHTS.values())) < 1e-12
 
 
+def test_a_fixed_score_is_ranked_as_a_column_of_it(spark):
+    rng = random.Random(6)
+    df = stored(spark.createDataFrame([(f"e{i}", *[round(rng.random(), 2) for _ in range(3)]) for i in range(700)], "event_id string, profile double, sequence double, graph double"), "scores")
+    names = ("profile", "sequence", "graph")
+    risks = lambda rows, name="risk_score": {r.event_id: r[name] for r in rows.collect()}
+    want = risks(D.fuse(df.withColumns({"sequence": F.lit(0.3), "graph": F.lit(0.3)}), df))
+    assert risks(D.fuse(df.select("event_id", "profile"), df, fixed={"sequence": 0.3, "graph": 0.3})) == pytest.approx(want)
+    got = D.ablated(df, df)
+    for left in ("none", *names):
+        rows = df if left == "none" else df.withColumn(left, F.lit(0.5))
+        assert risks(got.where(F.col("without") == left)) == pytest.approx(risks(D.fuse(rows, rows)))
+
+
+def test_scores_are_kept_without_features(spark, sf_dir):
+    """What is ranked and joined by score holds no feature columns, which would be shuffled once a detector."""
+    assert not {"z", *X.NAMES} & set(detector_frame(spark, sf_dir)[0].columns)
+
+
 def test_areas_at_the_edges(spark):
     df = spark.createDataFrame([(0.9, True), (0.9, False), (0.1, False)], "score double, is_anomaly boolean")
     assert E.pr_auc(df).first()[0] == 0.5 and E.roc_auc(df).first()[0] == 0.75

@@ -50,6 +50,12 @@ def roc_auc(df: DataFrame, keys: tuple[str, ...] = (), **names: str) -> DataFram
     return t.groupBy(*keys).agg(agg) if keys else t.agg(agg)
 
 
+def areas(df: DataFrame, keys: tuple[str, ...] = (), **names: str) -> DataFrame:
+    """``pr_auc`` and ``roc_auc`` from one table of scores."""
+    t, both = score_table(df, keys=keys, **names), (_precision_sum().alias("pr_auc"), _won_share().alias("roc_auc"))
+    return t.groupBy(*keys).agg(*both) if keys else t.agg(*both)
+
+
 def at_budgets(df: DataFrame, score: str = "score", truth: str = "is_anomaly", budgets: tuple[float, ...] = BUDGETS, minutes: int = MINUTES_AN_ALERT) -> DataFrame:
     """``budget, alerts, precision, recall, hours`` when the given percent of rows are alerted on, ties by event id."""
     ranked = T.budget_rank(df, score)
